@@ -96,5 +96,5 @@ def dense_index(df: DataFrame, scratch: Scratch, keys: list[str], by: str, order
     before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
     ranked = d.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__b").orderBy(*order)) - 1)
-    out = ranked.join(starts, [*keys, "__b"])
+    out = ranked.join(bounded(scratch.keep(starts)), [*keys, "__b"])
     return out.withColumn(name, (F.col("__r") + F.col("__at")).cast("long")).drop("__b", "__r", "__at")

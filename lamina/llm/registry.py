@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from . import decontaminate, exact_dedup
 from .bpe import op1_byte_bpe
+from .decontaminate import op6_decontaminate
+from .exact_dedup import op8_exact_dedup
+from .sharding import op4_sharding
+from .simhash import op2_simhash_dedup
 from .token_counts import op7_token_counts
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_simhash_dedup": op2_simhash_dedup,
+        "op4_sharding": op4_sharding,
+        "op6_decontaminate": op6_decontaminate,
         "op7_token_counts": op7_token_counts,
+        "op8_exact_dedup": op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
