@@ -6,6 +6,7 @@ from . import decontaminate, exact_dedup
 from .bpe import op1_byte_bpe
 from .decontaminate import op6_decontaminate
 from .exact_dedup import op8_exact_dedup
+from .licenses import op5_license_scan
 from .sharding import op4_sharding
 from .simhash import op2_simhash_dedup
 from .token_counts import op7_token_counts
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op4_sharding": op4_sharding,
+        "op5_license_scan": op5_license_scan,
         "op6_decontaminate": op6_decontaminate,
         "op7_token_counts": op7_token_counts,
         "op8_exact_dedup": op8_exact_dedup,
