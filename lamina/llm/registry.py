@@ -8,19 +8,23 @@ from .decontaminate import op6_decontaminate
 from .exact_dedup import op8_exact_dedup
 from .licenses import op5_license_scan
 from .sharding import op4_sharding
+from .quality import op9_quality
 from .simhash import op2_simhash_dedup
 from .token_counts import op7_token_counts
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
         "op5_license_scan": op5_license_scan,
         "op6_decontaminate": op6_decontaminate,
         "op7_token_counts": op7_token_counts,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_quality": op9_quality,
     }
 
 
