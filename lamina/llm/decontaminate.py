@@ -23,6 +23,8 @@ SHARE = 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLACE = (1 << PLACE_BITS) - 1
+#: Stands in place of a fingerprint for the document itself; one that equals it by chance changes nothing.
+_ITSELF = ~_PLACE
 
 
 def words_of(text: Column) -> Column:
@@ -127,25 +129,26 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     """
     prints, lengths = benchmark_prints(items, item_col, item_text)
     small = prints.limit(limit + 1).count() <= limit
+    # a row without items stands for the documents themselves: all of them join it, by a mark after their fingerprints
+    itself = prints.sparkSession.range(1).select(F.lit(_ITSELF).alias("hash"))
+    prints = prints.unionByName(itself, allowMissingColumns=True)
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     base = _fingerprints(base, lengths).select("row", "doc_id", "words", F.size("words").alias("n_words"), "prints")
-    # a null after the fingerprints stands for the document itself
-    each = base.select("row", "doc_id", "n_words", "words", F.explode(F.concat("prints", F.array(F.lit(None).cast("long")))).alias("v"))
+    each = base.select("row", "doc_id", "n_words", "words", F.explode(F.concat("prints", F.array(F.lit(_ITSELF)))).alias("v"))
     each = each.withColumn("hash", F.col("v").bitwiseAND(F.lit(~_PLACE))).withColumn("place", F.col("v").bitwiseAND(F.lit(_PLACE)).cast("int"))
     left, right = _sides(F.col("words"), F.col("place"))
+    columns = ["row", "doc_id", "n_words", "place", left.alias("left"), right.alias("right")]
+    # a match takes the few words around it along, never the document; with a broadcast, matches alone do so
     if small:
-        hits = each.join(F.broadcast(prints), "hash", "left").where("items IS NOT NULL OR v IS NULL")
-        hits = hits.withColumn("left", left).withColumn("right", right)
-    else:  # few words of a match move with it, and documents themselves don't pass through the join
-        sided = each.withColumn("left", left).withColumn("right", right).drop("words")
-        inner = sided.where("v IS NOT NULL").join(prints, "hash")
-        hits = inner.unionByName(sided.where("v IS NULL"), allowMissingColumns=True)
+        hits = each.join(F.broadcast(prints), "hash").select(*columns, "b_left", "b_right", "need", "items")
+    else:
+        marks = each.where(F.col("hash") == _ITSELF).select("row", "doc_id", "n_words")
+        hits = each.where(F.col("hash") != _ITSELF).select("hash", *columns).join(prints, "hash").drop("hash").unionByName(marks, allowMissingColumns=True)
     hits = hits.withColumn("l", _common(F.col("left"), F.col("b_left"))).withColumn("r", _common(F.col("right"), F.col("b_right")))
-    span = F.when(F.col("l") + F.col("r") >= F.col("need"), F.struct((F.col("place") - F.col("l")).alias("s"), (F.col("place") + F.col("r")).alias("e")))
-    hits = hits.select("row", "doc_id", "n_words", span.alias("span"), F.when(span.isNotNull(), F.col("items")).alias("items"))
-    hits = hits.where("span IS NOT NULL OR items IS NULL")
-    grouped = hits.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return grouped
+    real = F.col("items").isNotNull() & (F.col("l") + F.col("r") >= F.col("need"))
+    span = F.when(real, F.struct((F.col("place") - F.col("l")).alias("s"), (F.col("place") + F.col("r")).alias("e")))
+    hits = hits.select("row", "doc_id", "n_words", span.alias("span"), F.when(real, F.col("items")).alias("items"))
+    return hits.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
 def contamination(hits: DataFrame) -> DataFrame:
