@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,24 @@ class Scratch:
             self._remove(df._lamina_path)
 
 
+def row_of(docs: DataFrame) -> Column:
+    """What tells rows apart, repeated ones too: file and place in it, whatever the splits; else a running number.
+
+    Files give the same keys in every scan. Rows that don't come from files must come in a repeatable order.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose row_of is in gone's column row; texts are only shuffled if many rows go."""
+    gone = Scratch(docs.sparkSession).keep(gone.select(F.col("row").alias("__row")))
+    return docs.withColumn("__row", row_of(docs)).join(bounded(gone), "__row", "left_anti").drop("__row")
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has limit rows at most, else as it is; df should be cheap to count."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, table
+from .common import BROADCAST_ROWS, row_of, table, without
 
 #: Words of a window, and words of a hashed gram.
 WINDOW, GRAM = 13, 8
@@ -132,7 +132,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     # a row without items stands for the documents themselves: all of them join it, by a mark after their fingerprints
     itself = prints.sparkSession.range(1).select(F.lit(_ITSELF).alias("hash"))
     prints = prints.unionByName(itself, allowMissingColumns=True)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    base = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     base = _fingerprints(base, lengths).select("row", "doc_id", "words", F.size("words").alias("n_words"), "prints")
     each = base.select("row", "doc_id", "n_words", "words", F.explode(F.concat("prints", F.array(F.lit(_ITSELF)))).alias("v"))
     each = each.withColumn("hash", F.col("v").bitwiseAND(F.lit(~_PLACE))).withColumn("place", F.col("v").bitwiseAND(F.lit(_PLACE)).cast("int"))
@@ -161,12 +161,8 @@ def contamination(hits: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The clean rows, with all columns of docs, which must be read from files (rows are told apart by place)."""
-    from .common import Scratch, bounded
-
-    scratch = Scratch(docs.sparkSession)
-    bad = scratch.keep(contamination(find_hits(docs, items)).where("contaminated").select(F.col("row").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(bounded(bad), "__row", "left_anti").drop("__row")
+    """The clean rows, with all columns of docs."""
+    return without(docs, contamination(find_hits(docs, items)).where("contaminated"))
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, pieces, table
+from .common import Scratch, pieces, row_of, table, without
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -44,7 +44,7 @@ def _key(block: Column, bits: int) -> tuple[Column, Column]:
 
 def block_names(blocks: DataFrame, scratch: Scratch, rows: int, bits: int) -> tuple[DataFrame, DataFrame | None]:
     """Of rows (k1, k2, block): (k1, k2, name) of keys with one content, and (k1, k2, block, name) of the others or None."""
-    n = pieces(rows, 50_000)
+    n = pieces(rows, 10_000)
     distinct = blocks.groupBy("k1", "k2", "block").agg(F.lit(0).alias("__o")).drop("__o")
     bucket = F.pmod(F.col("k1"), F.lit(n))
     order = W.partitionBy("__b").orderBy("k1", "k2", "block")
@@ -59,12 +59,12 @@ def block_names(blocks: DataFrame, scratch: Scratch, rows: int, bits: int) -> tu
 
 
 def identify(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
-    """One row per row of docs: row long, doc_id, chars (code points of the text), text_sha256, rounds int, name long.
+    """One row per row of docs: row, doc_id, chars (code points of the text), text_sha256, rounds int, name long.
 
     rounds and name together are a document's identity: equal for equal normalised texts, different for others.
     """
     text = normalised(F.col(text_col)).cast("binary")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"), text.alias("norm"))
+    base = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"), text.alias("norm"))
     base = base.withColumn("blocks", _blocks(F.col("norm"), block))
 
     each = base.select(F.explode("blocks").alias("block"))
@@ -74,16 +74,16 @@ def identify(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         x, y = _key(b, bits)
         return F.struct(x.alias("k1"), y.alias("k2"))
 
-    rows = base.select("doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"), F.transform("blocks", keys).alias("keys"))
-    # documents keep the keys of their blocks; row numbers are frozen by writing
-    rows = scratch.keep(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
+    rows = base.select("row", "doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"), F.transform("blocks", keys).alias("keys"))
+    # documents keep the keys of their blocks
+    rows = scratch.keep(rows)
     total = rows.count()
     clear, clashing = block_names(each.select(k1.alias("k1"), k2.alias("k2"), "block"), scratch, total, bits)
 
     flat = rows.select("row", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "k")).select("row", "n", "at", "k.k1", "k.k2")
     names = flat.join(clear, ["k1", "k2"]).select("row", "n", "at", "name")
     if clashing is not None:
-        texts = docs.select(F.col(text_col).alias("t")).select(F.monotonically_increasing_id().alias("row"), normalised(F.col("t")).cast("binary").alias("norm"))
+        texts = docs.select(row_of(docs).alias("row"), text.alias("norm"))
         parts = texts.select("row", F.posexplode(_blocks(F.col("norm"), block)).alias("at", "block"))
         x, y = _key(F.col("block"), bits)
         parts = parts.withColumn("k1", x).withColumn("k2", y).join(clashing, ["k1", "k2", "block"]).select("row", "at", "name")
@@ -125,17 +125,14 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     ids = scratch.keep(identify(docs, scratch, id_col, text_col, block, bits))
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    groups = ids.groupBy("rounds", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = scratch.keep(ids.groupBy("rounds", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")))
     out = ids.join(groups, ["rounds", "name"])
     return out.select(F.col("doc_id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "row")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of docs, which must be read from files (rows are told apart by place)."""
-    marked = find_duplicates(docs, id_col, text_col)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    dropped = bounded(marked.where("not kept").select(F.col("row").alias("__row")))
-    return numbered.join(dropped, "__row", "left_anti").drop("__row")
+    """The rows that stay, with all columns of docs."""
+    return without(docs, find_duplicates(docs, id_col, text_col).where("not kept"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_of, table
 
 # Normalised sentences of public licence texts and their identifiers.
 SENTENCES = {
@@ -115,7 +115,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = spark.createDataFrame([(s, i) for s, i in sentences().items()], "s string, known string")  # of fixed size
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     parts = F.split(text, r"[.!?]+(?=\s|$)\s*|\n\s*\n")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.concat(F.array(F.lit(None).cast("string")), parts).alias("parts"))
+    base = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.concat(F.array(F.lit(None).cast("string")), parts).alias("parts"))
     each = base.select("row", "doc_id", F.posexplode("parts").alias("i", "part"))
     lines = F.when(F.instr("part", "\n") > 0, F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
     each = each.select("row", "doc_id", "i", F.posexplode(lines).alias("j", "s"))

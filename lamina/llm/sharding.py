@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, dense_index, pieces, table
+from .common import Scratch, bounded, dense_index, pieces, row_of, table
 
 SHARDS, ROUNDS = 40, 4
 #: Linked documents per quota bucket.
@@ -57,7 +57,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g"))
+    base = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g"))
     base = scratch.keep(base.withColumn("h", F.xxhash64("row", "doc_id")))
     n = base.count()
     groups = scratch.keep(base.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, table, tune
+from .common import Scratch, bounded, row_of, table, tune, without
 from .components import components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
@@ -52,7 +52,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row long, doc_id, fp long (signed) of each row's whole text."""
+    """row, doc_id, fp long (signed) of each row's whole text."""
     tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -61,8 +61,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [_signed(fingerprint(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["row", "doc_id", "fp"])
 
-    columns = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return columns.mapInArrow(run, f"row long, doc_id {kind}, fp long")
+    columns = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return columns.mapInArrow(run, f"row {columns.schema['row'].dataType.simpleString()}, doc_id {kind}, fp long")
 
 
 def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
@@ -100,9 +100,8 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The best row of each component, with all columns of docs, which must be read from files."""
-    gone = bounded(Scratch(docs.sparkSession).keep(find_groups(docs, id_col, text_col).where("not best").select(F.col("row").alias("__row"))))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    """The best row of each component, with all columns of docs."""
+    return without(docs, find_groups(docs, id_col, text_col).where("not best"))
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import row_of, table, tune, without
 from .quality import held_out, labelled
 
 #: Labelled rows to learn from, at most: of label 1, of label 0; texts of more bytes aren't taken into the sample.
@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     tune(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    columns = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    columns = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return columns.select("row", F.col("doc_id").alias(id_col), F.lit(0.0).alias("score"))
     model.network.step = {}
@@ -388,16 +388,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             s = model.calibrated(_scorers[id(model)].logits(b.column(2).to_pylist())) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["row", "doc_id", "score"])
 
-    return columns.mapInArrow(run, f"row long, doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
+    return columns.mapInArrow(run, f"row {columns.schema['row'].dataType.simpleString()}, doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that score under THRESHOLD, with all columns of docs, which must be read from files."""
-    from .common import Scratch, bounded
-
-    bad = score(docs, learn(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("row").alias("__row"))
-    bad = bounded(Scratch(docs.sparkSession).keep(bad))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(bad, "__row", "left_anti").drop("__row")
+    """The rows that score under THRESHOLD, with all columns of docs."""
+    return without(docs, score(docs, learn(docs, labels)).where(F.col("score") >= THRESHOLD))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
