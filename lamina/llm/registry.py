@@ -10,6 +10,7 @@ from .licenses import op5_license_scan
 from .sharding import op4_sharding
 from .quality import op9_quality
 from .simhash import op2_simhash_dedup
+from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op7_token_counts
 from .toxicity import op3_toxicity
 
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_token_counts": op7_token_counts,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality": op9_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
