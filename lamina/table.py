@@ -1,0 +1,478 @@
+"""Stripe tables: immutable Parquet stripes under a versioned manifest, with deletes merged on read."""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+import warnings
+from dataclasses import replace
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .errors import CommitConflict, DuplicateKey, MultipleMatches, NotAStripeTable, StripeError
+from .manifest import Log, Manifest, Stripe
+from .plans.pruning import Conjunct, ScanReport, conjuncts_of, encode_bounds, prune
+from .storage import Store
+from .types import schema_of, stats_kind
+
+CODECS = {"none": "uncompressed", "lz4": "lz4_raw", "zstd": "zstd"}
+#: Deleted rows of a scan's stripes that are broadcast at most; beyond it the anti join shuffles.
+BROADCAST_DELETES = 1_000_000
+#: Attempts of DELETE, UPDATE and compact when a rival changes the stripes that they touch.
+ATTEMPTS = 5
+
+_FILE, _ROW = "__file", "__row"
+_DELETES = T.StructType([T.StructField(_FILE, T.StringType()), T.StructField(_ROW, T.LongType())])
+
+
+class StripeTable:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.store = Store(spark, self.path)
+        self.counters = {"metadata_hits": 0, "metadata_misses": 0, "data_hits": 0, "data_misses": 0}
+        self.log = Log(self.store, self.counters)
+        self._cached: tuple[int, DataFrame] | None = None
+
+    # -- life cycle ----------------------------------------------------------------------------------------
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, schema, codec: str = "zstd", rows_per_stripe: int = 10_000) -> StripeTable:
+        """An empty table. schema: a StructType or {column: SQL type}; types are checked here."""
+        t = cls(spark, path)
+        if codec not in CODECS:
+            raise StripeError(f"codec {codec!r} is not one of {', '.join(CODECS)}")
+        first = Manifest(1, schema_of(schema), options={"codec": codec, "rows_per_stripe": rows_per_stripe})
+        if t.log.versions() or not t.log.publish(first):
+            raise StripeError(f"{path} is a stripe table already")
+        return t
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> StripeTable:
+        t = cls(spark, path)
+        t.log.load()
+        return t
+
+    def drop(self) -> None:
+        self.uncache()
+        self.store.delete()
+        self.log.cached.clear()
+
+    @property
+    def schema(self) -> T.StructType:
+        return self.log.load().schema
+
+    @property
+    def version(self) -> int:
+        return self.log.load().version
+
+    # -- writing -------------------------------------------------------------------------------------------
+
+    def _conformed(self, df: DataFrame, schema: T.StructType) -> DataFrame:
+        """By name, missing columns as null, extra ones refused, types cast as an assignment would."""
+        extra = {c.lower() for c in df.columns} - {f.name.lower() for f in schema}
+        if extra:
+            raise StripeError(f"columns not in the table: {', '.join(sorted(extra))}")
+        have = {c.lower() for c in df.columns}
+        return df.select(*[(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+    def _write(self, df: DataFrame, m: Manifest, codec: str, rows: int) -> list[Stripe]:
+        """Stripes of df's rows, written but in no manifest yet; ids are given on commit."""
+        folder = f"stripes/{uuid.uuid4().hex}"
+        df.write.option("maxRecordsPerFile", rows).option("compression", CODECS[codec]).parquet(self.store.path(folder))
+        return self._measured(folder, m.schema, codec)
+
+    def _measured(self, folder: str, schema: T.StructType, codec: str) -> list[Stripe]:
+        """Row counts and column bounds of all files in a folder, in one pass over them."""
+        files = [(n, size) for n, size in self.store.names(folder) if n.endswith(".parquet")]
+        kinds = {f.name: k for f in schema if (k := stats_kind(f.dataType))}
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, (c, k) in enumerate(kinds.items()):
+            col = F.col(f"`{c}`")
+            aggs += [F.min(col).alias(f"a{i}"), F.max(col).alias(f"b{i}"), F.count(col).alias(f"c{i}")]
+        read = self.spark.read.schema(schema).parquet(self.store.path(folder)).select("*", F.col("_metadata.file_name").alias(_FILE))
+        found = {r[_FILE]: r for r in read.groupBy(_FILE).agg(*aggs).toLocalIterator()}  # a row per stripe, as in the manifest
+        out = []
+        for name, size in sorted(files):
+            if name not in found:
+                continue  # no rows
+            r = found[name]
+            stats = {}
+            for i, (c, k) in enumerate(kinds.items()):
+                low, high = r[f"a{i}"], r[f"b{i}"]
+                if k == "timestamptz" and low is not None:
+                    low, high = (x.astimezone(dt.timezone.utc) for x in (low, high))
+                a, b, nan = encode_bounds(k, low, high)
+                stats[c] = [a, b, r["n"] - r[f"c{i}"], nan]
+            out.append(Stripe(0, f"{folder}/{name}", r["n"], size, codec, 0, stats))
+        return out
+
+    @staticmethod
+    def _numbered(m: Manifest, new: list[Stripe]) -> tuple[tuple[Stripe, ...], int]:
+        given = tuple(replace(s, id=m.next_id + i) for i, s in enumerate(new))
+        return given, m.next_id + len(given)
+
+    def insert(self, df: DataFrame, codec: str | None = None, rows_per_stripe: int | None = None, cluster_by: list[str] | None = None, ordered: bool = False, unique: list[str] | None = None) -> Manifest:
+        """Append df's rows as new stripes in one commit.
+
+        ordered: one task, stripes of exactly rows_per_stripe rows in df's order. cluster_by: rows sorted by range
+        of these columns, so that pruning on them works. unique: columns whose values must be new and distinct.
+        """
+        m = self.log.load()
+        df = self._conformed(df, m.schema)
+        if unique:
+            self.check_unique(unique, df)
+        if cluster_by:
+            df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        elif ordered:
+            df = df.coalesce(1)
+        new = self._write(df, m, codec or m.options["codec"], rows_per_stripe or m.options["rows_per_stripe"])
+
+        def change(last: Manifest) -> Manifest:
+            given, after = self._numbered(last, new)
+            return replace(last, stripes=last.stripes + given, next_id=after)
+
+        return self.log.commit(change)
+
+    def insert_csv(self, path: str, header: bool = False, **options) -> Manifest:
+        """COPY ... FROM a CSV file with the table's columns in order."""
+        read = self.spark.read.schema(self.schema).options(header=header, mode="FAILFAST", **options)
+        return self.insert(read.csv(path))
+
+    def upsert(self, df: DataFrame, keys: list[str]) -> Manifest:
+        """Insert the rows whose keys the table doesn't hold; those it holds stay as they are."""
+        df = self._conformed(df, self.schema).dropDuplicates(keys)
+        return self.insert(df.join(self.scan().select(*keys), keys, "left_anti"))
+
+    def check_unique(self, keys: list[str], new: DataFrame | None = None) -> None:
+        """DuplicateKey if the live rows (and new ones) have several with the same keys; keys with a null never clash."""
+        rows = self.scan().select(*keys)
+        rows = rows if new is None else rows.unionByName(new.select(*keys))
+        twice = rows.na.drop(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).collect()
+        if twice:
+            raise DuplicateKey(f"{dict(zip(keys, twice[0][: len(keys)]))} occurs {twice[0][-1]} times")
+
+    # -- scanning ------------------------------------------------------------------------------------------
+
+    def _deleted(self, m: Manifest, files: set[str] | None = None) -> DataFrame:
+        """Rows (file, row) that the manifest's delete vectors hold, each once."""
+        return self.spark.read.schema(_DELETES).parquet(*[self.store.path(d) for d in m.deletes])
+
+    def _rows(self, m: Manifest, stripes: list[Stripe], located: bool = False) -> DataFrame:
+        """Live rows of stripes; located: with their file and place in it."""
+        schema = m.schema
+        at = [F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)]
+        names = [F.col(f"`{f.name}`") for f in schema]
+
+        def read(some: list[Stripe]) -> DataFrame:
+            return self.spark.read.schema(schema).parquet(*[self.store.path(s.file) for s in some])
+
+        clean, dirty = [s for s in stripes if not s.deleted], [s for s in stripes if s.deleted]
+        parts = []
+        if clean:
+            parts.append(read(clean).select(*names, *(at if located else [])))
+        if dirty:
+            gone = self._deleted(m)
+            if sum(s.deleted for s in m.stripes) <= BROADCAST_DELETES:
+                gone = F.broadcast(gone)
+            live = read(dirty).select(*names, *at).join(gone, [_FILE, _ROW], "left_anti")
+            parts.append(live if located else live.select(*names))
+        if not parts:
+            empty = T.StructType(schema.fields + (_DELETES.fields if located else []))
+            return self.spark.createDataFrame([], empty)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def plan(self, where: str | None = None, prune_by: list[tuple] | None = None, version: int | None = None) -> tuple[Manifest, list[Stripe], ScanReport]:
+        m = self.log.load(version)
+        conjuncts = [Conjunct(*p) for p in prune_by or []]
+        if where:
+            conjuncts += conjuncts_of(self.spark, where, m.schema)
+        return m, *prune(m, conjuncts)
+
+    def scan(self, where: str | None = None, columns: list[str] | None = None, prune_by: list[tuple] | None = None, version: int | None = None) -> DataFrame:
+        """Live rows of the latest (or a given) version. where: SQL condition, always applied in full.
+
+        prune_by: further (column, op, value) conjuncts of the query that may skip stripes; rows aren't filtered by them.
+        """
+        m, stripes, _ = self.plan(where, prune_by, version)
+        if self._cached and self._cached[0] == m.version and not prune_by:
+            self.counters["data_hits"] += 1
+            df = self._cached[1]
+        else:
+            self.counters["data_misses"] += 1
+            df = self._rows(m, stripes)
+        df = df.where(where) if where else df
+        return df.select(*columns) if columns else df
+
+    def explain(self, where: str | None = None, prune_by: list[tuple] | None = None) -> ScanReport:
+        return self.plan(where, prune_by)[2]
+
+    def lookup(self, **key) -> DataFrame:
+        """Rows with these column values: a point lookup that opens only the stripes whose bounds admit them."""
+        df = self.scan(prune_by=[(c, "=", v) for c, v in key.items()])
+        for c, v in key.items():
+            df = df.where(F.col(c) == F.lit(v))
+        return df
+
+    def sample(self, fraction: float, seed: int = 0) -> DataFrame:
+        return self.scan().sample(fraction, seed)
+
+    def row_range(self, stripe_id: int, first: int, last: int) -> DataFrame:
+        """Live rows of a stripe at places first to last, from 0."""
+        m = self.log.load()
+        own = [s for s in m.stripes if s.id == stripe_id]
+        return self._rows(m, own, True).where(F.col(_ROW).between(first, last)).drop(_FILE, _ROW)
+
+    def create_view(self, name: str) -> None:
+        self.scan().createOrReplaceTempView(name)
+
+    def cache(self) -> DataFrame:
+        """Keep the latest version's rows in memory, spilling to disk; other versions are read as before."""
+        m = self.log.load()
+        self.uncache()
+        self._cached = (m.version, self._rows(m, list(m.stripes)).persist())
+        return self._cached[1]
+
+    def uncache(self) -> None:
+        if self._cached:
+            self._cached[1].unpersist()
+            self._cached = None
+
+    # -- deleting and updating -----------------------------------------------------------------------------
+
+    def _commit_rows(self, base: Manifest, marked: DataFrame | None, new: list[Stripe]) -> tuple[Manifest, int]:
+        """Commit new stripes and the deletion of marked (file, row) rows of base; CommitConflict if a rival touched them."""
+        counts: dict[str, int] = {}
+        dv: tuple[str, ...] = ()
+        if marked is not None:
+            folder = f"dv/{uuid.uuid4().hex}"
+            marked.write.parquet(self.store.path(folder))
+            written = self.spark.read.schema(_DELETES).parquet(self.store.path(folder))
+            counts = {r[_FILE]: r["count"] for r in written.groupBy(_FILE).count().toLocalIterator()}
+            dv = (folder,) if counts else ()
+        before = {s.file: s for s in base.stripes}
+
+        def change(last: Manifest) -> Manifest:
+            now = {s.file.rpartition("/")[2]: s for s in last.stripes}
+            for name in counts:
+                if name not in now or now[name].deleted != before[now[name].file].deleted:
+                    raise _Touched
+            given, after = self._numbered(last, new)
+            kept = tuple(replace(s, deleted=s.deleted + counts.get(s.file.rpartition("/")[2], 0)) for s in last.stripes)
+            return replace(last, stripes=kept + given, next_id=after, deletes=last.deletes + dv)
+
+        if not counts and not new:
+            return base, 0
+        return self.log.commit(change), sum(counts.values())
+
+    def _attempt(self, once) -> int:
+        for _ in range(ATTEMPTS):
+            try:
+                return once(self.log.load())
+            except _Touched:
+                continue
+        raise CommitConflict(f"{self.path}: its stripes were changed by other writers {ATTEMPTS} times")
+
+    def delete(self, where: str) -> int:
+        """Delete the rows for which the condition is true, not null; returns their number."""
+
+        def once(m: Manifest) -> int:
+            stripes, _ = prune(m, conjuncts_of(self.spark, where, m.schema))
+            if not stripes:
+                return 0
+            return self._commit_rows(m, self._rows(m, stripes, True).where(where).select(_FILE, _ROW), [])[1]
+
+        return self._attempt(once)
+
+    def update(self, set_: dict[str, str | Column], where: str | None = None) -> int:
+        """Set columns in the rows for which the condition is true; updated rows move to the end. Returns their number."""
+
+        def once(m: Manifest) -> int:
+            stripes, _ = prune(m, conjuncts_of(self.spark, where, m.schema) if where else [])
+            if not stripes:
+                return 0
+            hit = self._rows(m, stripes, True)
+            hit = hit.where(where) if where else hit
+            return self._replace_rows(m, hit, hit, {c: F.expr(e) if isinstance(e, str) else e for c, e in set_.items()})
+
+        return self._attempt(once)
+
+    def _replace_rows(self, m: Manifest, hit: DataFrame, source: DataFrame, exprs: dict[str, Column]) -> int:
+        unknown = set(exprs) - {f.name for f in m.schema}
+        if unknown:
+            raise StripeError(f"columns not in the table: {', '.join(sorted(unknown))}")
+        new = source.select(*[(exprs.get(f.name, F.col(f"`{f.name}`"))).cast(f.dataType).alias(f.name) for f in m.schema])
+        stripes = self._write(new, m, m.options["codec"], m.options["rows_per_stripe"])
+        return self._commit_rows(m, hit.select(_FILE, _ROW), stripes)[1]
+
+    def update_from(self, source: DataFrame, on: list[str], set_: dict[str, str], where: str | None = None) -> int:
+        """UPDATE ... FROM: set_ may use source's columns as src.<column>; several source rows for one are an error."""
+
+        def once(m: Manifest) -> int:
+            rows = self._rows(m, [s for s in m.stripes if s.rows > s.deleted], True).alias("t")
+            other = source.select(*[F.col(c).alias(f"__src_{c}") for c in source.columns])
+            joined = rows.join(other, [F.col(f"t.{c}") == F.col(f"__src_{c}") for c in on])
+            packed = joined.withColumn("src", F.struct(*[F.col(f"__src_{c}").alias(c) for c in source.columns]))
+            packed = packed.where(where) if where else packed
+            twice = packed.groupBy(_FILE, _ROW).count().where("count > 1").limit(1).collect()
+            if twice:
+                raise MultipleMatches(f"{twice[0]['count']} source rows match one row")
+            return self._replace_rows(m, packed, packed, {c: F.expr(e) for c, e in set_.items()})
+
+        return self._attempt(once)
+
+    def truncate(self) -> Manifest:
+        return self.log.commit(lambda last: replace(last, stripes=(), deletes=()))
+
+    # -- maintenance ---------------------------------------------------------------------------------------
+
+    def vacuum(self, keep_versions: int = 1) -> DataFrame:
+        """Take dead stripes out of the manifest and delete files that the last keep_versions versions don't use.
+
+        Files of a commit that is still being written have no version yet: vacuum only when no writer is active.
+        """
+        dead: list[Stripe] = []
+
+        def change(last: Manifest) -> Manifest:
+            dead[:] = [s for s in last.stripes if s.deleted >= s.rows]
+            kept = tuple(s for s in last.stripes if s.deleted < s.rows)
+            return replace(last, stripes=kept, deletes=last.deletes if any(s.deleted for s in kept) else ())
+
+        m = self.log.load()
+        if any(s.deleted >= s.rows for s in m.stripes) or m.deletes and not any(s.deleted for s in m.stripes):
+            m = self.log.commit(change)
+        versions = self.log.versions()
+        used = {x for v in versions[-keep_versions:] for mm in [self.log.load(v)] for x in [*(s.file.rpartition("/")[0] for s in mm.stripes), *mm.deletes]}
+        removed = 0
+        for kind in ("stripes", "dv"):
+            for folder in self._folders(kind):
+                if f"{kind}/{folder}" not in used:
+                    removed += self.store.delete(f"{kind}/{folder}")
+        for v in versions[:-keep_versions]:
+            self.store.delete(f"_manifest/v{v:020d}.json")
+            self.log.cached.pop(v, None)
+        return self.spark.createDataFrame([(len(dead), removed, m.live_rows)], "stripes_removed int, folders_removed int, live_rows long")
+
+    def _folders(self, kind: str) -> list[str]:
+        p = self.store._path(self.store.path(kind))
+        return [s.getPath().getName() for s in self.store.fs.listStatus(p)] if self.store.fs.exists(p) else []
+
+    def compact(self) -> DataFrame:
+        """Rewrite the stripes that are partly deleted; fully deleted ones are left for vacuum."""
+        done = [0, 0]
+
+        def once(m: Manifest) -> int:
+            part = [s for s in m.stripes if 0 < s.deleted < s.rows]
+            done[:] = [len(part), sum(s.rows - s.deleted for s in part)]
+            if not part:
+                return 0
+            new = self._write(self._rows(m, part), m, m.options["codec"], m.options["rows_per_stripe"])
+            old = {s.file: s.deleted for s in part}
+
+            def change(last: Manifest) -> Manifest:
+                if any(last_deleted != old[f] for f, last_deleted in ((s.file, s.deleted) for s in last.stripes) if f in old) or len({s.file for s in last.stripes} & set(old)) < len(old):
+                    raise _Touched
+                given, after = self._numbered(last, new)
+                kept = tuple(s for s in last.stripes if s.file not in old)
+                return replace(last, stripes=kept + given, next_id=after, deletes=last.deletes if any(s.deleted for s in kept) else ())
+
+            self.log.commit(change)
+            return len(part)
+
+        self._attempt(once)
+        return self.spark.createDataFrame([tuple(done)], "stripes_compacted int, rows_compacted long")
+
+    def optimize(self, cluster_by: list[str], rows_per_stripe: int | None = None) -> Manifest:
+        """Rewrite all live rows in ranges of cluster_by."""
+        m = self.log.load()
+        df = self._rows(m, list(m.stripes)).repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        new = self._write(df, m, m.options["codec"], rows_per_stripe or m.options["rows_per_stripe"])
+
+        def change(last: Manifest) -> Manifest:
+            if last.version != m.version:
+                raise CommitConflict(f"{self.path} was changed meanwhile")
+            given, after = self._numbered(last, new)
+            return replace(last, stripes=given, next_id=after, deletes=())
+
+        return self.log.commit(change)
+
+    def rebuild_metadata(self) -> DataFrame:
+        """Rewrite the manifest from the files of the latest version; a file that can't be read is left out with a warning.
+
+        The schema and the list of files come from the latest manifest, sizes, row counts, bounds and deleted rows
+        from the files themselves.
+        """
+        m = self.log.load()
+        counts = {}
+        if m.deletes:
+            counts = {r[_FILE]: r["n"] for r in self._deleted(m).groupBy(_FILE).agg(F.count_distinct(_ROW).alias("n")).toLocalIterator()}
+        known: dict[str, Stripe] = {}
+        for folder in sorted({s.file.rpartition("/")[0] for s in m.stripes}):
+            try:
+                known |= {s.file: s for s in self._measured(folder, m.schema, "")}
+            except Exception:
+                for s in (s for s in m.stripes if s.file.startswith(folder + "/")):  # one by one, to find what can be read
+                    try:
+                        n = self.spark.read.schema(m.schema).parquet(self.store.path(s.file)).count()
+                        known[s.file] = replace(s, rows=n)
+                    except Exception as e:
+                        warnings.warn(f"stripe {s.id} ({s.file}) can't be read: {type(e).__name__}", stacklevel=2)
+        rebuilt = tuple(replace(known[s.file], id=s.id, codec=s.codec, deleted=counts.get(s.file.rpartition("/")[2], 0)) for s in m.stripes if s.file in known)
+        new = self.log.commit(lambda last: replace(last, stripes=rebuilt) if last.version == m.version else self._moved())
+        return self.spark.createDataFrame([(len(rebuilt), new.live_rows)], "stripes_rebuilt int, rows_total long")
+
+    def _moved(self):
+        raise CommitConflict(f"{self.path} was changed meanwhile")
+
+    # -- introspection -------------------------------------------------------------------------------------
+
+    def stripe_info(self) -> DataFrame:
+        rows = [(s.id, s.rows, s.size, s.codec, s.deleted, any(x[0] is not None for x in s.stats.values())) for s in self.log.load().stripes]
+        return self.spark.createDataFrame(rows, "stripe_id int, row_count long, file_size long, compression string, deleted_rows long, has_stats boolean")
+
+    def relation_size(self) -> int:
+        """Bytes of all files of the table, metadata too; 0 if it has none."""
+        return self.store.size()
+
+    def row_count(self) -> int:
+        """Live rows, from the manifest alone."""
+        return self.log.load().live_rows
+
+    def estimate(self) -> tuple[int, int]:
+        """Rows and 8 KiB pages, as a planner wants them."""
+        m = self.log.load()
+        return m.live_rows, -(-sum(s.size for s in m.stripes) // 8192)
+
+    def cache_stats(self) -> DataFrame:
+        """Lookups of manifests and of cached rows, and rows held in memory, of this handle."""
+        held = self._cached is not None
+        c = self.counters
+        return self.spark.createDataFrame([(c["metadata_hits"], c["metadata_misses"], c["data_hits"], c["data_misses"], held)], "metadata_hits long, metadata_misses long, data_hits long, data_misses long, cached boolean")
+
+    def analyze(self, columns: list[str] | None = None) -> DataFrame:
+        """Exact statistics: a row per column with rows, nulls, distinct values, minimum and maximum as text."""
+        df = self.scan()
+        columns = columns or df.columns
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, c in enumerate(columns):
+            col = F.col(f"`{c}`")
+            aggs += [F.count(col).alias(f"c{i}"), F.count_distinct(col).alias(f"d{i}"), F.min(col).cast("string").alias(f"a{i}"), F.max(col).cast("string").alias(f"b{i}")]
+        one = df.agg(*aggs)
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n").alias("row_count"), (F.col("n") - F.col(f"c{i}")).alias("null_count"), F.col(f"d{i}").alias("n_distinct"), F.col(f"a{i}").alias("min_value"), F.col(f"b{i}").alias("max_value")) for i, c in enumerate(columns)])
+        return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+class _Touched(Exception):
+    """A rival changed a stripe that this commit touches: start again from the new version."""
+
+
+
+
+def is_stripe_table(spark: SparkSession, path: str) -> bool:
+    try:
+        StripeTable.open(spark, path)
+    except (NotAStripeTable, AnalysisException):
+        return False
+    return True
