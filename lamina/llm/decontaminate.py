@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, row_of, table, without
+from .common import BROADCAST_ROWS, Scratch, row_of, table, without
 
 #: Words of a window, and words of a hashed gram.
 WINDOW, GRAM = 13, 8
@@ -128,6 +128,7 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     has no spans. Repeated rows give a row each. Only the ids and texts of either table are read.
     """
     prints, lengths = benchmark_prints(items, item_col, item_text)
+    prints = Scratch(docs.sparkSession).keep(prints)
     small = prints.limit(limit + 1).count() <= limit
     # a row without items stands for the documents themselves: all of them join it, by a mark after their fingerprints
     itself = prints.sparkSession.range(1).select(F.lit(_ITSELF).alias("hash"))
