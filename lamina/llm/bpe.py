@@ -131,6 +131,11 @@ class MergeReplay:
                     take = (run - begin) % 2 == 0
                     p, q = p[take], q[take]
             z = after[q]
+            touching = np.flatnonzero(z[:-1] == p[1:])
+            if len(touching):  # the left one goes first, and may make a pair of lower rank with the other's left part
+                new = self._ranks_with(self.left, rank, symbols[p[1:][touching]])
+                if new is not None and (new < rank).any():
+                    odd.append(p[touching[new < rank]])
             symbols[p] = rank
             symbols[q] = -2
             pair[q] = NONE

@@ -384,7 +384,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = [F.col("row.file").alias("file"), F.col("row.at").alias("at")] if "struct" in columns.schema["row"].dataType.simpleString() else [F.lit(0).cast("long").alias("file"), F.col("row").alias("at")]
     texts = columns.select(*keys, "id", "doc_id", "text")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(32, -(-size // BUCKET_BYTES))
+    known = size < 1 << 60  # Spark's stand-in for sizes that it doesn't know is beyond it
+    buckets = max(32, -(-size // BUCKET_BYTES) if known else int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[pa.RecordBatch] = []
