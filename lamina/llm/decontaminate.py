@@ -71,6 +71,11 @@ def _packed(hashes: Column) -> Column:
     return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
 
 
+def _salted(n: int):
+    """Hashes of short items of one length differ from those of others."""
+    return lambda h: F.xxhash64(h, F.lit(n))
+
+
 def _fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
     """Of a column words: its column prints, longs of hash and place, for windows and for each short length."""
     made: set[str] = set()
@@ -82,8 +87,7 @@ def _fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
     prints = [F.array_distinct(F.col(least))]
     for n in lengths:
         df, gram = _doubled(df, "__h", n, mix, made)
-        salted = F.transform(F.col(gram), lambda h, n=n: F.xxhash64(h, F.lit(n)))
-        prints.append(_packed(salted))
+        prints.append(_packed(F.transform(F.col(gram), _salted(n))))
     return df.withColumn("prints", F.concat(*prints))
 
 
@@ -110,8 +114,8 @@ def benchmark_prints(items: DataFrame, id_col: str, text_col: str) -> tuple[Data
     made: set[str] = set()
     mix = lambda a, b: F.xxhash64(a, b)
     for n in lengths:
-        df, gram = _doubled(df.drop("__s").withColumn("__s", F.col("__h")), "__h", n, mix, made)
-        short_print = F.when(size == n, F.xxhash64(F.col(gram)[0], F.lit(n)).bitwiseAND(F.lit(~_PLACE))).otherwise(short_print)
+        df, gram = _doubled(df, "__h", n, mix, made)
+        short_print = F.when(size == n, _salted(n)(F.col(gram)[0]).bitwiseAND(F.lit(~_PLACE))).otherwise(short_print)
     is_short = size < WINDOW
     prints = F.when(is_short, F.array(short_print)).otherwise(F.filter("prints", lambda v: v.isNotNull()))
     df = df.withColumn("prints", prints).select("item_id", "words", F.explode("prints").alias("v"))
