@@ -1,0 +1 @@
+"""Row generators and scalar expressions."""

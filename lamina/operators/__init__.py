@@ -1,0 +1 @@
+"""Operators over stripe tables: scans, changes, maintenance, introspection."""

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import CommitConflict, DuplicateKey, MultipleMatches, NotAStripeTable, StripeError
-from .manifest import Log, Manifest, Stripe
-from .plans.pruning import Conjunct, ScanReport, conjuncts_of, encode_bounds, prune
-from .storage import Store
-from .types import schema_of, stats_kind
+from ..errors import CommitConflict, DuplicateKey, MultipleMatches, NotAStripeTable, StripeError
+from ..manifest import Log, Manifest, Stripe
+from ..plans.pruning import Conjunct, ScanReport, conjuncts_of, encode_bounds, prune
+from ..storage import Store
+from ..types import schema_of, stats_kind
 
 CODECS = {"none": "uncompressed", "lz4": "lz4_raw", "zstd": "zstd"}
 #: Deleted rows of a scan's stripes that are broadcast at most; beyond it the anti join shuffles.

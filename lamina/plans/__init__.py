@@ -1,0 +1 @@
+"""Stripe pruning, and the queries of the driver contract."""

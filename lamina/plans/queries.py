@@ -14,7 +14,7 @@ from ..functions.generate import CATEGORIES, REGIONS, fact_orders, generate_seri
 from ..functions.scalar import add_days, array_get, date_trunc_ntz, int_div, round_to_int
 from ..scratch import work_path
 from ..sources.tables import base_table, register, write_delimited
-from ..table import StripeTable
+from ..operators.table import StripeTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

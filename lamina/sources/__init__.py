@@ -1,0 +1 @@
+"""Base tables, delimited text, Arrow IPC stripes."""

@@ -1,0 +1 @@
+"""Structured Streaming into stripe tables."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..manifest import Manifest
-from ..table import StripeTable
+from ..operators.table import StripeTable
 
 
 def append_stream(stream: DataFrame, table: StripeTable, checkpoint: str, name: str, **trigger) -> StreamingQuery:

@@ -11,7 +11,7 @@ from lamina.errors import DuplicateKey, MultipleMatches, NotAStripeTable, Stripe
 from lamina.functions.generate import generate_series
 from lamina.sources import arrow_stripes
 from lamina.streaming.sink import append_stream
-from lamina.table import StripeTable, is_stripe_table
+from lamina.operators.table import StripeTable, is_stripe_table
 from lamina.types import sql_type
 
 ALL = {"c_bool": "bool", "c_i16": "smallint", "c_i32": "int", "c_i64": "bigint", "c_f32": "real", "c_f64": "double precision", "c_text": "text", "c_varchar": "varchar", "c_bytea": "bytea", "c_date": "date", "c_ts": "timestamp", "c_tstz": "timestamptz", "c_uuid": "uuid", "c_numeric": "numeric(38,10)"}
