@@ -47,6 +47,10 @@ GNU = {"GPL": "gnu general public license", "LGPL": "gnu lesser general public l
 CREATIVE = {"by": "attribution", "by-sa": "attribution-sharealike", "by-nc": "attribution-noncommercial", "by-nd": "attribution-noderivatives", "by-nc-sa": "attribution-noncommercial-sharealike", "by-nc-nd": "attribution-noncommercial-noderivatives"}
 
 
+#: What stands between sentences of a lower-case text; copyright lines say who, not what, and part them too.
+BOUNDARY = r"(?m)[.!?]+(?=\s|$)\s*|\n\s*\n|^[^\na-z]*copyright (?:\(c\)|©|\d{4})[^\n]*(?:\n|$)"
+
+
 def sentences() -> dict[str, str]:
     """Normalised sentence: identifier."""
     out = {s: i for i, s in SENTENCES.items()}
@@ -107,14 +111,14 @@ def _normal(sentence: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, sentence_ids array (in text order), licenses array (sorted, distinct), unmatched array.
 
-    Sentences end at . ! ? before white space and at empty lines; in a sentence over several lines each line counts
+    Sentences end at . ! ? before white space, at empty lines and at copyright lines; in a sentence over several lines each line counts
     too. SPDX tags name their licence themselves. Null and empty texts have none; repeated rows give a row each.
     Only id and text are read.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame([(s, i) for s, i in sentences().items()], "s string, known string")  # of fixed size
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    parts = F.split(text, r"[.!?]+(?=\s|$)\s*|\n\s*\n")
+    parts = F.split(text, BOUNDARY)
     base = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.concat(F.array(F.lit(None).cast("string")), parts).alias("parts"))
     each = base.select("row", "doc_id", F.posexplode("parts").alias("i", "part"))
     lines = F.when(F.instr("part", "\n") > 0, F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
