@@ -32,8 +32,8 @@ LENGTH, GRAM = 100, 32
 PART = 1 << 19
 #: Bytes of text whose runs a task settles together before it sends them.
 TASK_BYTES = 24 << 20
-#: Input bytes per bucket of runs, and bytes of a side that may be broadcast to the documents.
-BUCKET_BYTES, BROADCAST_BYTES = 24 << 20, 32 << 20
+#: Bytes of the input's files per bucket of runs.
+BUCKET_BYTES = 6 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -364,12 +364,6 @@ def cut(text: bytes, windows: np.ndarray) -> tuple[list[tuple[int, int]], bytes]
     return spans, b"".join(kept)
 
 
-def _attached(texts: DataFrame, side: DataFrame, size: str, how: str) -> DataFrame:
-    """texts joined with side on file and at; side is broadcast if its bytes have been summed up to few."""
-    n, total = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()
-    return texts.join(F.broadcast(side) if total + 64 * n <= BROADCAST_BYTES else side, ["file", "at"], how)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes long, spans array<struct<start, end>> of bytes removed, kept binary.
 
@@ -385,7 +379,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = columns.select(*keys, "id", "doc_id", "text")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size < 1 << 60  # Spark's stand-in for sizes that it doesn't know is beyond it
-    buckets = max(32, -(-size // BUCKET_BYTES) if known else int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(12, -(-size // BUCKET_BYTES) if known else int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[pa.RecordBatch] = []
@@ -439,7 +433,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if fields:
             yield flush()
 
-    asking = _attached(texts.drop("doc_id"), state.where("octet_length(asks) > 0").select("file", "at", "asks"), "octet_length(asks)", "inner")
+    asking = texts.drop("doc_id").join(state.where("octet_length(asks) > 0").select("file", "at", "asks"), ["file", "at"])
     answered = asking.select("file", "at", "id", "asks", "text").mapInArrow(ask, rows).groupBy("bucket").applyInArrow(lambda t: _answer(t, buckets), rows)
     more = answered.groupBy("bucket").applyInArrow(_by_document, "file long, at long, spans binary, asks binary").select("file", "at", F.col("spans").alias("more"))
     none = F.lit(b"").cast("binary")
@@ -455,7 +449,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             spans = pa.array([[{"start": a, "end": e} for a, e in s] for s, _ in done], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), spans, pa.array([k for _, k in done], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    out = _attached(texts.drop("id"), spans, "octet_length(spans)", "left").select("doc_id", "text", "spans")
+    out = texts.drop("id").join(spans, ["file", "at"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(apply, f"doc_id {kind}, n_bytes long, spans array<struct<start: int, end: int>>, kept binary").withColumnRenamed("doc_id", id_col)
 
 
