@@ -32,8 +32,8 @@ GRAMS, LEAST_DOCS = (3, 4, 5), 3
 EPOCHS, RATE, BATCH, SEED = 12, 0.01, 256, 11
 #: Epochs in which the evidence alone chooses the window that stands for a document.
 TRUSTED = 4
-#: Words whose inputs a worker keeps; windows that the network reads at once.
-CACHE_WORDS, AT_ONCE = 250_000, 4096
+#: Words whose inputs a worker keeps; windows that the network reads, and words that are hashed, at once.
+CACHE_WORDS, AT_ONCE, WORDS_AT_ONCE = 250_000, 4096, 20_000
 THRESHOLD = 0.5
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -77,27 +77,40 @@ class Evidence:
     """Lower bounds of the log-odds of document frequencies of n-grams and words, by their 64-bit hashes."""
 
     def __init__(self, docs: list[list[bytes]], y: np.ndarray):
-        vocabulary: dict[bytes, int] = {b"": 0}
-        inside = [np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in d]).astype(int) for d in docs]
-        grams, starts, whole = features(list(vocabulary))
-        sizes = np.diff(np.r_[starts, len(grams)])
-        known, at = np.unique(np.r_[grams, whole], return_inverse=True)
-        gram, word = at[: len(grams)], at[len(grams) :]
-        counts = np.zeros((2, len(known)))
-        for own, label in zip(inside, y):
-            if len(own):
-                own_grams = np.repeat(starts[own], sizes[own]) + _ramp(sizes[own])
-                counts[int(label), np.unique(np.r_[gram[own_grams], word[own]])] += 1
-        n, p = counts
+        # one document at a time: first what LEAST_DOCS documents of label 1 have, then how many of label 0 have that
+        known, p = np.zeros(0, np.uint64), np.zeros(0)
+        waiting: list[np.ndarray] = []
+        toxic = np.flatnonzero(y == 1)
+        for at, i in enumerate(toxic.tolist()):
+            waiting.append(self._distinct(docs[i]))
+            if len(waiting) == 64 or at + 1 == len(toxic):
+                both, inverse = np.unique(np.concatenate([known, *waiting]), return_inverse=True)
+                p = np.bincount(inverse, np.r_[p, np.ones(len(inverse) - len(known))], len(both))
+                known = both
+                waiting = []
+        known, p = known[p >= LEAST_DOCS], p[p >= LEAST_DOCS]
+        n = np.zeros(len(known))
+        for i in np.flatnonzero(y == 0).tolist() if len(known) else []:
+            own = self._distinct(docs[i])
+            found = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            n[found[known[found] == own]] += 1
         odds = np.log((p + 0.5) / (y.sum() + 1)) - np.log((n + 0.5) / ((1 - y).sum() + 1))
         z = odds - 2 * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        best = np.flatnonzero((p >= LEAST_DOCS) & (z > 0))
+        best = np.flatnonzero(z > 0)
         best = best[np.argsort(-z[best], kind="stable")[:EVIDENCE]]
         best.sort()
         self.hashes, self.z = known[best], z[best].astype(np.float32)
         self.maybe = np.zeros(SIEVE, bool)  # most hashes are told apart here, the rest by search
         self.maybe[(self.hashes % np.uint64(SIEVE)).astype(np.int64)] = True
 
+    @staticmethod
+    def _distinct(words: list[bytes]) -> np.ndarray:
+        """Hashes of all n-grams and words of a document."""
+        if not words:
+            return np.zeros(0, np.uint64)
+        grams, _, whole = features(sorted(set(words)))
+        return np.unique(np.r_[grams, whole])
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.float32)
         at = np.flatnonzero(self.maybe[(hashes % np.uint64(SIEVE)).astype(np.int64)])
@@ -108,6 +121,10 @@ class Evidence:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Fixed inputs of each word; slots of its n-grams, where they begin, slot of the word."""
+        if len(words) > WORDS_AT_ONCE:
+            parts = [self.inputs(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+            before = np.cumsum([0, *(len(g) for _, g, _, _ in parts)])
+            return tuple(np.concatenate([p[k] + before[i] if k == 2 else p[k] for i, p in enumerate(parts)]) for k in range(4))
         grams, starts, whole = features(words)
         z = self.of(grams)
         top = np.maximum.reduceat(z, starts)
