@@ -2,22 +2,26 @@
 
 Documents of equal texts are linked. Linked documents start spread over the shards; in each round every group's
 counts per shard name the shard that most of it should go to, and members elsewhere move there as far as the
-shard's free capacity, dealt into quotas per bucket, lets them. Documents without links go last and fill what is
-free, so that row counts differ by one at most (law "rows"). A group of over half a shard can't be moved as one:
-there are fewer than two such groups per shard, and they are given whole shards, or parts, beforehand.
+shard's free places and those of its leavers let them, so that full shards swap. Rounds go on while they lower the
+number of cut links. Groups still cut then are placed by an exact last step: the larger ones by best fit, the others
+by a gapless number dealt into the room left. Documents without links go last and fill what is free, so that row
+counts differ by one at most (law "rows"). A group of over half a shard can't be moved as one: there are fewer than
+two such groups per shard, and they are given whole shards, or parts, beforehand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, dense_index, pieces, row_of, table
 
-SHARDS, ROUNDS = 40, 4
-#: Linked documents per quota bucket.
+SHARDS = 40
+#: Linked documents of a shard per bucket in which movers are numbered.
 QUOTA_ROWS = 20_000
+#: Cut groups of more than a shard's rows over this are packed one by one in the driver: fewer than PACKED a shard.
+PACKED = 64
 
 
 def _longs(xs: list[int]) -> Column:
@@ -49,7 +53,7 @@ def _give_giants(sizes: list[int], room: list[int]) -> list[list[tuple[int, int]
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard int, slot long, linked boolean.
 
     Null texts count as empty ones, and empty texts are equal to each other. Repeated rows and null ids are rows
@@ -68,12 +72,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     giants = groups.where(large).orderBy(F.desc("m"), "g").limit(2 * shards).collect()  # fewer than 2 * shards
     placed = []
     if giants:
-        given = _give_giants([r.m for r in giants], room)
-        rows = [(bytes(r.g), [s for s, _ in x], [sum(k for _, k in x[: i + 1]) for i in range(len(x))]) for r, x in zip(giants, given)]
-        shares = docs.sparkSession.createDataFrame(rows, "g binary, __s array<int>, __e array<long>")
-        own = scratch.keep(marked.where("m > 1").where(large).join(F.broadcast(shares.select("g")), "g", "left_semi"))
-        own = dense_index(own, scratch, ["g"], "h", [F.col("h"), F.col("row")], "i", pieces(n)).join(F.broadcast(shares), "g")
-        placed.append(own.select("row", F.element_at("__s", (F.size(F.filter("__e", lambda e: e <= F.col("i"))) + 1).cast("int")).alias("shard")))
+        shares = _shares(docs.sparkSession, giants, _give_giants([r.m for r in giants], room))
+        placed.append(_share_out(marked.where("m > 1").where(large), shares, scratch, n))
 
     linked = scratch.keep(marked.where("m > 1").where(~large))
     count = linked.count()
@@ -82,15 +82,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
         at = dense_index(linked.withColumn("k", everything), scratch, ["k"], "h", [F.col("h"), F.col("row")], "i", pieces(n))
         start = _slot_of(F.floor(F.col("i").cast("decimal(38,0)") * sum(room) / count).cast("long"), room)
         now = scratch.keep(at.select("row", "h", "g", "m", start.alias("s")))
-        for _ in range(rounds):
-            after, moved = _propagate(now, scratch, room, count)
-            scratch.drop(now)
-            now = after
-            if not moved:
+        cut = _cut(now)
+        while cut:
+            after = _propagate(now, scratch, room, count)
+            left = _cut(after)
+            if left >= cut:
+                scratch.drop(after)
                 break
-        placed.append(now.select("row", F.col("s").alias("shard")))
-        loads = dict(now.groupBy("s").count().collect())
-        room = [r - loads.get(s, 0) for s, r in enumerate(room)]
+            scratch.drop(now)
+            now, cut = after, left
+        settled, room = _settle(now, scratch, room, n)
+        placed += settled
     single = marked.where("m = 1").withColumn("k", F.lit(0))
     single = dense_index(single, scratch, ["k"], "h", [F.col("h"), F.col("row")], "i", pieces(n))
     placed.append(single.select("row", _slot_of(F.col("i"), room).alias("shard")))
@@ -102,27 +104,105 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     return out.select(F.col("doc_id").alias(id_col), "size", "text_crc32", "shard", "slot", F.coalesce("linked", F.lit(False)).alias("linked"), "g")
 
 
-def _propagate(now: DataFrame, scratch: Scratch, room: list[int], count: int) -> tuple[DataFrame, int]:
-    """One round: rows with their new shards, and how many moved."""
+def _shares(spark: SparkSession, groups: list[Row], given: list[list[tuple[int, int]]]) -> DataFrame:
+    """For each group, its shards and where in a number within the group their places end."""
+    rows = [(bytes(r.g), [s for s, _ in x], [sum(k for _, k in x[: i + 1]) for i in range(len(x))]) for r, x in zip(groups, given)]
+    return spark.createDataFrame(rows, "g binary, __s array<int>, __e array<long>")
+
+
+def _share_out(rows: DataFrame, shares: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """row and shard of the rows whose groups are in shares."""
+    own = scratch.keep(rows.select("row", "h", "g").join(F.broadcast(shares.select("g")), "g", "left_semi"))
+    own = dense_index(own, scratch, ["g"], "h", [F.col("h"), F.col("row")], "i", pieces(n)).join(F.broadcast(shares), "g")
+    return own.select("row", F.element_at("__s", (F.size(F.filter("__e", lambda e: e <= F.col("i"))) + 1).cast("int")).alias("shard"))
+
+
+def _cut(now: DataFrame) -> int:
+    """Links from each group's shard of most members to its members elsewhere."""
+    per = now.groupBy("g", "m", "s").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "m").agg(F.max("c").alias("top"))
+    return per.agg(F.coalesce(F.sum(F.col("m") - F.col("top")), F.lit(0)).cast("long")).first()[0]
+
+
+def _flows(wishes: list[list[int]], free: list[int]) -> list[list[int]]:
+    """How many of wishes[s][t] may move so that no shard's arrivals exceed its free places and its leavers.
+
+    Where a shard would overflow, its arrivals are cut in proportion; that keeps rows in the shards they come from, which
+    may overflow in turn, until none does.
+    """
+    a = [row[:] for row in wishes]
+    shards = range(len(free))
+    over = [sum(a[s][t] for s in shards) - sum(a[t]) - free[t] for t in shards]
+    while (most := max(over)) > 0:
+        t = over.index(most)
+        total = sum(a[s][t] for s in shards)
+        seen = 0
+        for s in shards:
+            stay = (total - most) * (seen + a[s][t]) // total - (total - most) * seen // total
+            seen += a[s][t]
+            over[s] += a[s][t] - stay
+            a[s][t] = stay
+        over[t] -= most
+    return a
+
+
+def _propagate(now: DataFrame, scratch: Scratch, room: list[int], count: int) -> DataFrame:
+    """One round: rows with their new shards."""
     loads = dict(now.groupBy("s").count().collect())  # a row per shard
     free = [r - loads.get(s, 0) for s, r in enumerate(room)]
     there = now.groupBy("g", "m", "s").agg(F.count(F.lit(1)).alias("c"))
     left = _longs(free)[F.col("s")]
     best = F.max(F.struct((left >= F.col("m") - F.col("c")).alias("fits"), "c", F.xxhash64("g", "s").alias("tie"), F.col("s").alias("t")))
     targets = scratch.keep(there.groupBy("g").agg(best.alias("b")).select("g", F.col("b.t").alias("t")))
-    joined = scratch.keep(now.join(bounded(targets), "g"))
-    buckets = max(1, -(-count // QUOTA_ROWS))
-    bucket = F.pmod("h", F.lit(buckets))
-    f = _longs(free)[F.col("t")]
-    quota = F.floor(f * (F.col("b") + 1) / buckets) - F.floor(f * F.col("b") / buckets)
-    wish = joined.where("s <> t").withColumn("b", bucket)
-    order = W.partitionBy("t", "b").orderBy(F.xxhash64("g"), "g", "row")  # groups go as a whole if they can
-    wish = scratch.keep(wish.withColumn("ok", F.row_number().over(order) <= quota))
-    after = joined.where("s = t").select("row", "h", "g", "m", "s").unionByName(wish.select("row", "h", "g", "m", F.when(F.col("ok"), F.col("t")).otherwise(F.col("s")).alias("s")))
+    joined = scratch.keep(now.join(bounded(targets), "g").withColumn("hg", F.xxhash64("g")))
+    wish = joined.where("s <> t")
+    wishes = [[0] * len(room) for _ in room]
+    for r in wish.groupBy("s", "t").agg(F.count(F.lit(1)).alias("c")).collect():  # a row per pair of shards
+        wishes[r.s][r.t] = r.c
+    flows = _flows(wishes, free)
+    ranked = dense_index(wish, scratch, ["s", "t"], "hg", [F.col("hg"), F.col("g"), F.col("row")], "i", max(1, -(-count // (QUOTA_ROWS * len(room)))))  # groups go as a whole if they can
+    may = F.array(*[_longs(x) for x in flows])[F.col("s")][F.col("t")]
+    after = joined.where("s = t").select("row", "h", "g", "m", "s").unionByName(ranked.select("row", "h", "g", "m", F.when(F.col("i") < may, F.col("t")).otherwise(F.col("s")).alias("s")))
     after = scratch.keep(after)
-    moved = wish.where("ok").count()
-    scratch.drop(targets, joined, wish)
-    return after, moved
+    scratch.drop(targets, joined)
+    return after
+
+
+def _settle(now: DataFrame, scratch: Scratch, room: list[int], n: int) -> tuple[list[DataFrame], list[int]]:
+    """row and shard of all rows, and the room left: groups that are whole stay, the others are placed anew."""
+    shards = len(room)
+    there = now.groupBy("g", "m", "s").agg(F.count(F.lit(1)).alias("c"))
+    per = scratch.keep(there.groupBy("g", "m").agg((F.count(F.lit(1)) > 1).alias("loose"), F.min("s").alias("s")))
+    taken = dict(per.where("NOT loose").groupBy("s").agg(F.sum("m")).collect())
+    room = [r - taken.get(s, 0) for s, r in enumerate(room)]
+    fates = [per.where("NOT loose").select("g", F.col("s").alias("shard"))]
+    large = F.col("m") * PACKED * shards > n
+    given = per.where("loose").where(large).orderBy(F.desc("m"), "g").limit(PACKED * shards).collect()  # fewer than PACKED * shards
+    parts = _give_giants([r.m for r in given], room)
+    small = per.where("loose").where(~large)
+    if not small.isEmpty():
+        d = scratch.keep(small.select("g", "m", F.pmod(F.xxhash64("g"), F.lit(pieces(n))).cast("int").alias("b"), F.lit(0).alias("k")))
+        sums = d.groupBy("k", "b").agg(F.sum("m").alias("m"))
+        before = sums.select("b", F.coalesce(F.sum("m").over(W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+        own = F.sum("m").over(W.partitionBy("b").orderBy("g").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ends = d.withColumn("own", own).join(bounded(scratch.keep(before)), "b").withColumn("end", F.col("at") + F.col("own"))
+        dealt = scratch.keep(ends.select("g", "m", _slot_of(F.col("end") - F.col("m"), room).alias("shard"), _slot_of(F.col("end") - 1, room).alias("last")))
+        inside = dealt.where("shard = last")
+        fates.append(inside.select("g", "shard"))
+        taken = dict(inside.groupBy("shard").agg(F.sum("m")).collect())
+        room = [r - taken.get(s, 0) for s, r in enumerate(room)]
+        across = dealt.where("shard <> last").orderBy(F.desc("m"), "g").limit(shards).collect()  # one per bound between shards at most
+        given, parts = given + across, parts + _give_giants([r.m for r in across], room)
+    one = [(bytes(r.g), x[0][0]) for r, x in zip(given, parts) if len(x) == 1]
+    split = [(r, x) for r, x in zip(given, parts) if len(x) > 1]
+    if one:
+        fates.append(now.sparkSession.createDataFrame(one, "g binary, shard int"))
+    fate = fates[0]
+    for f in fates[1:]:
+        fate = fate.unionByName(f)
+    out = [now.join(bounded(scratch.keep(fate)), "g").select("row", "shard")]
+    if split:
+        out.append(_share_out(now, _shares(now.sparkSession, [r for r, _ in split], [x for _, x in split]), scratch, n))
+    return out, room
 
 
 def cut_edges(assigned: DataFrame) -> DataFrame:

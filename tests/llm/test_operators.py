@@ -271,6 +271,28 @@ def test_shards_of_odd_tables(docs, empty):
     assert sharding.assign(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes, shards, most", [([2] * 300, 4, 0), ([2] * 150, 4, 2), ([3 + i % 35 for i in range(70)], 10, 30)])
+def test_shards_where_every_text_has_a_copy(spark, sizes, shards, most):
+    texts = [f"text {i}" for i, m in enumerate(sizes) for _ in range(m)]
+    random.Random(3).shuffle(texts)
+    out = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards)
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1 and sum(counts) == len(texts)
+    cut, links = sharding.cut_edges(out).first()
+    assert links == len(texts) - len(sizes) and cut <= most
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=5, max_size=5), min_size=5, max_size=5), st.lists(st.integers(0, 20), min_size=5, max_size=5))
+def test_flows_fit_the_shards(wishes, free):
+    flows = sharding._flows(wishes, free)
+    for t in range(5):
+        assert all(0 <= flows[s][t] <= wishes[s][t] for s in range(5))
+        assert sum(flows[s][t] for s in range(5)) - sum(flows[t]) <= free[t]
+    swap = [[0, 7], [7, 0]]
+    assert sharding._flows(swap, [0, 0]) == swap
+
+
 # -- 5: licence scans -------------------------------------------------------------------------------------------
 
 BSD = """Copyright (c) 2001, Someone
