@@ -29,7 +29,9 @@ SENTENCES = {
     "ISC-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "Apache-ref": "licensed under the apache license version 2.0",
     "Apache-head": "licensed under the apache license version 2.0 the license",
+    "Apache-first": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
     "Apache-comply": "you may not use this file except in compliance with the license",
+    "Apache-at": "you may obtain a copy of the license at",
     "Apache-copy": "you may obtain a copy of the license at http www.apache.org licenses license-2.0",
     "Apache-asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "Apache-see": "see the license for the specific language governing permissions and limitations under the license",
@@ -66,6 +68,11 @@ def sentences() -> dict[str, str]:
             for work in ("licensed under", "this work is licensed under", "released under"):
                 out[f"{work} cc {clause} {v}"] = f"CC-{clause}-{v}-ref"
             out[f"this work is licensed under a creative commons {full} {v} international license"] = f"CC-{clause}-{v}-ref"
+    for scheme in ("http", "https"):
+        for ending in ("", ".txt", ".html"):
+            copy = f"{SENTENCES['Apache-at']} {scheme} www.apache.org licenses license-2.0{ending}"
+            out[copy] = "Apache-copy"
+            out[f"{copy} {SENTENCES['Apache-asis']}"] = "Apache-copy-asis"  # no empty line between them
     return out
 
 
@@ -79,8 +86,6 @@ def rules() -> list[tuple[str, list[str]]]:
         ("BSD-2-Clause", [*bsd, "BSD-asis", "BSD-liability"]),
         ("BSD-2-Clause", [*bsd, "BSD-asis"]),
         ("BSD-2-Clause", bsd),
-        ("Apache-2.0", ["Apache-head", "Apache-comply", "Apache-copy", "Apache-asis", "Apache-see"]),
-        ("Apache-2.0", ["Apache-head", "Apache-comply"]),
         ("MIT", ["MIT-grant", "MIT-notice", "MIT-asis", "MIT-liability"]),
         ("MIT", ["MIT-grant", "MIT-notice"]),
         ("ISC", ["ISC-grant"]),
@@ -93,6 +98,10 @@ def rules() -> list[tuple[str, list[str]]]:
         ("Unlicense", ["Unlicense-grant"]),
         ("Public-domain", ["PD-ref"]),
     ]
+    for first in (["Apache-head", "Apache-comply"], ["Apache-first"]):
+        for copy in (["Apache-at", "Apache-asis"], ["Apache-copy", "Apache-asis"], ["Apache-copy-asis"]):
+            out += [("Apache-2.0", [*first, *copy, "Apache-see"]), ("Apache-2.0", [*first, *copy])]
+        out += [("Apache-2.0", [*first, "Apache-at"]), ("Apache-2.0", [*first, "Apache-copy"]), ("Apache-2.0", first)]
     for name in GNU:
         for v in ("2", "2.1", "3"):
             spdx = f"{name}-{v if '.' in v else v + '.0'}"
@@ -105,14 +114,14 @@ def rules() -> list[tuple[str, list[str]]]:
 def _normal(sentence: Column) -> Column:
     """Words of a lower-case sentence, one space between them, without punctuation around them."""
     words = F.regexp_replace(sentence, r"[^\p{L}\p{N}.+-]+", " ")
-    return F.trim(F.regexp_replace(words, r"(?<![\p{L}\p{N}])[.+-]+|[.-]+(?![\p{L}\p{N}])", ""))
+    return F.trim(F.regexp_replace(words, r"(?<![\p{L}\p{N}])[.+-]+ ?|[.-]+(?![\p{L}\p{N}])", ""))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, sentence_ids array (in text order), licenses array (sorted, distinct), unmatched array.
 
     Sentences end at . ! ? before white space, at empty lines and at copyright lines; in a sentence over several lines each line counts
-    too. SPDX tags name their licence themselves. Null and empty texts have none; repeated rows give a row each.
+    too, but not for the rules where the sentence is known as a whole. SPDX tags name their licence themselves. Null and empty texts have none; repeated rows give a row each.
     Only id and text are read.
     """
     spark = docs.sparkSession
@@ -131,8 +140,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each = each.withColumn("known", F.coalesce("known", F.when(F.startswith("s", F.lit("spdx-license-identifier")), F.concat(F.lit("SPDX:"), F.nullif(spdx, F.lit(""))))))
     each = each.where("known IS NOT NULL OR i = 0")
     seq = each.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("known").isNotNull(), F.struct("i", "j", "known")))).alias("seq"))
-    ids = seq.select("row", "doc_id", F.transform("seq", lambda x: x["known"]).alias("sentence_ids"))
-    plain = F.filter("sentence_ids", lambda x: ~F.startswith(x, F.lit("SPDX:")))
+    wholes = F.transform(F.filter("seq", lambda x: x["j"] == 0), lambda x: x["i"])
+    counted = F.transform(F.filter("seq", lambda x: (x["j"] == 0) | ~F.array_contains("wholes", x["i"])), lambda x: x["known"])
+    ids = seq.withColumn("wholes", wholes).select("row", "doc_id", F.transform("seq", lambda x: x["known"]).alias("sentence_ids"), counted.alias("counted"))
+    plain = F.filter("counted", lambda x: ~F.startswith(x, F.lit("SPDX:")))
     tags = F.transform(F.filter("sentence_ids", lambda x: F.startswith(x, F.lit("SPDX:"))), lambda x: F.substring(x, 6, 1000))
     ids = ids.withColumn("tags", tags).withColumn("known", F.concat_ws("", F.transform(plain, lambda x: F.concat(F.lit(","), x, F.lit(",")))))
     for at, (licence, wanted) in enumerate(rules()):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -324,6 +325,34 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_apache_headers(spark):
+    at, rest = APACHE.split("    http")[0], "http" + APACHE.split("    http")[1]
+    texts = [APACHE, " ".join(APACHE.split())]
+    texts += [textwrap.fill(at, w) + "\n\n" + "\n\n".join(textwrap.fill(p, w) for p in rest.split("\n\n")) for w in (45, 60, 100)]
+    texts += [textwrap.fill(" ".join(APACHE.split()), w) for w in (50, 90)]
+    marked = [mark.join(["", *t.splitlines(keepends=True)]) for t in texts for mark in ("# ", " * ", "// ", "-- ")]
+    texts += marked + ["/*\n * Copyright 2020 Someone\n *\n" + m + " */\nint x;" for m in marked if m.startswith(" *") and m.endswith("\n")]
+    texts += [t.replace("http:", "https:") for t in texts] + [" ".join(APACHE.split()[:22])]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.licenses, r.unmatched) == (["Apache-2.0"], []), (texts[r.doc_id], r)
+
+
 def slow_scan(text):
     """The same rules over strings, sentence by sentence."""
     known, out = licenses.sentences(), []
