@@ -2,10 +2,10 @@
 
 Inputs of a word come from its characters and from the word as a whole: evidence of its byte n-grams and of the
 word (lower bounds of the log-odds of their document frequencies in labelled documents) and learnt embeddings of both. The
-network reads WINDOW words at a time, a window every STRIDE words over the whole text; attention pools its states
+network reads WINDOW words at a time, all overlapping windows (one every STRIDE = 1 words) of the whole text; attention pools its states
 into the window's logit, and a document's score is the calibrated logit of its most toxic window. All is trained
 in numpy on a bounded sample of labelled rows: one part gives the evidence, another trains the network, where a
-toxic document stands for its highest windows, and a third calibrates.
+toxic document stands for its highest windows (of those every LEARNT_STRIDE words), and a third calibrates on all windows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from .quality import held_out, labelled
 #: Labelled rows to learn from, at most: of label 1, of label 0; texts of more bytes aren't taken into the sample.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 3000, 30_000
 #: Words of a window and from one window to the next; size of the state in each direction.
-WINDOW, STRIDE, STATE = 24, 16, 8
+WINDOW, STRIDE, STATE = 24, 1, 8
+#: Words from one window to the next among those that the network learns from.
+LEARNT_STRIDE = 16
 #: Features kept as evidence at most (a fixed size), slots of the sieve before them and of the embeddings; size of an embedding.
 EVIDENCE, SIEVE, SLOTS, EMBED = 100_000, 1 << 22, 1 << 13, 4
 #: Lengths of byte n-grams; documents of label 1 that a feature needs to count as evidence.
@@ -33,7 +35,7 @@ EPOCHS, RATE, BATCH, SEED = 12, 0.01, 256, 11
 #: Epochs in which the evidence alone chooses the window that stands for a document.
 TRUSTED = 4
 #: Words whose inputs a worker keeps; windows that the network reads, and words that are hashed, at once.
-CACHE_WORDS, AT_ONCE, WORDS_AT_ONCE = 250_000, 4096, 20_000
+CACHE_WORDS, AT_ONCE, WORDS_AT_ONCE = 250_000, 2048, 20_000
 THRESHOLD = 0.5
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -189,6 +191,34 @@ class Network:
         logit = pooled @ self.p["o"] + self.p["o0"]
         return (logit, (states, alpha, pooled, tape)) if keep else logit
 
+    def slide(self, proj: np.ndarray) -> np.ndarray:
+        """Logits of all windows of WINDOW words in a row of words (as projected), as forward() has them but for rounding."""
+        n, S = len(proj) - WINDOW + 1, STATE
+        x = np.ascontiguousarray(proj.T)  # windows side by side: step t of all of them is a slice
+        score, value = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        for d, off in (("f", 0), ("b", 3 * S)):
+            own = slice(off // 3, off // 3 + S)
+            both = np.ascontiguousarray(np.vstack([self.p[f"U{d}"].T, self.p["a"][own], self.p["o"][own]]))
+            h, u, zr, c = np.zeros((S, n), np.float32), np.zeros((3 * S + 2, n), np.float32), np.empty((2 * S, n), np.float32), np.empty((S, n), np.float32)
+            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                np.add(x[off : off + 2 * S, t : t + n], u[: 2 * S], out=zr)
+                np.negative(zr, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[S:], u[2 * S : 3 * S], out=c)
+                c += x[off + 2 * S : off + 3 * S, t : t + n]
+                np.tanh(c, out=c)
+                h -= c
+                h *= zr[:S]
+                h += c
+                np.matmul(both, h, out=u)
+                score[t] += u[3 * S]
+                value[t] += u[3 * S + 1]
+        score -= score.max(0)
+        np.exp(score, out=score)
+        return (score * value).sum(0) / score.sum(0) + self.p["o0"]
+
     def train(self, inputs: tuple, ids: np.ndarray, size: np.ndarray, y: np.ndarray) -> None:
         """One step of Adam on cross-entropy; inputs are those of the words that ids index."""
         S, p = STATE, self.p
@@ -233,15 +263,15 @@ class Network:
             p[k] -= (RATE if k not in ("gram", "word") else RATE / 50) * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
 
 
-def windows(n: int) -> list[int]:
+def windows(n: int, stride: int = STRIDE) -> list[int]:
     """Starts of the windows of n words; the last one ends with the text."""
     if n <= WINDOW:
         return [0]
-    return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+    return [*range(0, n - WINDOW, stride), n - WINDOW]
 
 
 def _layout(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all windows of documents (word numbers), how many are real, and the documents' windows' starts."""
+    """Word numbers of the windows to learn from of documents (word numbers), how many are real, and the documents' windows' starts."""
     ids, sizes, at = [], [], [0]
     for d in docs:
         n = len(d)
@@ -250,7 +280,7 @@ def _layout(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             sizes.append(np.array([max(n, 1)]))
             at.append(at[-1] + 1)
         else:
-            s = np.array(windows(n))
+            s = np.array(windows(n, LEARNT_STRIDE))
             ids.append(d[s[:, None] + np.arange(WINDOW)])
             sizes.append(np.full(len(s), WINDOW))
             at.append(at[-1] + len(s))
@@ -281,7 +311,7 @@ class Scorer:
         return np.concatenate([self.model.network.projected(self.model.network.embed(self.model.evidence.inputs(p))) for p in parts])
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        """The highest logit of each text's windows."""
+        """The highest logit of each text's windows, all of them."""
         if len(self.number) > CACHE_WORDS:
             self.clear()
         number = self.number
@@ -290,9 +320,21 @@ class Scorer:
         if new:
             number.update(zip(new, range(len(number), len(number) + len(new))))
             self.proj = np.concatenate([self.proj, self._project(new)])
-        ids, sizes, at = _layout([np.fromiter(map(number.__getitem__, w), np.int32, len(w)) for w in split])
-        parts = [self.model.network.forward(self.proj, ids[i : i + AT_ONCE], sizes[i : i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE)]
-        return np.maximum.reduceat(np.concatenate(parts), at[:-1])
+        docs = [np.fromiter(map(number.__getitem__, w), np.int32, len(w)) for w in split]
+        out = np.empty(len(docs), np.float32)
+        size = np.array([len(d) for d in docs])
+        short, long = np.flatnonzero(size <= WINDOW), np.flatnonzero(size > WINDOW)
+        if len(short):
+            ids, sizes, _ = _layout([docs[i] for i in short])
+            out[short] = np.concatenate([self.model.network.forward(self.proj, ids[i : i + AT_ONCE], sizes[i : i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE)])
+        if len(long):
+            words = np.concatenate([docs[i] for i in long])
+            n = len(words) - WINDOW + 1
+            logits = np.concatenate([self.model.network.slide(self.proj[words[i : i + AT_ONCE + WINDOW - 1]]) for i in range(0, n, AT_ONCE)])
+            ends = np.cumsum(size[long])
+            bounds = np.stack([ends - size[long], ends - WINDOW + 1], 1).ravel()  # windows over two texts lie between
+            out[long] = np.maximum.reduceat(np.r_[logits, np.float32(0)], bounds)[::2]
+        return out
 
 
 def fit(sample: pd.DataFrame) -> Model | None:

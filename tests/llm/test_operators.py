@@ -216,6 +216,21 @@ def test_windows_cover_all_words():
         assert all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
 
 
+def test_every_window_is_scored():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(toxicity.Evidence([[b"bad", b"word"], [b"fine"]], np.array([1.0, 0.0])), toxicity.Network(), 1.0, 0.0)
+    model.network.p["gram"] *= 3
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, n)) for n in (0, 1, 23, 24, 25, 26, 47, 48, 49, 700, 2, 5000)] + [None]
+    scorer = toxicity.Scorer(model)
+    got = scorer.logits(texts)
+    for text, logit in zip(texts, got):
+        w = [scorer.number[x] for x in toxicity.words_of(text)]
+        starts = range(max(1, len(w) - toxicity.WINDOW + 1))
+        ids = np.array([(w[s : s + toxicity.WINDOW] + [0] * toxicity.WINDOW)[: toxicity.WINDOW] for s in starts])
+        size = np.full(len(ids), min(max(len(w), 1), toxicity.WINDOW))
+        assert abs(model.network.forward(scorer.proj, ids, size).max() - logit) < 1e-4
+
+
 def planted(spark, n=700):
     rng = random.Random(1)
     syllables = ["an", "er", "th", "on", "re", "ti", "st", "nd"]
