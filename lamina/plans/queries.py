@@ -201,13 +201,12 @@ def scan_sample(spark, d):
 
 @query()
 def scan_arrow_stripes(spark, d):
-    """orders written as Arrow stripes on this machine and read again; for single-node interchange."""
-    import tempfile
-
+    """orders written as Arrow stripes in the shared folder and read again."""
     from ..sources import arrow_stripes
 
     arrow_stripes.register(spark)
-    path = tempfile.mkdtemp(prefix="lamina-arrow-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_path(spark, "arrow"))
+    path = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
     df = base_table(spark, d, "orders")
     df.write.format("arrow_stripes").mode("append").options(path=path, codec="zstd").save()
     return spark.read.format("arrow_stripes").schema(df.schema).load(path)

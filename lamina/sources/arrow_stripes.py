@@ -2,7 +2,7 @@
 
 A folder has stripe_<n>.arrow files, each a schema and record batches, as one zstd or lz4 frame or bare; beside a
 stripe there may be stripe_<n>.deleted, a bitmap whose bit i (lowest first) says that row i is deleted. Options:
-path, a folder on a file system that pyarrow opens on the executors; keep_deleted, to leave the bitmaps out.
+path, a folder on a file system that pyarrow opens on the driver and on all executors; keep_deleted, to leave the bitmaps out.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ MAGIC = {b"\x28\xb5\x2f\xfd": "zstd", b"\x04\x22\x4d\x18": "lz4"}
 def _files(path: str):
     from pyarrow import fs
 
+    path = re.sub(r"^file:/(?!/)", "file:///", path)  # as Hadoop writes it
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lamina.plans import queries
 from lamina.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,3 +45,11 @@ def test_query(spark, duck, small, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("scheme", ["file:", "file://", ""])
+def test_arrow_stripes_lie_in_the_shared_folder(spark, small, tmp_path, scheme, monkeypatch):
+    monkeypatch.setattr(queries, "work_path", lambda spark, name: f"{scheme}{tmp_path}/{name}")
+    rows = QUERIES["scan_arrow_stripes"](spark, small).count()
+    assert rows == spark.read.parquet(f"{small}/orders.parquet").count()
+    assert list(tmp_path.rglob("stripe_*.arrow"))
