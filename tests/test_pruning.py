@@ -4,11 +4,13 @@ import datetime as dt
 import math
 from decimal import Decimal
 
-from hypothesis import given, settings
+import pytest
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from lamina.manifest import Manifest, Stripe
+from lamina.operators.table import StripeTable
 from lamina.plans.pruning import Conjunct, conjuncts_of, encode_bounds, excludes, prune
 
 OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b}
@@ -92,3 +94,58 @@ def test_conditions_in_sql(spark):
     assert got("id IN (1, 2)") == [("id", "in", (1, 2))]
     assert got("id IS NULL") == [("id", "is_null", None)]
     assert got("id = 1 OR id = 2") == [] and got("id <> 1") == [] and got("id = x") == [] and got("abs(id) = 1") == []
+    assert got("like(id, 'between%', '/')") == [] and got("overlay(id, 'between', 3)") == [] and got("`between`(id, 1, 9)") == [("id", ">=", 1), ("id", "<=", 9)]
+    assert got("d >= '2020-02-01'") == [("d", ">=", dt.date(2020, 2, 1))] and got("d BETWEEN '2020-02-01' AND 'x'") == [("d", ">=", dt.date(2020, 2, 1)), ("d", "<=", "x")]
+
+
+WORDS = ["between us", "zeta", "a", "", "2020-02-01", "BETWEEN", None]
+DAYS = ["2019-12-31", "2020-02-01", "2020-06-15", "2021-01-01"]
+
+
+def conditions():
+    text = st.sampled_from([w for w in WORDS if w is not None] + ["between%", "%e%", "b"])
+    day = st.sampled_from([*DAYS, "2020-02-01 10:00:00", "2020-02-30", "junk"])
+    op = st.sampled_from(list(OPS))
+    leaf = st.one_of(
+        st.builds("name {} '{}'".format, op, text),
+        st.builds("like(name, '{}', '/')".format, text),
+        st.builds("replace(name, '{}', 'x') = name".format, text),
+        st.builds("startswith(name, '{}')".format, text),
+        st.builds("translate(name, 'between', '{}') = name".format, text),
+        st.builds("name BETWEEN '{}' AND '{}'".format, text, text),
+        st.builds("coalesce(name, 'between', '{}') = name".format, text),
+        st.builds("id BETWEEN {} AND {}".format, st.integers(0, 30), st.integers(0, 30)),
+        st.builds("if(id > {}, true, name = 'between')".format, st.integers(0, 30)),
+        st.builds("try_cast(d AS string) {} '{}'".format, op, day),
+        st.builds("d {} DATE '{}'".format, op, st.sampled_from(DAYS)),
+        st.builds("d {} '{}'".format, op, st.sampled_from(DAYS)),
+        st.builds("d IN ('{}', '{}')".format, st.sampled_from(DAYS), st.sampled_from(DAYS)),
+        st.builds("at {} '{}'".format, op, st.sampled_from([*DAYS, "2020-02-01 10:00:00", "2020-02-01 10:00:00.5"])),
+        st.builds("tz {} '{}'".format, op, st.sampled_from([*DAYS, "2020-02-01 10:00:00"])),
+        st.builds("at BETWEEN '{}' AND '{}'".format, st.sampled_from(DAYS), st.sampled_from(DAYS)),
+    )
+    return st.one_of(leaf, st.builds("{} AND {}".format, leaf, leaf), st.builds("({} OR {})".format, leaf, leaf), st.builds("NOT ({})".format, leaf))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    rows = [(i, WORDS[i // 4 % len(WORDS)], dt.date.fromisoformat(DAYS[i // 7]), dt.datetime.fromisoformat(DAYS[i // 7]) + dt.timedelta(hours=i), dt.datetime.fromisoformat(DAYS[i // 7]) + dt.timedelta(hours=i)) for i in range(28)]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("d", T.DateType()), T.StructField("at", T.TimestampNTZType()), T.StructField("tz", T.TimestampType())])
+    t = StripeTable.create(spark, str(tmp_path_factory.mktemp("mixed") / "t"), schema, rows_per_stripe=4)
+    df = spark.createDataFrame(rows, schema)
+    t.insert(df, ordered=True)
+    return t, df.cache()
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(where=conditions())
+def test_conditions_give_the_same_rows_pruned_and_full(mixed, where):
+    t, df = mixed
+    want = sorted(r.id for r in df.where(where).collect())
+    assert sorted(r.id for r in t.scan(where).collect()) == want
+
+
+def test_string_literals_prune_dates(mixed):
+    t, _ = mixed
+    for where in ("d >= '2021-01-01'", "at >= '2021-01-01'", "tz >= '2021-01-01'", "d BETWEEN '2019-01-01' AND '2019-12-31'"):
+        assert t.explain(where).skipped > 0, where
