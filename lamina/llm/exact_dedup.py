@@ -5,8 +5,9 @@ integer names; then adjacent pairs of names are named in the same way, again and
 has one name. Names are places in a sorted order of distinct contents, never hashes, so two documents have the
 same number of rounds and the same name exactly if their texts are equal.
 
-A block moves once, to where its equals are sorted. Documents find its name by a 128-bit key whose freedom from
-collisions the sorting itself has checked; blocks whose key collides are joined by content instead.
+A block moves once, to its equals. What is left of distinct contents is counted by 128-bit keys: a key of one content is
+free of collisions, and stands for it in the sorting, so that windows and joins move keys and places alone. Blocks
+whose key collides are sorted and joined by content instead.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, row_of, table, without
+from .common import Scratch, meet, meet_counted, pieces, row_of, settled, table, without
 
 #: Bytes of a block.
 BLOCK = 4096
+#: Distinct blocks or pairs that are sorted together.
+BUCKET_ROWS = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -42,24 +45,29 @@ def _key(block: Column, bits: int) -> tuple[Column, Column]:
     return F.xxhash64(block), F.xxhash64(F.lit(7), block)
 
 
-def block_names(blocks: DataFrame, scratch: Scratch, rows: int, bits: int) -> tuple[DataFrame, DataFrame | None]:
-    """Of rows (k1, k2, block): (k1, k2, name) of keys with one content, and (k1, k2, block, name) of the others or None."""
-    n = pieces(rows, 10_000)
-    distinct = blocks.groupBy("k1", "k2", "block").agg(F.lit(0).alias("__o")).drop("__o")
-    bucket = F.pmod(F.col("k1"), F.lit(n))
-    order = W.partitionBy("__b").orderBy("k1", "k2", "block")
-    placed = distinct.withColumn("__b", bucket).withColumn("name", F.col("__b") * F.lit(1 << 40) + F.row_number().over(order))
-    same = (F.lag("k1").over(order) == F.col("k1")) & (F.lag("k2").over(order) == F.col("k2"))
-    after = (F.lead("k1").over(order) == F.col("k1")) & (F.lead("k2").over(order) == F.col("k2"))
-    clash = F.coalesce(same, F.lit(False)) | F.coalesce(after, F.lit(False))
-    # contents are kept of clashing keys alone
-    named = scratch.keep(placed.withColumn("clash", clash).select("k1", "k2", "name", "clash", F.when(F.col("clash"), F.col("block")).alias("block")))
-    clashing = named.where("clash")
-    return named.where("not clash").select("k1", "k2", "name"), clashing.select("k1", "k2", "block", "name") if clashing.limit(1).count() else None
+def _named(distinct: DataFrame, order: list[str], rows: int, sign: int) -> DataFrame:
+    """distinct with a column name: the place in order of its bucket, and the bucket; names of one sign differ."""
+    n = pieces(rows, BUCKET_ROWS)
+    own = W.partitionBy("__b").orderBy(*order)
+    placed = distinct.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(n)))
+    return placed.withColumn("name", sign * (F.col("__b") * F.lit(1 << 40) + F.row_number().over(own))).drop("__b")
+
+
+def block_names(blocks: DataFrame, scratch: Scratch, total: int) -> tuple[DataFrame, DataFrame | None]:
+    """Of total rows (k1, k2, block): written tables (k1, k2, n, name) of keys with one content, n rows each, and
+    (k1, k2, block, name) of the others or None."""
+    distinct = blocks.groupBy("k1", "k2", "block").agg(F.count(F.lit(1)).alias("n"))
+    keys = scratch.keep(distinct.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("n")))
+    clear = scratch.keep(_named(keys.where("contents = 1").drop("contents"), ["k1", "k2"], total, 1))
+    clashing = keys.where("contents > 1").select("k1", "k2")
+    if clashing.isEmpty():
+        return clear, None
+    contents = distinct.select("k1", "k2", "block").join(clashing, ["k1", "k2"], "left_semi")
+    return clear, scratch.keep(_named(contents, ["k1", "k2", "block"], total, -1))
 
 
 def identify(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
-    """One row per row of docs: row, doc_id, chars (code points of the text), text_sha256, rounds int, name long.
+    """One row per row of a settled table: row, doc_id, chars (code points of the text), text_sha256, rounds int, name long.
 
     rounds and name together are a document's identity: equal for equal normalised texts, different for others.
     """
@@ -67,53 +75,47 @@ def identify(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     base = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"), text.alias("norm"))
     base = base.withColumn("blocks", _blocks(F.col("norm"), block))
 
-    each = base.select(F.explode("blocks").alias("block"))
-    k1, k2 = _key(F.col("block"), bits)
-
     def keys(b: Column) -> Column:
         x, y = _key(b, bits)
         return F.struct(x.alias("k1"), y.alias("k2"))
 
     rows = base.select("row", "doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"), F.transform("blocks", keys).alias("keys"))
-    # documents keep the keys of their blocks
-    rows = scratch.keep(rows)
-    total = rows.count()
-    clear, clashing = block_names(each.select(k1.alias("k1"), k2.alias("k2"), "block"), scratch, total, bits)
+    rows = scratch.keep(rows)  # documents keep the keys of their blocks
+    total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    k1, k2 = _key(F.col("block"), bits)
+    each = base.select(F.explode("blocks").alias("block")).select(k1.alias("k1"), k2.alias("k2"), "block")
+    clear, clashing = block_names(each, scratch, total)
 
-    flat = rows.select("row", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "k")).select("row", "n", "at", "k.k1", "k.k2")
-    names = flat.join(clear, ["k1", "k2"]).select("row", "n", "at", "name")
+    flat = rows.select("row", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "k")).select("row", F.col("n").alias("of"), "at", "k.k1", "k.k2")
+    names = meet_counted(flat, clear, ["k1", "k2"], total).select("row", "of", "at", "name")
     if clashing is not None:
-        texts = docs.select(row_of(docs).alias("row"), text.alias("norm"))
-        parts = texts.select("row", F.posexplode(_blocks(F.col("norm"), block)).alias("at", "block"))
-        x, y = _key(F.col("block"), bits)
-        parts = parts.withColumn("k1", x).withColumn("k2", y).join(clashing, ["k1", "k2", "block"]).select("row", "at", "name")
-        names = names.unionByName(parts.join(flat.select("row", "n", "at"), ["row", "at"]).select("row", "n", "at", "name"))
+        parts = base.select("row", F.size("blocks").alias("of"), F.posexplode("blocks").alias("at", "block"))
+        names = names.unionByName(meet(parts, clashing.select("block", "name"), "block").select("row", "of", "at", "name"))
     level = scratch.keep(names)
 
-    done = [level.where("n = 1").select("row", F.lit(0).alias("rounds"), "name")]
+    done = [level.where("of = 1").select("row", F.lit(0).alias("rounds"), "name")]
     rounds = 0
-    longest = level.agg(F.max("n")).first()[0] or 0
-    level = level.where("n > 1")
+    longest = level.agg(F.max("of")).first()[0] or 0
     while longest > 1:
         rounds += 1
-        level, longest = _halve(level, scratch, total), -(-longest // 2)
-        done.append(level.where("n = 1").select("row", F.lit(rounds).alias("rounds"), "name"))
-        level = level.where("n > 1")
+        level, longest = _halve(level.where("of > 1"), scratch), -(-longest // 2)
+        done.append(level.where("of = 1").select("row", F.lit(rounds).alias("rounds"), "name"))
     ends = done[0]
     for d in done[1:]:
         ends = ends.unionByName(d)
     return rows.drop("keys").join(ends, "row")
 
 
-def _halve(level: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+def _halve(level: DataFrame, scratch: Scratch) -> DataFrame:
     """Names of adjacent pairs; the last of an odd number is a pair with nothing (0)."""
     even = F.col("at") % 2 == 0
-    pairs = level.groupBy("row", "n", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("b"))
-    pairs = scratch.keep(pairs.select("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), "at", "a", "b"))
-    bucket = F.pmod(F.xxhash64("a", "b"), F.lit(pieces(rows)))
-    distinct = pairs.select("a", "b").distinct().withColumn("__b", bucket)
-    named = distinct.select("a", "b", (F.col("__b") * F.lit(1 << 40) + F.row_number().over(W.partitionBy("__b").orderBy("a", "b"))).alias("name"))
-    return scratch.keep(pairs.join(named, ["a", "b"]).select("row", "n", "at", "name"))
+    pairs = level.groupBy("row", "of", F.floor(F.col("at") / 2).cast("int").alias("at")).agg(F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("b"))
+    pairs = scratch.keep(pairs.select("row", F.ceil(F.col("of") / 2).cast("int").alias("of"), "at", "a", "b"))
+    total = pairs.count()
+    named = scratch.keep(_named(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), ["a", "b"], total, 1))
+    out = scratch.keep(meet_counted(pairs, named, ["a", "b"], total).select("row", "of", "at", "name"))
+    scratch.drop(pairs, named)
+    return out
 
 
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
@@ -122,16 +124,21 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are equal if they are so without ASCII white space; null counts as empty. Of equal texts the row with
     the most code points stays, then the one with the smallest doc_id (null first), then, of repeated rows, one.
     """
+    docs = settled(docs)
     scratch = Scratch(docs.sparkSession)
     ids = scratch.keep(identify(docs, scratch, id_col, text_col, block, bits))
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    groups = scratch.keep(ids.groupBy("rounds", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")))
-    out = ids.join(groups, ["rounds", "name"])
+    groups = scratch.keep(ids.groupBy("rounds", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).withColumn("n", F.col("group_size")))
+    out = meet_counted(ids, groups, ["rounds", "name"], ids.count())
     return out.select(F.col("doc_id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "row")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of docs."""
+    """The rows that stay, with all columns of docs, as find_duplicates has it of nulls, ties and repeated rows.
+
+    Of rows that repeat whole, one stays; an empty table stays empty.
+    """
+    docs = settled(docs)
     return without(docs, find_duplicates(docs, id_col, text_col).where("not kept"))
 
 
