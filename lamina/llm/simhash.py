@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, row_of, table, tune, without
+from .common import Scratch, bounded, meet_counted, row_of, settled, table, tune, without
 from .components import components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
@@ -86,21 +86,27 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     component_id is the smallest doc_id that links reach (null ids count only where there are no others); best
     marks one row of each component: of that doc_id, the first. Texts without words are linked to each other.
     """
+    docs = settled(docs)
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(fingerprints(docs, id_col, text_col))
-    prints = scratch.keep(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")))
+    prints = scratch.keep(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("of"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")))
     roots = scratch.keep(components(links(prints.select("fp"), scratch), scratch))
-    rooted = prints.join(bounded(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.join(bounded(roots), F.col("fp") == F.col("node"), "left").select("fp", "of", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.keep(rooted)
     linked = scratch.keep(roots.join(rooted.withColumnRenamed("root", "r"), F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")))
-    by_print = scratch.keep(rooted.join(bounded(linked), "root", "left").select("fp", F.coalesce("best", "first").alias("best")))
+    by_print = scratch.keep(rooted.join(bounded(linked), "root", "left").select("fp", "of", F.coalesce("best", "first").alias("best")))
     scratch.drop(roots, rooted, linked)
-    out = rows.join(by_print, "fp")
+    out = meet_counted(rows, by_print, ["fp"], rows.count(), "of")
     return out.select("row", F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("best"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The best row of each component, with all columns of docs."""
+    """The best row of each component, with all columns of docs.
+
+    Null and empty texts are one component, of which one row stays; of rows that repeat whole, one stays; an empty
+    table stays empty.
+    """
+    docs = settled(docs)
     return without(docs, find_groups(docs, id_col, text_col).where("not best"))
 
 
