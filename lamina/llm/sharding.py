@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, dense_index, pieces, row_of, table
+from .common import Scratch, bounded, dense_index, meet_counted, pieces, row_of, settled, table
 
 SHARDS = 40
 #: Linked documents of a shard per bucket in which movers are numbered.
@@ -59,13 +59,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     Null texts count as empty ones, and empty texts are equal to each other. Repeated rows and null ids are rows
     like others. With fewer rows than shards some shards stay empty; an empty table gives an empty result.
     """
+    docs = settled(docs.select(id_col, text_col))
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g"))
     base = scratch.keep(base.withColumn("h", F.xxhash64("row", "doc_id")))
     n = base.count()
     groups = scratch.keep(base.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    marked = scratch.keep(base.select("row", "h", "g").join(bounded(groups), "g", "left").withColumn("m", F.coalesce("m", F.lit(1).cast("long"))))
+    counted = groups.withColumn("n", F.col("m"))
+    marked = meet_counted(base.select("row", "h", "g"), counted, ["g"], n, how="left")
+    marked = scratch.keep(marked.withColumn("m", F.coalesce("m", F.lit(1).cast("long"))))
     room = [n // shards + (s < n % shards) for s in range(shards)]
 
     large = F.col("m") * 2 * shards > n
@@ -91,16 +94,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
                 break
             scratch.drop(now)
             now, cut = after, left
-        settled, room = _settle(now, scratch, room, n)
-        placed += settled
+        whole, room = _settle(now, scratch, room, n)
+        placed += whole
     single = marked.where("m = 1").withColumn("k", F.lit(0))
     single = dense_index(single, scratch, ["k"], "h", [F.col("h"), F.col("row")], "i", pieces(n))
     placed.append(single.select("row", _slot_of(F.col("i"), room).alias("shard")))
     shard = placed[0]
     for p in placed[1:]:
         shard = shard.unionByName(p)
-    out = scratch.keep(base.join(shard, "row").join(bounded(groups.select("g", F.lit(True).alias("linked"))), "g", "left"))
-    out = dense_index(out, scratch, ["shard"], "h", [F.col("h"), F.col("row")], "slot", pieces(n // shards))
+    linked = meet_counted(base, counted.select("g", "n", F.lit(True).alias("linked")), ["g"], n, how="left")
+    out = scratch.keep(linked.join(shard, "row"))
+    out = out.withColumn("d", F.xxhash64("h", F.lit(1)))  # shards took rows by ranges and buckets of h
+    out = dense_index(out, scratch, ["shard"], "d", [F.col("d"), F.col("row")], "slot", pieces(n // shards))
     return out.select(F.col("doc_id").alias(id_col), "size", "text_crc32", "shard", "slot", F.coalesce("linked", F.lit(False)).alias("linked"), "g")
 
 
@@ -152,8 +157,8 @@ def _propagate(now: DataFrame, scratch: Scratch, room: list[int], count: int) ->
     there = now.groupBy("g", "m", "s").agg(F.count(F.lit(1)).alias("c"))
     left = _longs(free)[F.col("s")]
     best = F.max(F.struct((left >= F.col("m") - F.col("c")).alias("fits"), "c", F.xxhash64("g", "s").alias("tie"), F.col("s").alias("t")))
-    targets = scratch.keep(there.groupBy("g").agg(best.alias("b")).select("g", F.col("b.t").alias("t")))
-    joined = scratch.keep(now.join(bounded(targets), "g").withColumn("hg", F.xxhash64("g")))
+    targets = scratch.keep(there.groupBy("g").agg(best.alias("b"), F.sum("c").alias("n")).select("g", "n", F.col("b.t").alias("t")))
+    joined = scratch.keep(meet_counted(now, targets, ["g"], count).withColumn("hg", F.xxhash64("g")))
     wish = joined.where("s <> t")
     wishes = [[0] * len(room) for _ in room]
     for r in wish.groupBy("s", "t").agg(F.count(F.lit(1)).alias("c")).collect():  # a row per pair of shards
@@ -199,7 +204,8 @@ def _settle(now: DataFrame, scratch: Scratch, room: list[int], n: int) -> tuple[
     fate = fates[0]
     for f in fates[1:]:
         fate = fate.unionByName(f)
-    out = [now.join(bounded(scratch.keep(fate)), "g").select("row", "shard")]
+    fate = scratch.keep(fate.join(per.select("g", F.col("m").alias("n")), "g"))
+    out = [meet_counted(now, fate, ["g"], n).select("row", "shard")]
     if split:
         out.append(_share_out(now, _shares(now.sparkSession, [r for r, _ in split], [x for _, x in split]), scratch, n))
     return out, room
