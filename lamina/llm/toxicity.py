@@ -4,25 +4,30 @@ Inputs of a word come from its characters and from the word as a whole: evidence
 word (lower bounds of the log-odds of their document frequencies in labelled documents) and learnt embeddings of both. The
 network reads WINDOW words at a time, all overlapping windows (one every STRIDE = 1 words) of the whole text; attention pools its states
 into the window's logit, and a document's score is the calibrated logit of its most toxic window. All is trained
-in numpy on a bounded sample of labelled rows: one part gives the evidence, another trains the network, where a
-toxic document stands for its highest windows (of those every LEARNT_STRIDE words), and a third calibrates on all windows.
+in numpy on a bounded sample of labelled rows: most of it gives the evidence and trains the network, each document by
+the evidence of the folds that it isn't in; a toxic document stands for its highest windows (of those every LEARNT_STRIDE
+words); what is left calibrates, on all windows.
+Training is one task on an executor, whose memory the sample's bounds bound; the driver only passes the model on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_of, table, tune, without
+from .common import Scratch, held, row_of, settled, table, tune, without
 from .quality import held_out, labelled
 
-#: Labelled rows to learn from, at most: of label 1, of label 0; texts of more bytes aren't taken into the sample.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 3000, 30_000
+#: Labelled rows to learn from, at most: of label 1, of label 0. Rows are taken in the order of a hash of their ids,
+#: whatever their texts; the sample of a label ends with the row that brings it to SAMPLE_BYTES of text.
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 3000, 24 << 20
 #: Words of a window and from one window to the next; size of the state in each direction.
 WINDOW, STRIDE, STATE = 24, 1, 8
 #: Words from one window to the next among those that the network learns from.
@@ -31,11 +36,14 @@ LEARNT_STRIDE = 16
 EVIDENCE, SIEVE, SLOTS, EMBED = 100_000, 1 << 22, 1 << 13, 4
 #: Lengths of byte n-grams; documents of label 1 that a feature needs to count as evidence.
 GRAMS, LEAST_DOCS = (3, 4, 5), 3
-EPOCHS, RATE, BATCH, SEED = 12, 0.01, 256, 11
+EPOCHS, RATE, BATCH, SEED = 8, 0.01, 256, 11
+#: Parts of the sample whose evidence comes from the others while the network learns.
+FOLDS = 5
 #: Epochs in which the evidence alone chooses the window that stands for a document.
 TRUSTED = 4
-#: Words whose inputs a worker keeps; windows that the network reads, and words that are hashed, at once.
-CACHE_WORDS, AT_ONCE, WORDS_AT_ONCE = 250_000, 2048, 20_000
+#: Bytes of words with their inputs that a worker keeps (a word takes WORD_BYTES and its own); windows that the network
+#: reads, and words that are hashed, at once.
+CACHE_BYTES, WORD_BYTES, AT_ONCE, WORDS_AT_ONCE = 64 << 20, 400, 2048, 20_000
 THRESHOLD = 0.5
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -78,32 +86,60 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Evidence:
     """Lower bounds of the log-odds of document frequencies of n-grams and words, by their 64-bit hashes."""
 
-    def __init__(self, docs: list[list[bytes]], y: np.ndarray):
+    def __init__(self, known: np.ndarray, p: np.ndarray, n: np.ndarray, toxic: float, clean: float):
+        """Of features' hashes in order: how many of so many documents of label 1 and of label 0 have them."""
+        odds = np.log((p + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))
+        z = odds - 2 * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+        z[p < LEAST_DOCS] = 0
+        best = np.flatnonzero(z > 0)
+        best = best[np.argsort(-z[best], kind="stable")[:EVIDENCE]]
+        best.sort()
+        self.hashes, self.z = known[best], z[best].astype(np.float32)
+        self._sieve()
+
+    def _sieve(self) -> None:
+        self.maybe = np.zeros(SIEVE, bool)  # most hashes are told apart here, the rest by search
+        self.maybe[(self.hashes % np.uint64(SIEVE)).astype(np.int64)] = True
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "z": self.z}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._sieve()
+
+    @classmethod
+    def of_documents(cls, docs: list[list[bytes]], y: np.ndarray, fold: np.ndarray | None = None) -> list[Evidence]:
+        """That of all documents, and for each fold that of the documents outside it."""
+        fold = np.zeros(len(docs), int) if fold is None else fold
+        folds = int(fold.max()) + 1
         # one document at a time: first what LEAST_DOCS documents of label 1 have, then how many of label 0 have that
-        known, p = np.zeros(0, np.uint64), np.zeros(0)
+        known, p = np.zeros(0, np.uint64), np.zeros((folds, 0), np.int16)
         waiting: list[np.ndarray] = []
+        whose: list[int] = []
         toxic = np.flatnonzero(y == 1)
         for at, i in enumerate(toxic.tolist()):
-            waiting.append(self._distinct(docs[i]))
+            waiting.append(cls._distinct(docs[i]))
+            whose.append(fold[i])
             if len(waiting) == 64 or at + 1 == len(toxic):
                 both, inverse = np.unique(np.concatenate([known, *waiting]), return_inverse=True)
-                p = np.bincount(inverse, np.r_[p, np.ones(len(inverse) - len(known))], len(both))
-                known = both
-                waiting = []
-        known, p = known[p >= LEAST_DOCS], p[p >= LEAST_DOCS]
-        n = np.zeros(len(known))
+                more = np.zeros((folds, len(both)), np.int16)
+                more[:, inverse[: len(known)]] = p
+                np.add.at(more, (np.repeat(whose, [len(w) for w in waiting]), inverse[len(known) :]), 1)
+                known, p, waiting, whose = both, more, [], []
+        often = p.sum(0) >= LEAST_DOCS
+        known, p = known[often], p[:, often]
+        n = np.zeros((folds, len(known)), np.int16)
         for i in np.flatnonzero(y == 0).tolist() if len(known) else []:
-            own = self._distinct(docs[i])
+            own = cls._distinct(docs[i])
             found = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            n[found[known[found] == own]] += 1
-        odds = np.log((p + 0.5) / (y.sum() + 1)) - np.log((n + 0.5) / ((1 - y).sum() + 1))
-        z = odds - 2 * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        best = np.flatnonzero(z > 0)
-        best = best[np.argsort(-z[best], kind="stable")[:EVIDENCE]]
-        best.sort()
-        self.hashes, self.z = known[best], z[best].astype(np.float32)
-        self.maybe = np.zeros(SIEVE, bool)  # most hashes are told apart here, the rest by search
-        self.maybe[(self.hashes % np.uint64(SIEVE)).astype(np.int64)] = True
+            n[fold[i], found[known[found] == own]] += 1
+        out = []
+        for k in range(-1, folds if folds > 1 else 0):
+            off = fold == k
+            gone = (p[k], n[k]) if k >= 0 else (0, 0)
+            out.append(cls(known, (p.sum(0) - gone[0]).astype(float), (n.sum(0) - gone[1]).astype(float), y[~off].sum(), (1 - y[~off]).sum()))
+        return out
 
     @staticmethod
     def _distinct(words: list[bytes]) -> np.ndarray:
@@ -124,9 +160,7 @@ class Evidence:
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Fixed inputs of each word; slots of its n-grams, where they begin, slot of the word."""
         if len(words) > WORDS_AT_ONCE:
-            parts = [self.inputs(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
-            before = np.cumsum([0, *(len(g) for _, g, _, _ in parts)])
-            return tuple(np.concatenate([p[k] + before[i] if k == 2 else p[k] for i, p in enumerate(parts)]) for k in range(4))
+            return _joined([self.inputs(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)])
         grams, starts, whole = features(words)
         z = self.of(grams)
         top = np.maximum.reduceat(z, starts)
@@ -135,6 +169,12 @@ class Evidence:
         return fixed, (grams % np.uint64(SLOTS)).astype(np.int32), starts, (whole % np.uint64(SLOTS)).astype(np.int32)
 
 
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs of several lists of words as those of one list."""
+    before = np.cumsum([0, *(len(g) for _, g, _, _ in parts)])
+    return tuple(np.concatenate([p[k] + before[i] if k == 2 else p[k] for i, p in enumerate(parts)]) for k in range(4))
+
+
 def _ramp(sizes: np.ndarray) -> np.ndarray:
     """0 .. size - 1 for each size, one after another."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -305,6 +345,7 @@ class Scorer:
     def clear(self) -> None:
         self.number: dict[bytes, int] = {b"": 0}
         self.proj = self._project([b""])
+        self.bytes = 0
 
     def _project(self, words: list[bytes]) -> np.ndarray:
         parts = [words[i : i + 20_000] for i in range(0, len(words), 20_000)]
@@ -312,7 +353,7 @@ class Scorer:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """The highest logit of each text's windows, all of them."""
-        if len(self.number) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self.clear()
         number = self.number
         split = [words_of(t) for t in texts]
@@ -320,6 +361,7 @@ class Scorer:
         if new:
             number.update(zip(new, range(len(number), len(number) + len(new))))
             self.proj = np.concatenate([self.proj, self._project(new)])
+            self.bytes += sum(map(len, new)) + WORD_BYTES * len(new)
         docs = [np.fromiter(map(number.__getitem__, w), np.int32, len(w)) for w in split]
         out = np.empty(len(docs), np.float32)
         size = np.array([len(d) for d in docs])
@@ -337,26 +379,31 @@ class Scorer:
         return out
 
 
-def fit(sample: pd.DataFrame) -> Model | None:
-    """Of rows text, y; None if either label is missing."""
-    sample = sample.drop_duplicates("text").reset_index(drop=True)
-    y = sample.y.to_numpy(float)
+def fit(sample: Iterable[tuple[str | None, float]]) -> Model | None:
+    """Of texts and labels, of equal texts the first; None if either label is missing."""
+    seen: set[bytes] = set()
+    known: dict[bytes, bytes] = {}  # one object for all places of a word
+    docs, labels = [], []
+    for text, label in sample:
+        key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+        if key not in seen:
+            seen.add(key)
+            docs.append([known.setdefault(w, w) for w in words_of(text)])
+            labels.append(label)
+    y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return None
-    docs = [words_of(t) for t in sample.text]
     rng = np.random.default_rng(SEED)
-    part = np.zeros(len(y), int)
-    for label in (0, 1):  # three parts, each with both labels as far as there are enough
+    fold = np.zeros(len(y), int)
+    for label in (0, 1):  # FOLDS parts to learn from and one to calibrate on, each with both labels as far as there are enough
         own = rng.permutation(np.flatnonzero(y == label))
-        part[own] = np.searchsorted([0.55, 0.85], (np.arange(len(own)) + 0.5) / len(own))
-    pick = lambda k: [docs[i] for i in np.flatnonzero(part == k)]
-    evidence = Evidence(pick(0), y[part == 0])
-    network = Network()
-    model = Model(evidence, network, 1.0, 0.0)
-    own = np.flatnonzero(part == 1)
-    if len(own) and 0 < y[own].sum() < len(own):
-        _train(model, [docs[i] for i in own], y[own], rng)
-    check = np.flatnonzero(part == 2) if (part == 2).any() and 0 < y[part == 2].sum() < (part == 2).sum() else np.arange(len(y))
+        fold[own] = np.arange(len(own)) % (FOLDS + 1)
+    learnt = fold < FOLDS if len(set(y[fold < FOLDS])) == 2 else np.ones(len(y), bool)
+    own = np.flatnonzero(learnt)
+    evidence, *apart = Evidence.of_documents([docs[i] for i in own], y[own], np.minimum(fold[own], FOLDS - 1))
+    model = Model(evidence, Network(), 1.0, 0.0)
+    _train(model, apart or [evidence], [docs[i] for i in own], y[own], np.minimum(fold[own], FOLDS - 1), rng)
+    check = np.flatnonzero(~learnt) if len(set(y[~learnt])) == 2 else np.arange(len(y))
     logits = np.concatenate([Scorer(model).logits([" ".join(w.decode() for w in docs[i]) for i in check[k : k + 256]]) for k in range(0, len(check), 256)])
     model.scale, model.shift = _platt(logits, y[check])
     return model
@@ -377,11 +424,17 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def _train(model: Model, docs: list[list[bytes]], y: np.ndarray, rng: np.random.Generator) -> None:
-    vocabulary: dict[bytes, int] = {b"": 0}
-    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int32) for d in docs]
-    words = list(vocabulary)
-    inputs = model.evidence.inputs(words)
+def _train(model: Model, apart: list[Evidence], docs: list[list[bytes]], y: np.ndarray, fold: np.ndarray, rng: np.random.Generator) -> None:
+    """Words of a document have the evidence of the other folds, as those of a new document have that of all."""
+    numbers: list[np.ndarray] = [np.zeros(0, np.int32)] * len(docs)
+    parts, before = [], 0
+    for k, evidence in enumerate(apart):
+        vocabulary: dict[bytes, int] = {b"": 0}
+        for i in np.flatnonzero(fold == k).tolist() if len(apart) > 1 else range(len(docs)):
+            numbers[i] = before + np.array([vocabulary.setdefault(w, len(vocabulary)) for w in docs[i]], np.int32)
+        parts.append(evidence.inputs(list(vocabulary)))
+        before += len(vocabulary)
+    inputs = _joined(parts)
     fixed, grams, starts, slot = inputs
     ends = np.r_[starts[1:], len(grams)]
     ids, sizes, at = _layout(numbers)
@@ -411,16 +464,40 @@ def _train(model: Model, docs: list[list[bytes]], y: np.ndarray, rng: np.random.
         logits = np.concatenate([model.network.forward(proj, ids[i : i + AT_ONCE], sizes[i : i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE)])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
-    """A model from a bounded sample of the labelled rows that aren't held out."""
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, y, text: the bounded sample of labelled rows that aren't held out; of repeated ids the least text."""
     y = labelled(labels, label)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = y.where("y = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(y.where("y = 0").orderBy(*order).limit(CLEAN_ROWS))
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id")
-    return fit(rows.select("text", "y").limit(2 * (TOXIC_ROWS + CLEAN_ROWS)).toPandas().sort_values(["y", "text"], ignore_index=True))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = scratch.keep(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    before = F.sum("size").over(W.partitionBy("y").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    sizes = rows.select("doc_id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    taken = sizes.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < SAMPLE_BYTES).select("doc_id")
+    return rows.join(F.broadcast(taken), "doc_id", "left_semi")
 
 
-_scorers: dict[int, Scorer] = {}
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """A model from a bounded sample of the labelled rows that aren't held out, trained in one task on an executor.
+
+    labels has doc_id and the label; of repeated ids the smallest label counts, null ids and labels don't. None if
+    the sample lacks either label.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+    sample = sample_of(docs, labels, label, Scratch(spark), id_col, text_col)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity training", lambda: None)
+        rows = ((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        model = fit(rows)
+        if model is not None:
+            model.network.step = {}
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], names=["model"])
+
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = ordered.select("text", "y").mapInArrow(train, "model binary").collect()  # one row, of fixed size at most
+    return pickle.loads(found[0].model) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,29 +506,32 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     Null and empty texts are scored as one window without words; repeated rows and null ids give a row each.
     Without a model (no labels of both kinds) each score is 0.
     """
-    spark = docs.sparkSession
-    tune(spark)
+    docs = settled(docs)
+    tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     columns = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return columns.select("row", F.col("doc_id").alias(id_col), F.lit(0.0).alias("score"))
     model.network.step = {}
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
+    blob = pickle.dumps(model, 5)  # of fixed size at most
+    key = "toxicity", hashlib.sha256(blob).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if id(model) not in _scorers:
-            _scorers.clear()
-            _scorers[id(model)] = Scorer(model)
+        scorer = held(key, lambda: Scorer(pickle.loads(blob)))
         for b in batches:
-            s = model.calibrated(_scorers[id(model)].logits(b.column(2).to_pylist())) if b.num_rows else np.zeros(0)
+            s = scorer.model.calibrated(scorer.logits(b.column(2).to_pylist())) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["row", "doc_id", "score"])
 
     return columns.mapInArrow(run, f"row {columns.schema['row'].dataType.simpleString()}, doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that score under THRESHOLD, with all columns of docs."""
+    """The rows that score under THRESHOLD, with all columns of docs.
+
+    Null and empty texts are scored like others, repeated rows alike; without labels of both kinds all rows stay, and
+    an empty table stays empty.
+    """
+    docs = settled(docs)
     return without(docs, score(docs, learn(docs, labels)).where(F.col("score") >= THRESHOLD))
 
 
