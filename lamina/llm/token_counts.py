@@ -2,30 +2,32 @@
 
 A pre-token is a run of spaces with the characters up to the next space: no piece of the model goes on from
 another character into a space, so pieces never cross a pre-token's start, and its length in tokens doesn't
-depend on what stands around it. No pre-token is ever shuffled. Each task sums up its documents' pre-tokens in
-a Misra-Gries summary of fixed size; the summaries, not the pre-tokens, are merged in a tree over all
-documents, and the table made of the result has FREQUENT entries at most, whatever the input.
+depend on what stands around it. No pre-token is ever shuffled, nor leaves its worker: each task sums up its
+documents' pre-tokens in a Misra-Gries summary of fixed size and sends the 128-bit hashes of what is left, with
+counts and lengths, three arrays of numbers. These are merged in a tree over all documents, and the table of
+lengths by hash that is broadcast has FREQUENT entries at most, whatever the input. A pre-token that a worker
+meets for the first time is looked up there, and only what the table lacks is encoded. The counting is a first
+pass over all texts. That two of some 10^12 pre-tokens share a hash of 128 bits has a chance below 10^-14.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import held, table, tune
 
 #: Entries of the broadcast table, and counters of a summary.
 FREQUENT = 8192
-#: Pre-tokens longer than this are not worth a place in the table (bytes of it: FREQUENT times 4 times this at most).
-FREQUENT_CHARS = 32
-#: Pre-tokens that a worker's cache keeps; it starts anew beyond it.
-CACHE_WORDS = 300_000
+#: Bytes of a worker's cache, a pre-token counted as its characters and WORD_BYTES; it starts anew beyond it.
+CACHE_BYTES, WORD_BYTES = 48 << 20, 150
 #: Summaries merged in one task.
 FAN_IN = 64
 
@@ -48,8 +50,12 @@ def trimmed(counts: Counter, size: int) -> Counter:
     return Counter({w: n - off for w, n in counts.items() if n > off})
 
 
-def frequent(docs: DataFrame, text_col: str, size: int = FREQUENT) -> list[str]:
-    """At most size pre-tokens: all those that are more than one in size + 1 of all pre-tokens are among them."""
+def hash_of(word: str) -> bytes:
+    return xxhash.xxh3_128_digest(word.encode())
+
+
+def frequent(docs: DataFrame, text_col: str, path: str, size: int = FREQUENT) -> dict[bytes, int]:
+    """Hash: length of at most size pre-tokens: all those that are more than one in size + 1 of all pre-tokens are among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -59,81 +65,91 @@ def frequent(docs: DataFrame, text_col: str, size: int = FREQUENT) -> list[str]:
                     counts.update(pre_tokens(text))
             if len(counts) > 16 * size:
                 counts = trimmed(counts, size)
-        counts = trimmed(Counter({w: n for w, n in counts.items() if len(w) <= FREQUENT_CHARS}), size)
-        yield pa.RecordBatch.from_arrays([pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))], names=["words", "counts"])
+        counts = trimmed(counts, size)
+        lengths = held(("token counts", path), lambda: Lengths(path)).of(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(map(hash_of, counts))], pa.binary()), pa.array([list(counts.values())], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))], names=["hashes", "counts", "lengths"])
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
-        for words, ns in zip(parts.words, parts.counts):
-            counts.update(dict(zip(words, map(int, ns))))
+        length: dict[bytes, int] = {}
+        for h, ns, ls in zip(parts.hashes, parts.counts, parts.lengths):
+            own = [h[i : i + 16] for i in range(0, len(h), 16)]
+            counts.update(dict(zip(own, map(int, ns))))
+            length.update(zip(own, map(int, ls)))
         counts = trimmed(counts, size)
-        return pd.DataFrame({"words": [list(counts)], "counts": [list(counts.values())], "part": [int(parts.part.iloc[0])]})
+        return pd.DataFrame({"hashes": [b"".join(counts)], "counts": [list(counts.values())], "lengths": [[length[h] for h in counts]], "part": [int(parts.part.iloc[0])]})
 
-    tasks = docs.rdd.getNumPartitions()
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "words array<string>, counts array<long>").withColumn("part", F.spark_partition_id().cast("long"))
+    schema = "hashes binary, counts array<long>, lengths array<long>"
+    texts = docs.select(F.col(text_col).alias("text"))
+    tasks = texts.rdd.getNumPartitions()
+    parts = texts.mapInArrow(count, schema).withColumn("part", F.spark_partition_id().cast("long"))
     while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN))
-        parts = parts.groupBy("part").applyInPandas(merge, "words array<string>, counts array<long>, part long")
+        parts = parts.groupBy("part").applyInPandas(merge, f"{schema}, part long")
         tasks = -(-tasks // FAN_IN)
         if tasks <= 1:
             break
-    total: Counter = Counter()
-    for row in parts.collect():  # one summary
-        total.update(dict(zip(row.words, row.counts)))
-    return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))]
+    return {bytes(r.hashes[i : i + 16]): n for r in parts.collect() for i, n in zip(range(0, len(r.hashes), 16), r.lengths)}  # one summary
 
 
 class Lengths(dict):
-    """Pre-token: its number of tokens. Misses of a batch are encoded together."""
+    """Pre-token: its number of tokens. Misses of a batch that the table lacks too are encoded together."""
 
-    def __init__(self, path: str, table: dict[str, int]):
+    def __init__(self, path: str, table: dict[bytes, int] | None = None):
         import sentencepiece
 
-        super().__init__(table)
+        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.table = table
+        self.table = table or {}
+        self.bytes = self.encoded = 0
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
+        size = sum(map(len, new)) + WORD_BYTES * len(new)
+        if self.bytes + size > CACHE_BYTES and len(self):
             self.clear()
-            self.update(self.table)
-            new = [w for w in words if w not in self]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+            self.bytes = 0
+            self.learn(words)
+            return
+        self.bytes += size
+        rest = []
+        for w in new:
+            n = self.table.get(hash_of(w))
+            if n is None:
+                rest.append(w)
+            else:
+                self[w] = n
+        self.encoded += len(rest)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             self.update(zip(part, map(len, self.model.encode(part, num_threads=1))))
         if "" in words:
             self[""] = 1  # a single space before the end
 
+    def of(self, words: Iterable[str]) -> list[int]:
+        self.learn(set(words))
+        return [self[w] for w in words]
+
     def count(self, texts: list[str | None]) -> list[int]:
         split = [pre_tokens(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         return [sum(map(self.__getitem__, words)) for words in split]
 
 
-_lengths: dict[tuple[str, int], Lengths] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = FREQUENT) -> DataFrame:
     """id_col, n_bytes long (UTF-8), n_tokens long of each row's whole text.
 
-    A null or empty text has 0 of both. Each row gives one row; repeated rows and null ids repeat. Other columns
-    are neither read nor returned. The model at path must be readable on driver and executors.
+    A null or empty text has 0 of both. Each row gives one row; repeated rows and null ids repeat; an empty table
+    gives none. Other columns, whatever their names, are neither read nor returned. The model at path must be
+    readable on every executor.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    words = frequent(docs, text_col, size)
-    known = Lengths(path, {})
-    known.learn(set(words))
-    shared = spark.sparkContext.broadcast({w: known[w] for w in words})
+    tune(docs.sparkSession)
+    known = frequent(docs, text_col, path, size)  # goes along with the function: Spark broadcasts it
+    key = "token counts", path, xxhash.xxh3_64_hexdigest(b"".join(sorted(known)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, shared.id if hasattr(shared, "id") else id(shared))
-        if key not in _lengths:
-            _lengths.clear()
-            _lengths[key] = Lengths(path, shared.value)
-        lengths = _lengths[key]
+        lengths = held(key, lambda: Lengths(path, known))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths.count(b.column(2).to_pylist()), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
