@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import held, table, tune
 
-#: A worker's cache of encoded pre-tokens starts anew when it has more than so many.
-CACHE_WORDS = 500_000
+#: Bytes of a worker's cache of encoded pre-tokens, a pre-token counted as its characters and WORD_BYTES; it starts anew beyond it.
+CACHE_BYTES, WORD_BYTES = 64 << 20, 200
 #: Characters of text whose new pre-tokens are replayed together (a longer text goes alone).
 REPLAY_CHARS = 12_000_000
 #: Rank of a pair that doesn't merge.
@@ -209,6 +209,7 @@ class Codec:
 
     def clear(self) -> None:
         self.number = _Numbers()  # of cached pre-tokens
+        self.bytes = 0
         self.ids = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)  # of each pre-token in ids
 
@@ -220,12 +221,13 @@ class Codec:
     def learn(self) -> None:
         new = [w.encode() for w in islice(self.number, len(self.start) - 1, None)]
         if new:
+            self.bytes += sum(map(len, new)) + WORD_BYTES * len(new)
             ids, counts = self.replay.encode(new)
             self.ids = np.concatenate([self.ids, ids])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.number) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self.clear()
         split = [self.numbers(t or "") for t in texts]
         self.learn()
@@ -240,14 +242,9 @@ class Codec:
         return b"".join(map(self.replay.tokens.__getitem__, ids.tolist()))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(path: str, pattern: str) -> Codec:
     """Workers are used again: the vocabulary is read and the cache filled once for many tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return held(("byte-level bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -282,7 +279,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         codec = _codec(path, pattern)
         for group in _gathered(batches):
             split = []
-            if len(codec.number) > CACHE_WORDS:
+            if codec.bytes > CACHE_BYTES:
                 codec.clear()
             for b in group:
                 split.append((b.column(0), [codec.numbers(t or "") for t in b.column(1).to_pylist()]))
