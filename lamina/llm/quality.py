@@ -2,7 +2,8 @@
 
 Each document becomes a short vector of statistics of its whole text. Random Fourier features of the vector
 approximate a Gaussian kernel. Every task sums the outer products of its training rows; the sums have a fixed
-size and are added in a tree. Calibration pools adjacent violators over counts in BINS bins of the ridge score.
+size and are added in a tree. Calibration pools adjacent violators over counts in BINS bins of the ridge score of
+labelled rows that the ridge wasn't fitted on (one fold of four; where it lacks a label, all labelled rows).
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FEATURES, WIDTH, RIDGE, SEED, BINS = 192, 4.0, 0.1, 7, 1024
 FAN_IN = 32
 #: A document counts as good from this score on.
 THRESHOLD = 0.3
+#: Remainder of crc32(doc_id) by 5 of the labelled rows that calibrate (0 is held out).
+CALIBRATED = 1
 
 _CLASSES = np.zeros((256, 8), np.float64)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t", b".,;:?'\"-()", b"!", b"|", b"#$%&*+/<=>@[\\]^_`{}~")):
@@ -130,11 +133,17 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     """One row per row of docs: doc_id, score double in 0 to 1 (estimated share of label 1 among such documents).
 
     All labelled rows that aren't held out are learnt from; without any the score is 0.5. Null and empty texts
-    have a score like others; repeated rows and null ids give a row each.
+    have a score like others; repeated rows and null ids give a row each; of an id that is repeated in docs each row
+    is learnt from. Only id and text are read.
     """
     scratch = Scratch(docs.sparkSession)
     stats = scratch.keep(stats_of(docs, id_col, text_col))
-    train = scratch.keep(stats.join(labelled(labels, label), "doc_id").select("x", "y"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == CALIBRATED
+    every = scratch.keep(stats.join(labelled(labels, label), "doc_id").select("x", "y", fold.alias("apart")))
+    per = {r.apart: r for r in every.groupBy("apart").agg(F.min("y").alias("low"), F.max("y").alias("high")).collect()}
+    split = len(per) == 2 and all(r.low < r.high for r in per.values())
+    train, check = (every.where("NOT apart"), every.where("apart")) if split else (every, every)
+    train, check = train.select("x", "y"), check.select("x", "y")
     width = len(statistics(None))
     moments = train.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(width)]).first()
     kind = stats.schema["doc_id"].dataType.simpleString()
@@ -163,7 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     def bin_of(r: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((r + 0.5) / 2 * BINS))).cast("int")
 
-    fitted = train.select("y", "x").mapInArrow(ridge, "doc_id double, r double").select(F.col("doc_id").alias("y"), "r")
+    fitted = check.select("y", "x").mapInArrow(ridge, "doc_id double, r double").select(F.col("doc_id").alias("y"), "r")
     binned = fitted.groupBy(bin_of(F.col("r")).alias("bin")).agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("c")).collect()  # BINS at most
     s, c = np.zeros(BINS), np.zeros(BINS)
     for row in binned:
