@@ -91,7 +91,7 @@ def test_replay_with_ranks_out_of_order(words, merges):
 
 
 def test_bpe_cache_starts_anew(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3)
     c = bpe.Codec(*bpe.vocabulary())
     for t in ("one two three four five", "six seven", "one two"):
         assert c.encode([t])[0].tolist() == library.encode_ordinary(t)
@@ -182,7 +182,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
-    evidence = toxicity.Evidence([[b"bad", b"word"], [b"good", b"word"]] * 3, np.array([1.0, 0.0] * 3))
+    evidence = toxicity.Evidence.of_documents([[b"bad", b"word"], [b"good", b"word"]] * 3, np.array([1.0, 0.0] * 3))[0]
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     net.step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -218,7 +218,7 @@ def test_windows_cover_all_words():
 
 def test_every_window_is_scored():
     rng = np.random.default_rng(5)
-    model = toxicity.Model(toxicity.Evidence([[b"bad", b"word"], [b"fine"]], np.array([1.0, 0.0])), toxicity.Network(), 1.0, 0.0)
+    model = toxicity.Model(toxicity.Evidence.of_documents([[b"bad", b"word"], [b"fine"]], np.array([1.0, 0.0]))[0], toxicity.Network(), 1.0, 0.0)
     model.network.p["gram"] *= 3
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, n)) for n in (0, 1, 23, 24, 25, 26, 47, 48, 49, 700, 2, 5000)] + [None]
     scorer = toxicity.Scorer(model)
@@ -331,15 +331,43 @@ def test_licences(spark, docs, empty):
         (4, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
         (5, BSD, ["BSD-2-Clause"]),
         (6, BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["BSD-3-Clause"]),
-        (7, "// SPDX-License-Identifier: MPL-2.0\nint x;", ["mpl-2.0"]),
+        (7, "// SPDX-License-Identifier: MPL-2.0\nint x;", ["MPL-2.0"]),
         (8, "no licence at all, released under the stars.", []),
         (9, None, []),
+        (10, "/* SPDX-License-Identifier: mit OR apache-2.0 */", ["Apache-2.0", "MIT"]),
+        (11, "# spdx-license-identifier: (GPL-2.0+ WITH Classpath-exception-2.0 AND LicenseRef-Own) or 0bsd\nx = 1", ["0BSD", "GPL-2.0-or-later WITH Classpath-exception-2.0", "LicenseRef-Own"]),
+        (12, "SPDX-License-Identifier: MIT\nReleased under the MIT License.", ["MIT"]),
+        (13, "SPDX-License-Identifier:\nSPDX-License-Identifier: LGPL-2.1", ["LGPL-2.1-only"]),
+        (14, "/*\n" + textwrap.indent(BSD, " *" + " " * 900) + " */", ["BSD-2-Clause"]),
+        (15, ZLIB, ["Zlib"]),
+        (16, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        (17, "CC0 1.0 Universal\n\nsome text", ["CC0-1.0"]),
+        (18, "            Apache License\n      Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.", ["Apache-2.0"]),
+        (19, "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nCopyright (C) 2007 Someone\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.", ["LGPL-3.0"]),
+        (20, "Everyone is permitted to copy and distribute verbatim or modified\ncopies of this license document, and changing it is allowed as long\nas the name is changed.", []),
     ]
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert got == {i: want for i, _, want in rows}
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+
+
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -369,21 +397,71 @@ def test_apache_headers(spark):
 
 
 def slow_scan(text):
-    """The same rules over strings, sentence by sentence."""
-    known, out = licenses.sentences(), []
+    """The same rules over strings and lists, sentence by sentence: identifiers, licences and what no rule took."""
+    known, names = licenses.sentences(), licenses.spdx_names()
+    out, runs = [], [[]]
     for part in re.split(licenses.BOUNDARY, (text or "").lower()):
+        own = []
         for s in [part, *(part.split("\n") if "\n" in part else [])]:
             s = re.sub(r"[^\w.+-]+|_", " ", s)
-            s = re.sub(r"(?<!\w)[.+-]+|[.-]+(?!\w)", "", s).strip()
-            if s in known:
-                out.append(known[s])
-    return out
+            s = " ".join(w for w in (re.sub(r"^[.+-]+|[.-]+$", "", w) for w in s.split()) if w)
+            own.append("SPDX-tag" if s.startswith("spdx-license-identifier") else known.get(s))
+        out += [i for i in own if i]
+        for i in own[:1] if own[0] else own[1:]:
+            if i == "SPDX-tag":
+                runs.append([])
+            elif i:
+                runs[-1].append(i)
+    found = set()
+    for licence, wanted in licenses.rules():
+        left = []
+        for run in runs:
+            begin = at = 0
+            while at + len(wanted) <= len(run):
+                if run[at : at + len(wanted)] == wanted:
+                    found.add(licence)
+                    left.append(run[begin:at])
+                    begin = at = at + len(wanted)
+                else:
+                    at += 1
+            left.append(run[begin:])
+        runs = left
+    for tag in re.findall(licenses.TAG, text or ""):
+        for term in re.split(r"(?i)\s+(?:and|or)\s+", tag.replace("(", " ").replace(")", " ")):
+            licence, *exception = re.split(r"(?i)\s+with\s+", term.strip())
+            found.add(" WITH ".join([names.get(licence.lower(), licence), *exception]))
+    return out, sorted(found), [i for run in runs for i in run]
+
+
+def test_a_rule_doesnt_match_over_what_another_took(spark):
+    known = {i: s for s, i in licenses.sentences().items()}
+    orders = [["MIT-grant", "Apache-head", "Apache-comply", "MIT-notice"], ["MIT-grant", "MIT-notice", "Apache-head", "Apache-comply"], ["BSD-grant", "BSD-source", "MIT-ref", "BSD-binary"], ["GPL-see", "MIT-grant", "Reserved", "MIT-notice"]]
+    texts = [". ".join(known[i] for i in o) + "." for o in orders] + ["SPDX-License-Identifier: MIT\n\n" + known["MIT-grant"] + ".\n\nSPDX-License-Identifier: MIT\n\n" + known["MIT-notice"]]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (["Apache-2.0"], ["MIT-grant", "MIT-notice"]), 1: (["Apache-2.0", "MIT"], []), 2: (["MIT"], ["BSD-grant", "BSD-source", "BSD-binary"]), 3: ([], orders[3]), 4: (["MIT"], ["MIT-grant", "MIT-notice"])}
+
+
+def test_licence_sentences_in_any_order(spark):
+    rng = random.Random(8)
+    known = list(licenses.sentences())
+    texts = []
+    for _ in range(150):
+        few = [rng.choice(known) if rng.random() < 0.5 else rng.choice(list(licenses.SENTENCES.values())[:12]) for _ in range(rng.randrange(12))]
+        few += rng.sample(["SPDX-License-Identifier: mit AND isc", "no licence", "Copyright (c) 2020 X\n"], rng.randrange(3))
+        rng.shuffle(few)
+        texts.append("".join(x.capitalize() + rng.choice([". ", "\n\n", ".\n", ":\n", " *\n * \n"]) for x in few))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert (r.sentence_ids, r.licenses, r.unmatched) == slow_scan(texts[r.doc_id]), texts[r.doc_id]
 
 
 def test_licence_sentences_of_documents(spark, small):
-    df = spark.read.parquet(f"{small}/documents.parquet")
-    want = {r.doc_id: slow_scan(r.text) for r in df.collect()}
-    assert {r.doc_id: r.sentence_ids for r in licenses.scan(df).collect()} == want
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    got = {r.doc_id: r for r in licenses.op5_license_scan(spark, small).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        ids, found, left = slow_scan(r.text)
+        assert tuple(got[r.doc_id])[1:] == (len(ids), ",".join(ids), ",".join(found), ",".join(left))
 
 
 # -- 6: decontamination -----------------------------------------------------------------------------------------
@@ -449,7 +527,8 @@ def test_token_counts(docs, empty, pieces):
 
 @pytest.fixture(scope="module")
 def lengths():
-    return token_counts.Lengths(public_tokenizers.path("piece_bpe_32k.model"), {})
+    path, words = public_tokenizers.path("piece_bpe_32k.model"), ["the", "unk", "a", "", "<s>"]
+    return token_counts.Lengths(path, dict(zip(map(token_counts.hash_of, words), token_counts.Lengths(path).of(words))))
 
 
 @settings(max_examples=200, deadline=None)
@@ -458,6 +537,19 @@ def test_token_counts_of_any_text(lengths, pieces, texts):
     assert lengths.count(texts) == [len(pieces.encode(t)) for t in texts]
 
 
+def test_table_of_frequent_pre_tokens(spark, pieces):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [" ".join(f"hot w{i * 7 + j} frequent" for j in range(40)) for i in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    table = token_counts.frequent(df, "text", path, 16)
+    assert len(table) <= 16
+    for w in ("hot", "frequent"):
+        assert table[token_counts.hash_of(w)] == len(pieces.encode(w))
+    own = token_counts.Lengths(path, table)
+    own.learn({"hot", "frequent", "other"})
+    assert own.encoded == 1  # what the table has isn't encoded
+
+
 def test_summaries_keep_frequent_words():
     rng = random.Random(6)
     stream = ["hot"] * 400 + [f"w{rng.randrange(5000)}" for _ in range(2000)]
