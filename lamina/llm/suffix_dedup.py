@@ -4,13 +4,16 @@ A string of LENGTH bytes is removed wherever it also starts earlier. Each window
 the smallest hash of the GRAM-byte strings in it, which depends on the window's bytes alone; consecutive windows
 with the same anchor are a run, and equal stretches of text have equal runs, but for those at their ends.
 
-1. Runs are looked up by a 128-bit digest of all their bytes: all but the first of equal runs repeat whole. A task
-   settles its own repeats before anything moves, so a run crosses the network once per task, however often it occurs.
-2. Only runs that share an anchor but not all bytes, at the ends of repeats, are compared in detail. Their bytes are
-   gathered by anchor, and the suffixes that start their windows are sorted: prefix polynomial hashes and binary
-   search find how far two suffixes agree, which makes a comparison logarithmic, and a bottom-up mergesort orders
-   them. Neighbours that agree for LENGTH bytes are verified byte by byte, and all but the earliest are repeats.
-3. The windows found are joined into spans of each document and cut out.
+1. A task settles the repeats among its own texts before anything moves: runs of one digest are compared byte by byte, so
+   that a run crosses the network once per task, however often it occurs. What moves then are digests and places.
+2. Runs that share an anchor with a run of another task are asked for, with their bytes: they are gathered by anchor, and
+   equal ones are found byte by byte. Of what differs, the suffixes that start the windows are sorted: prefix polynomial
+   hashes and binary search find how far two suffixes agree, which makes a comparison logarithmic, and a bottom-up
+   mergesort orders them. The order of neighbours is then verified byte by byte (a false agreement of hashes sends the
+   bucket to a sort of the bytes themselves), and all but the earliest of equal windows are repeats.
+3. Anchors of more than SPLIT different runs, such as those in a passage of under LENGTH bytes that very many texts hold,
+   are not gathered: their windows are dealt one by one, by their bytes, again once per task.
+4. The windows found are joined into spans of each document and cut out.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, row_of, table, tune
+from .common import Scratch, row_of, settled, table, tune
 
 #: Bytes of a string, and of the grams whose smallest hash is its anchor.
 LENGTH, GRAM = 100, 32
@@ -34,6 +38,10 @@ PART = 1 << 19
 TASK_BYTES = 24 << 20
 #: Bytes of the input's files per bucket of runs.
 BUCKET_BYTES = 6 << 20
+#: Different runs of an anchor from which on its windows are dealt one by one.
+SPLIT = 64
+#: Bits that tell anchors apart; added to the place of the anchor in a run whose windows are dealt one by one.
+KIND_BITS, DEALT = 48, 256
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -63,10 +71,10 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window, place and 32-bit class of the anchor of each run. ends: where each text in data ends."""
+    """First and last window, place and class of the anchor of each run. ends: where each text in data ends."""
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint32),)
+        return (np.zeros(0, np.int64),) * 4
     h = prefix_hashes(data.astype(np.uint64))
     g = _mix((h[GRAM:] - h[:-GRAM]) * _INV[: n - GRAM + 1])
     v = (g & ~_PLACE) | np.arange(len(g), dtype=np.uint64)
@@ -82,13 +90,13 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     valid = np.cumsum(cut)[: n - LENGTH + 1] == 0
     at = np.flatnonzero(valid)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint32),)
+        return (np.zeros(0, np.int64),) * 4
     a = m[at]
     new = np.r_[True, (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(at)] - 1
     anchor = (a[first] & _PLACE).astype(np.int64)
-    return at[first], at[last], anchor, (g[anchor] * _ODD >> np.uint64(32)).astype(np.uint32)
+    return at[first], at[last], anchor, (g[anchor] * _ODD >> np.uint64(64 - KIND_BITS)).astype(np.int64)
 
 
 def _parts(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,7 +130,6 @@ def text_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
         lo, hi, anchor, kind = runs(np.frombuffer(data, np.uint8), ends)
         which = np.searchsorted(ends, lo, side="right")
         begin = np.r_[0, ends[:-1]][which]
-        digest = xxhash.xxh3_128_digest
         out["u"].append(np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())]), np.uint64).reshape(-1, 2))
         out["text"].append(number[which])
         out["lo"].append((lo - begin + offset[which]).astype(np.int32))
@@ -130,7 +137,7 @@ def text_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
         out["mid"].append(anchor - lo)
         out["kind"].append(kind)
     u = np.concatenate([*out.pop("u"), np.zeros((0, 2), np.uint64)])
-    types = {"text": np.int64, "lo": np.int32, "hi": np.int32, "mid": np.int16, "kind": np.uint32}
+    types = {"text": np.int64, "lo": np.int32, "hi": np.int32, "mid": np.int16, "kind": np.int64}
     return {k: np.concatenate([*v, np.zeros(0, types[k])]).astype(types[k]) for k, v in out.items()} | {"u1": u[:, 0].copy(), "u2": u[:, 1].copy()}
 
 
@@ -149,16 +156,18 @@ def _rank(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(r: dict[str, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of runs and the rank of their texts: first of equal runs; the others; firsts whose class has different runs."""
+def settle(r: dict[str, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs and the rank of their texts, by digest: first of equal runs; the others; the first of each of those; for
+    each first how many different runs its anchor has."""
     o = np.lexsort((r["lo"], rank, r["u2"], r["u1"], r["kind"]))
-    k, u1, u2 = r["kind"][o], r["u1"][o], r["u2"][o]
-    new_kind = np.r_[True, k[1:] != k[:-1]][: len(o)]
-    new = new_kind | np.r_[True, (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1])][: len(o)]
     if not len(o):
-        return o, o, o
-    several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_kind))[np.cumsum(new_kind) - 1] > 1
-    return o[new], o[~new], o[new & several]
+        return o, o, o, o
+    k, u1, u2 = r["kind"][o], r["u1"][o], r["u2"][o]
+    new_kind = np.r_[True, k[1:] != k[:-1]]
+    new = new_kind | np.r_[True, (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1])]
+    different = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_kind))[np.cumsum(new_kind) - 1]
+    first = o[new]
+    return first, o[~new], first[np.cumsum(new)[~new] - 1], different[new]
 
 
 def _blob(d: dict[str, np.ndarray]) -> bytes:
@@ -178,6 +187,7 @@ def _doc_bucket(d: dict[str, np.ndarray], n: int) -> np.ndarray:
 
 
 _ROWS = ("file", "at", "lo", "hi")
+digest = xxhash.xxh3_128_digest
 
 
 def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -187,27 +197,44 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def _send_runs(texts: list[bytes], ids: np.ndarray, file: np.ndarray, at: np.ndarray, buckets: int, doc_buckets: int) -> list[tuple[int, bytes]]:
     r = text_runs(texts)
     t = r.pop("text")
-    first, again, _ = settle(r, _rank(ids, file, at)[t])
+    first, again, to, _ = settle(r, _rank(ids, file, at)[t])
+    lo, end = r["lo"].tolist(), (r["hi"] + LENGTH).tolist()
+    number = t.tolist()
+    same = np.fromiter((texts[number[i]][lo[i] : end[i]] == texts[number[j]][lo[j] : end[j]] for i, j in zip(again.tolist(), to.tolist())), bool, len(again))
+    if not same.all():  # a collision of digests: these go on as different ones, and meet their equals by their bytes
+        first, again = np.r_[first, again[~same]], again[same]
+        odd = first[-int((~same).sum()) :]
+        r["u1"][odd], r["u2"][odd] = odd.astype(np.uint64), ~np.uint64(0)
     own = _take(r, first) | {"id": ids[t[first]], "file": file[t[first]], "at": at[t[first]]}
-    out = list(_dealt(own, own["kind"].astype(np.int64) % buckets))
-    known = {"file": file[t[again]], "at": at[t[again]], "lo": r["lo"][again], "hi": r["hi"][again]}
-    return out + [(-1 - b, x) for b, x in _dealt(known, _doc_bucket(known, doc_buckets))]
+    out = list(_dealt(own, own["kind"] % buckets))
+    return out + _known(file[t[again]], at[t[again]], r["lo"][again], r["hi"][again], doc_buckets)
+
+
+def _known(file: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc_buckets: int) -> list[tuple[int, bytes]]:
+    """Repeats for buckets of documents, under negative numbers: they pass the buckets of runs."""
+    d = {"file": file, "at": at, "lo": lo, "hi": hi, "kind": np.zeros(len(lo), np.int64), "mid": np.full(len(lo), -1, np.int16), "id": at}
+    return [(-1 - b, x) for b, x in _dealt(d, _doc_bucket(d, doc_buckets))]
+
+
+def _passed(t: pa.Table, bucket: int) -> pa.Table:
+    return pa.Table.from_batches([_batch([(-1 - bucket, _blob(_joined([pickle.loads(x.as_py()) for x in t.column("data")])))])])
 
 
 def _compare_runs(t: pa.Table, doc_buckets: int) -> pa.Table:
-    """Runs of a bucket to repeats and questions, for buckets of documents; what is known already goes on."""
+    """Runs of a bucket, one of each digest per task, to questions for buckets of documents: all that share an anchor with others."""
     bucket = t.column("bucket")[0].as_py()
     if bucket < 0:
-        parts = [pickle.loads(x.as_py()) for x in t.column("data")]
-        known = _joined(parts)
-        return pa.Table.from_batches([_batch([(-1 - bucket, _blob(known | {"kind": np.zeros(len(known["lo"]), np.uint32), "mid": np.full(len(known["lo"]), -1, np.int16), "id": known["at"]}))])])
+        return _passed(t, bucket)
     r = _joined([pickle.loads(x.as_py()) for x in t.column("data")])
-    _, again, ask = settle(r, _rank(r["id"], r["file"], r["at"]))
-    names = (*_ROWS, "kind", "mid", "id")
-    repeats, asks = _take({k: r[k] for k in names}, again), _take({k: r[k] for k in names}, ask)
-    repeats["mid"] = np.full(len(again), -1, np.int16)  # settled
-    both = _joined([repeats, asks])
-    return pa.Table.from_batches([_batch(list(_dealt(both, _doc_bucket(both, doc_buckets))))])
+    first, again, to, different = settle(r, _rank(r["id"], r["file"], r["at"]))
+    place = np.zeros(len(r["lo"]), np.int64)
+    place[first] = different
+    place[again] = place[to]
+    wanted = place > 1
+    wanted[again] = wanted[to] = True
+    asks = _take({k: r[k] for k in (*_ROWS, "kind", "mid", "id")}, np.flatnonzero(wanted))
+    asks["mid"] = (asks["mid"] + DEALT * (place[wanted] > SPLIT)).astype(np.int16)
+    return pa.Table.from_batches([_batch(list(_dealt(asks, _doc_bucket(asks, doc_buckets))))])
 
 
 def _by_document(t: pa.Table) -> pa.Table:
@@ -218,9 +245,8 @@ def _by_document(t: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.r_[True, (r["file"][1:] != r["file"][:-1]) | (r["at"][1:] != r["at"][:-1])])
     spans, asks = [], []
     for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(o)]):
-        settled = r["mid"][lo:hi] < 0
-        spans.append(np.stack([r["lo"][lo:hi], r["hi"][lo:hi]], 1)[settled].astype("<i4").tobytes())
-        q = ~settled
+        q = r["mid"][lo:hi] >= 0
+        spans.append(np.stack([r["lo"][lo:hi], r["hi"][lo:hi]], 1)[~q].astype("<i4").tobytes())
         asks.append(np.stack([r["lo"][lo:hi], r["hi"][lo:hi], r["mid"][lo:hi].astype(np.int64), r["kind"][lo:hi].astype(np.int64)], 1)[q].astype("<i8").tobytes())
     return pa.table({"file": pa.array(r["file"][cut]), "at": pa.array(r["at"][cut]), "spans": pa.array(spans, pa.binary()), "asks": pa.array(asks, pa.binary())})
 
@@ -295,57 +321,137 @@ class Suffixes:
             live = live[(end - begin)[live] > width]
         return order
 
-    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Byte by byte."""
-        out = np.ones(len(a), bool)
+    def order(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte by byte: whether the windows at a and b are equal, and whether the one at a comes after that at b."""
+        equal, after = np.ones(len(a), bool), np.zeros(len(a), bool)
+        open_ = np.arange(len(a))
         for i in range(LENGTH):
-            out &= self.data[a + i] == self.data[b + i]
-        return out
+            x, y = self.data[a[open_] + i], self.data[b[open_] + i]
+            after[open_[x > y]] = True
+            equal[open_[x != y]] = False
+            open_ = open_[x == y]
+            if not len(open_):
+                break
+        return equal, after
 
 
 def repeated_windows(q: dict[str, np.ndarray], data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Of questions (runs of a bucket with their bytes one after another): question and window of each repeat."""
     sizes = (q["hi"] - q["lo"]).astype(np.int64) + 1
-    base = np.cumsum(sizes + LENGTH - 1) - (sizes + LENGTH - 1)
-    own = np.repeat(np.arange(len(sizes)), sizes)
-    j = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    length = sizes + LENGTH - 1
+    base = np.cumsum(length) - length
+    rank = _rank(q["id"], q["file"], q["at"])
+    # whole runs first: of equal ones, by their bytes, all but the earliest repeat
+    earliest: dict[tuple[int, int, bytes], int] = {}
+    again = []
+    kind, mid, begin, end = q["kind"].tolist(), q["mid"].tolist(), base.tolist(), (base + length).tolist()
+    for i in np.lexsort((q["lo"], rank)).tolist():
+        if earliest.setdefault((kind[i], mid[i], data[begin[i] : end[i]]), i) != i:
+            again.append(i)
+    whole = np.array(again, np.int64)
+    owns, starts = [np.repeat(whole, sizes[whole])], [_ramp(sizes[whole]) + np.repeat(q["lo"][whole], sizes[whole])]
+
+    left = np.setdiff1d(np.arange(len(sizes)), whole)
+    own = np.repeat(left, sizes[left])
+    j = _ramp(sizes[left])
     # equal windows have their anchor at the same place
-    key = q["kind"].astype(np.int64)[own] << 8 | (q["mid"].astype(np.int64)[own] - j)
-    o = np.lexsort((j + q["lo"][own], _rank(q["id"], q["file"], q["at"])[own], key))
+    key = q["kind"][own] << 8 | (q["mid"].astype(np.int64)[own] - j)
+    o = np.lexsort((j + q["lo"][own], rank[own], key))
     own, j, key = own[o], j[o], key[o]
-    alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
+    alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True] if len(key) else np.zeros(0, bool)
     own, j, key = own[~alone], j[~alone], key[~alone]
-    at = base[own] + j
-    s = Suffixes(data)
-    order = s.sort(at, key)
-    a, b = order[:-1], order[1:]
-    same = key[a] == key[b]
-    same[same] = s.agree(at[a[same]], at[b[same]]) == LENGTH
-    real = same.copy()
-    real[same] = s.equal(at[a[same]], at[b[same]])
-    if (real != same).any():  # a collision of hashes: sort by the bytes themselves
-        windows = [(k, data[x : x + LENGTH], i) for i, (k, x) in enumerate(zip(key.tolist(), at.tolist()))]
-        windows.sort()
-        order = np.array([i for _, _, i in windows])
-        real = np.array([x[:2] == y[:2] for x, y in zip(windows, windows[1:])], bool)
-    again = order[1:][real]  # the first of equal windows is the earliest
-    return own[again], j[again] + q["lo"][own[again]]
+    if len(key):
+        at = base[own] + j
+        s = Suffixes(data)
+        order = s.sort(at, key)
+        a, b = order[:-1], order[1:]
+        near = np.flatnonzero(key[a] == key[b])
+        equal, after = s.order(at[a[near]], at[b[near]])
+        real = np.zeros(len(a), bool)
+        real[near] = equal
+        if after.any():  # hashes agreed where bytes don't: sort by the bytes themselves
+            windows = [(k, data[x : x + LENGTH], i) for i, (k, x) in enumerate(zip(key.tolist(), at.tolist()))]
+            windows.sort()
+            order = np.array([i for _, _, i in windows])
+            real = np.array([x[:2] == y[:2] for x, y in zip(windows, windows[1:])], bool)
+        later = order[1:][real]  # the first of equal windows is the earliest
+        owns.append(own[later])
+        starts.append(j[later] + q["lo"][own[later]])
+    return np.concatenate(owns), np.concatenate(starts)
+
+
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for each size, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _spans(file: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that follow one another in a document as first and last: file, at, lo, hi."""
+    o = np.lexsort((start, at, file))
+    file, at, start = file[o], at[o], start[o]
+    new = np.r_[True, (file[1:] != file[:-1]) | (at[1:] != at[:-1]) | (start[1:] > start[:-1] + 1)][: len(o)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(o)] - 1 if len(first) else first
+    return file[first], at[first], start[first].astype(np.int32), start[last].astype(np.int32)
+
+
+def _apart(q: dict[str, np.ndarray], pieces: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
+    """Windows of runs as questions of their own, each under a class of its bytes, and their bytes; of those that are equal
+    here only the earliest. The question and start of the others."""
+    seen: set[tuple[int, int, bytes]] = set()
+    own, lo, kind, data, again, start = [], [], [], [], [], []
+    rank = _rank(q["id"], q["file"], q["at"])
+    for i in np.lexsort((q["lo"], rank)).tolist():
+        k, mid, first = int(q["kind"][i]), int(q["mid"][i]), int(q["lo"][i])
+        for j in range(int(q["hi"][i]) - first + 1):
+            w = pieces[i][j : j + LENGTH]
+            if (k, mid - j, w) in seen:
+                again.append(i)
+                start.append(first + j)
+            else:
+                seen.add((k, mid - j, w))
+                own.append(i)
+                lo.append(first + j)
+                kind.append(xxhash.xxh64_intdigest(w, (k * 128 + mid - j) % (1 << 64)) >> (64 - KIND_BITS))
+                data.append(w)
+    out = _take(q, np.array(own, np.int64))
+    out |= {"lo": np.array(lo, np.int32), "hi": np.array(lo, np.int32), "mid": np.zeros(len(lo), np.int16), "kind": np.array(kind, np.int64)}
+    return out, data, np.array(again, np.int64), np.array(start, np.int64)
+
+
+def questions(fields: list[np.ndarray], pieces: list[bytes], buckets: int) -> list[tuple[int, bytes]]:
+    """Rows (lo, hi, mid, kind, id, file, at) and their bytes, for buckets of anchors; those to be dealt one by one, by windows."""
+    f = np.concatenate(fields)
+    d = {"lo": f[:, 0].astype(np.int32), "hi": f[:, 1].astype(np.int32), "mid": f[:, 2].astype(np.int16), "kind": f[:, 3], "id": f[:, 4], "file": f[:, 5], "at": f[:, 6]}
+    data, out = pieces, []
+    dealt = np.flatnonzero(d["mid"] >= DEALT)
+    if len(dealt):
+        hot = _take(d, dealt)
+        hot["mid"] = (hot["mid"] - DEALT).astype(np.int16)
+        new, more, again, start = _apart(hot, [pieces[i] for i in dealt.tolist()])
+        out = _known(*_spans(hot["file"][again], hot["at"][again], start), buckets)
+        rest = np.flatnonzero(d["mid"] < DEALT)
+        d = _joined([_take(d, rest), new])
+        data = [pieces[i] for i in rest.tolist()] + more
+    order = np.argsort(d["kind"] % buckets, kind="stable")
+    bucket = (d["kind"] % buckets)[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(order)])
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+        own = order[lo:hi]
+        out.append((int(bucket[lo]), _blob(_take(d, own) | {"bytes": b"".join(data[i] for i in own.tolist())})))
+    return out
 
 
 def _answer(t: pa.Table, doc_buckets: int) -> pa.Table:
+    bucket = t.column("bucket")[0].as_py()
+    if bucket < 0:
+        return _passed(t, bucket)
     parts = [pickle.loads(x.as_py()) for x in t.column("data")]
     data = b"".join(p.pop("bytes") for p in parts)
     q = _joined(parts)
     own, start = repeated_windows(q, data)
-    file, at = q["file"][own], q["at"][own]
-    o = np.lexsort((start, at, file))
-    file, at, start = file[o], at[o], start[o]
-    new = np.r_[True, (file[1:] != file[:-1]) | (at[1:] != at[:-1]) | (start[1:] > start[:-1] + 1)][: len(o)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(o)] - 1 if len(first) else first
-    found = {"file": file[first], "at": at[first], "lo": start[first].astype(np.int32), "hi": start[last].astype(np.int32)}
-    found |= {"kind": np.zeros(len(first), np.uint32), "mid": np.full(len(first), -1, np.int16), "id": found["at"]}
-    return pa.Table.from_batches([_batch(list(_dealt(found, _doc_bucket(found, doc_buckets))))])
+    file, at, lo, hi = _spans(q["file"][own], q["at"][own], start)
+    return pa.Table.from_batches([_batch([(-1 - b, x) for b, x in _known(file, at, lo, hi, doc_buckets)])])
 
 
 def cut(text: bytes, windows: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
@@ -367,16 +473,22 @@ def cut(text: bytes, windows: np.ndarray) -> tuple[list[tuple[int, int]], bytes]
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes long, spans array<struct<start, end>> of bytes removed, kept binary.
 
-    Earlier means smaller integer doc_id (null first), then, of repeated ids, place in the table, then place in
-    the text. Null and empty texts, and texts under LENGTH bytes, have no spans.
+    Earlier means smaller doc_id (null first) in Spark's order of its type, then, of repeated ids, place in the table,
+    then place in the text. Null and empty texts, and texts under LENGTH bytes, have no spans. Repeated rows and rows
+    of a null id are rows of their own; an empty table gives an empty result. Only id and text are read.
     """
+    docs = settled(docs.select(id_col, text_col))
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark)
-    row = row_of(docs)
-    columns = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    keys = [F.col("row.file").alias("file"), F.col("row.at").alias("at")] if "struct" in columns.schema["row"].dataType.simpleString() else [F.lit(0).cast("long").alias("file"), F.col("row").alias("at")]
-    texts = columns.select(*keys, "id", "doc_id", "text")
+    columns = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    if isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        columns = columns.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    else:  # a number in the order of the ids: of the range that a task sorts, and the place in it
+        ranks = columns.select("row", "doc_id").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+        ranks = scratch.keep(ranks.select("row", F.monotonically_increasing_id().alias("id")))
+        columns = columns.join(ranks, "row")
+    texts = columns.select(F.col("row.file").alias("file"), F.col("row.at").alias("at"), "id", "doc_id", "text")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size < 1 << 60  # Spark's stand-in for sizes that it doesn't know is beyond it
     buckets = max(12, -(-size // BUCKET_BYTES) if known else int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -408,16 +520,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         size = 0
 
         def flush() -> pa.RecordBatch:
-            f = np.concatenate(fields)
-            d = {"lo": f[:, 0].astype(np.int32), "hi": f[:, 1].astype(np.int32), "mid": f[:, 2].astype(np.int16), "kind": f[:, 3].astype(np.uint32), "id": f[:, 4], "file": f[:, 5], "at": f[:, 6]}
-            bucket = d["kind"].astype(np.int64) % buckets
-            out = []
-            for b in np.unique(bucket).tolist():
-                own = np.flatnonzero(bucket == b)
-                out.append((b, _blob(_take(d, own) | {"bytes": b"".join(pieces[i] for i in own.tolist())})))
+            out = _batch(questions(fields, pieces, buckets))
             fields.clear()
             pieces.clear()
-            return _batch(out)
+            return out
 
         for b in batches:
             for i, (q, text) in enumerate(zip(b.column("asks").to_pylist(), b.column("text").to_pylist())):

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lamina.llm import bpe, decontaminate, exact_dedup, licenses, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
 from lamina.llm.common import Scratch
@@ -641,16 +642,82 @@ def repeats(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_are_removed(spark, seed):
+@pytest.mark.parametrize("seed, split, digests, agree", [(1, 64, "real", "real"), (2, 64, "real", "real"), (2, 1, "real", "real"), (1, 64, "one", "real"), (1, 64, "few", "all"), (2, 1, "one", "all"), (1, 64, "real", "all")])
+def test_repeats_are_removed(spark, seed, split, digests, agree, monkeypatch):
+    """Also where every anchor is split, where digests collide, and where prefix hashes do."""
     texts = repeats(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = slow_removal(list(enumerate(texts)))
-    rows = suffix_dedup.remove_repeats(df).collect()
+    with wrong(monkeypatch, split, digests, agree):
+        rows = removed(df)
     assert len(rows) == len(texts)
     for r in rows:
-        kept, spans = want[r.doc_id]
-        assert bytes(r.kept) == kept and len(r.spans) == spans and r.n_bytes == len((texts[r.doc_id] or "").encode())
+        kept, spans = want[r[0]]
+        assert r[3] == kept and r[2] == spans and r[1] == len((texts[r[0]] or "").encode())
+
+
+def removed(df):
+    """What remove_repeats does, task by task in this process, so that its parts can be replaced."""
+    parts = [[(r.doc_id, (r.text or "").encode()) for r in p] for p in df.rdd.glom().collect()]
+    buckets, sent = 3, []
+
+    def grouped(rows):
+        out = {}
+        for b, x in rows:
+            out.setdefault(b, []).append(x)
+        return [suffix_dedup.pa.table({"bucket": suffix_dedup.pa.array([b] * len(x), suffix_dedup.pa.int32()), "data": suffix_dedup.pa.array(x, suffix_dedup.pa.binary())}) for b, x in out.items()]
+
+    rows_of = lambda t: list(zip(t.column("bucket").to_pylist(), t.column("data").to_pylist()))
+    for k, p in enumerate(parts):
+        ids = np.array([i for i, _ in p], np.int64)
+        sent += suffix_dedup._send_runs([t for _, t in p], ids, np.full(len(p), k), ids, buckets, buckets)
+    compared = [x for t in grouped(sent) for x in rows_of(suffix_dedup._compare_runs(t, buckets))]
+    state = [suffix_dedup._by_document(t).to_pylist() for t in grouped(compared)]
+    texts = {(k, i): t for k, p in enumerate(parts) for i, t in p}
+    spans = {}
+    asked = []
+    for r in (r for s in state for r in s):
+        spans.setdefault((r["file"], r["at"]), []).append(np.frombuffer(r["spans"], "<i4").reshape(-1, 2))
+        q = np.frombuffer(r["asks"], "<i8").reshape(-1, 4)
+        if len(q):
+            asked.append((np.hstack([q, np.repeat(np.array([[r["at"], r["file"], r["at"]]]), len(q), 0)]), [texts[r["file"], r["at"]][a : b + 100] for a, b in q[:, :2].tolist()]))
+    asks = [suffix_dedup.questions([f for f, _ in half], [x for _, p in half for x in p], buckets) for half in (asked[::2], asked[1::2]) if half]
+    answered = [x for t in grouped([y for a in asks for y in a]) for x in rows_of(suffix_dedup._answer(t, buckets))]
+    for r in (r for t in grouped(answered) for r in suffix_dedup._by_document(t).to_pylist()):
+        spans.setdefault((r["file"], r["at"]), []).append(np.frombuffer(r["spans"], "<i4").reshape(-1, 2))
+    out = []
+    for (k, i), t in texts.items():
+        s, kept = suffix_dedup.cut(t, np.concatenate([np.zeros((0, 2), np.int32), *spans.get((k, i), [])]))
+        out.append((i, len(t), len(s), kept))
+    return out
+
+
+class wrong:
+    """Thresholds and hashes as they never should be."""
+
+    def __init__(self, monkeypatch, split, digests, agree):
+        self.patch, self.split, self.digests, self.agree = monkeypatch, split, digests, agree
+
+    def __enter__(self):
+        self.patch.setattr(suffix_dedup, "SPLIT", self.split)
+        if self.digests != "real":
+            self.patch.setattr(suffix_dedup, "digest", lambda x: bytes(16) if self.digests == "one" else bytes([len(x) % 2]) + bytes(15))
+        if self.agree != "real":
+            self.patch.setattr(suffix_dedup.Suffixes, "agree", lambda self, a, b: np.full(len(a), suffix_dedup.LENGTH))
+
+    def __exit__(self, *_):
+        self.patch.undo()
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_repeats_are_removed_by_spark(spark, seed):
+    texts = repeats(seed)
+    want = slow_removal(list(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = suffix_dedup.remove_repeats(df).collect()
+    assert {r.doc_id: (bytes(r.kept), len(r.spans)) for r in rows} == want and len(rows) == len(texts)
+    named = suffix_dedup.remove_repeats(df.select(F.format_string("n%03d", "doc_id").alias("doc_id"), "text")).collect()
+    assert {int(r.doc_id[1:]): (bytes(r.kept), len(r.spans)) for r in named} == want
 
 
 def test_repeats_of_odd_tables(docs, empty):
@@ -670,12 +737,23 @@ def test_long_texts_are_taken_in_parts(monkeypatch):
             assert sorted(i for a, b in own for i in range(a, b + 1)) == list(range(n - 99))
 
 
-def test_a_collision_of_hashes_is_seen(monkeypatch):
-    monkeypatch.setattr(suffix_dedup.Suffixes, "agree", lambda self, a, b: np.full(len(a), suffix_dedup.LENGTH))
-    data = b"a" * 100 + b"b" * 100 + b"a" * 100
-    q = {"lo": np.zeros(3, np.int32), "hi": np.zeros(3, np.int32), "mid": np.zeros(3, np.int16), "kind": np.zeros(3, np.uint32), "id": np.arange(3), "file": np.zeros(3, np.int64), "at": np.arange(3)}
-    own, start = suffix_dedup.repeated_windows(q, data)
-    assert own.tolist() == [2] and start.tolist() == [0]
+@pytest.mark.parametrize("lies", [False, True])
+def test_suffixes_are_sorted_and_verified(monkeypatch, lies):
+    rng = np.random.default_rng(4)
+    if lies:
+        monkeypatch.setattr(suffix_dedup.Suffixes, "agree", lambda self, a, b: rng.integers(0, 2, len(a)) * suffix_dedup.LENGTH)
+    base = [bytes(rng.integers(97, 99, 130).astype(np.uint8)) for _ in range(4)]
+    pieces = [b[:n] + c[n:] for b in base for c in base for n in (0, 5, 20, 28, 30, 110)]
+    n = len(pieces)
+    q = {"lo": np.arange(n, dtype=np.int32), "hi": np.arange(n, dtype=np.int32) + 30, "mid": np.full(n, 40, np.int16), "kind": np.zeros(n, np.int64), "id": np.arange(n) // 3, "file": np.zeros(n, np.int64), "at": np.arange(n) // 3}
+    own, start = suffix_dedup.repeated_windows(q, b"".join(pieces))
+    seen, want = set(), set()
+    for i, p in enumerate(pieces):
+        for j in range(31):
+            if (j, p[j : j + 100]) in seen:
+                want.add((i, i + j))
+            seen.add((j, p[j : j + 100]))
+    assert set(zip(own.tolist(), start.tolist())) == want
 
 
 # -- queries ----------------------------------------------------------------------------------------------------
