@@ -23,3 +23,7 @@ class DuplicateKey(StripeError):
 
 class MultipleMatches(StripeError):
     """An UPDATE ... FROM has several source rows for one target row."""
+
+
+class UnsafeStore(StripeError):
+    """The store can't publish a file under a name that must be free, so that two writers could lose a commit."""

@@ -3,24 +3,34 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import uuid
 import warnings
+from collections import OrderedDict
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
+import pyarrow.parquet as pq
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CommitConflict, DuplicateKey, MultipleMatches, NotAStripeTable, StripeError
-from ..manifest import Log, Manifest, Stripe
-from ..plans.pruning import Conjunct, ScanReport, conjuncts_of, encode_bounds, prune
+from ..bounds import decoded, encode_bounds, footer_stats
+from ..manifest import Deletes, Log, Manifest, Stripe
+from ..plans.pruning import Conjunct, ScanReport, conjuncts_of, prune
 from ..storage import Store
-from ..types import schema_of, stats_kind
+from ..types import schema_of
 
 CODECS = {"none": "uncompressed", "lz4": "lz4_raw", "zstd": "zstd"}
-#: Deleted rows of a scan's stripes that are broadcast at most; beyond it the anti join shuffles.
-BROADCAST_DELETES = 1_000_000
+#: Bytes of a scan's deleted rows that are broadcast at most, a row taken as DELETE_BYTES and its file's name; beyond it the
+#: anti join shuffles.
+BROADCAST_DELETES, DELETE_BYTES = 32 << 20, 48
+#: Bytes of a Parquet file's end that are read first for its footer.
+FOOTER_BYTES = 1 << 16
 #: Attempts of DELETE, UPDATE and compact when a rival changes the stripes that they touch.
 ATTEMPTS = 5
 
@@ -28,20 +38,31 @@ _FILE, _ROW = "__file", "__row"
 _DELETES = T.StructType([T.StructField(_FILE, T.StringType()), T.StructField(_ROW, T.LongType())])
 
 
+#: Marks a folder of stripes or deleted rows whose commit was made, and lists stripes that left the table: what a rebuild goes by.
+_DONE, _LEFT = "_committed", "_left"
+
+
 class StripeTable:
-    def __init__(self, spark: SparkSession, path: str):
+    """cache_mb: bytes of stripes (as their files have them) whose rows scans keep in memory; 0 keeps none.
+
+    single_writer: the word that no other writer is at work, which stores without atomic renames need.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, cache_mb: int = 0, single_writer: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
-        self.store = Store(spark, self.path)
-        self.counters = {"metadata_hits": 0, "metadata_misses": 0, "data_hits": 0, "data_misses": 0}
+        self.store = Store(spark, self.path, single_writer)
+        self.counters = {f"{c}_{n}": 0 for c in ("metadata", "stats", "bitmap", "ipc") for n in ("hits", "misses")} | {"ipc_bytes_cached": 0}
         self.log = Log(self.store, self.counters)
-        self._cached: tuple[int, DataFrame] | None = None
+        self.cache_bytes = cache_mb << 20
+        self._held: OrderedDict[tuple, tuple[DataFrame, int]] = OrderedDict()
+        self._vectors: dict[tuple[str, ...], DataFrame] = {}
 
     # -- life cycle ----------------------------------------------------------------------------------------
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema, codec: str = "zstd", rows_per_stripe: int = 10_000) -> StripeTable:
+    def create(cls, spark: SparkSession, path: str, schema, codec: str = "zstd", rows_per_stripe: int = 10_000, **how) -> StripeTable:
         """An empty table. schema: a StructType or {column: SQL type}; types are checked here."""
-        t = cls(spark, path)
+        t = cls(spark, path, **how)
         if codec not in CODECS:
             raise StripeError(f"codec {codec!r} is not one of {', '.join(CODECS)}")
         first = Manifest(1, schema_of(schema), options={"codec": codec, "rows_per_stripe": rows_per_stripe})
@@ -50,8 +71,8 @@ class StripeTable:
         return t
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> StripeTable:
-        t = cls(spark, path)
+    def open(cls, spark: SparkSession, path: str, **how) -> StripeTable:
+        t = cls(spark, path, **how)
         t.log.load()
         return t
 
@@ -59,6 +80,7 @@ class StripeTable:
         self.uncache()
         self.store.delete()
         self.log.cached.clear()
+        self.log.parts.clear()
 
     @property
     def schema(self) -> T.StructType:
@@ -79,51 +101,76 @@ class StripeTable:
         return df.select(*[(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
     def _write(self, df: DataFrame, m: Manifest, codec: str, rows: int) -> list[Stripe]:
-        """Stripes of df's rows, written but in no manifest yet; ids are given on commit."""
-        folder = f"stripes/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", rows).option("compression", CODECS[codec]).parquet(self.store.path(folder))
-        return self._measured(folder, m.schema, codec)
-
-    def _measured(self, folder: str, schema: T.StructType, codec: str) -> list[Stripe]:
-        """Row counts and column bounds of all files in a folder, in one pass over them."""
-        files = [(n, size) for n, size in self.store.names(folder) if n.endswith(".parquet")]
-        kinds = {f.name: k for f in schema if (k := stats_kind(f.dataType))}
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, (c, k) in enumerate(kinds.items()):
-            col = F.col(f"`{c}`")
-            aggs += [F.min(col).alias(f"a{i}"), F.max(col).alias(f"b{i}"), F.count(col).alias(f"c{i}")]
-        read = self.spark.read.schema(schema).parquet(self.store.path(folder)).select("*", F.col("_metadata.file_name").alias(_FILE))
-        found = {r[_FILE]: r for r in read.groupBy(_FILE).agg(*aggs).toLocalIterator()}  # a row per stripe, as in the manifest
-        out = []
-        for name, size in sorted(files):
-            if name not in found:
-                continue  # no rows
-            r = found[name]
-            stats = {}
-            for i, (c, k) in enumerate(kinds.items()):
-                low, high = r[f"a{i}"], r[f"b{i}"]
-                if k == "timestamptz" and low is not None:
-                    low, high = (x.astimezone(dt.timezone.utc) for x in (low, high))
-                a, b, nan = encode_bounds(k, low, high)
-                stats[c] = [a, b, r["n"] - r[f"c{i}"], nan]
-            out.append(Stripe(0, f"{folder}/{name}", r["n"], size, codec, 0, stats))
-        return out
-
-    @staticmethod
-    def _numbered(m: Manifest, new: list[Stripe]) -> tuple[tuple[Stripe, ...], int]:
-        given = tuple(replace(s, id=m.next_id + i) for i, s in enumerate(new))
-        return given, m.next_id + len(given)
+        """Stripes of df's rows, written but in no manifest yet; ids are given on commit. Folders sort as they were written."""
+        folder = f"stripes/{m.next_id:012d}-{uuid.uuid4().hex}"
+        key = "spark.sql.parquet.outputTimestampType"
+        was = self.spark.conf.get(key)
+        self.spark.conf.set(key, "TIMESTAMP_MICROS")  # the other form has no bounds
+        try:
+            df.write.option("maxRecordsPerFile", rows).option("compression", CODECS[codec]).parquet(self.store.path(folder))
+        finally:
+            self.spark.conf.set(key, was)
+        return self._measured(folder, m, codec)
+
+    def _footer(self, name: str, size: int):
+        data = self.store.tail(name, size, FOOTER_BYTES)
+        need = int.from_bytes(data[-8:-4], "little") + 8
+        return pq.read_metadata(io.BytesIO(data if need <= len(data) else self.store.tail(name, size, need)))
+
+    def _measured(self, folder: str, m: Manifest, codec: str | None) -> list[Stripe]:
+        """Row counts and column bounds of all files in a folder: from their footers, and of columns whose bounds a footer
+        lacks by reading these columns. Without a codec it is read too."""
+        files = sorted((n, size) for n, size in self.store.names(folder) if n.endswith(".parquet"))
+        with ThreadPoolExecutor(8) as pool:
+            footers = dict(zip((n for n, _ in files), pool.map(lambda f: self._footer(f"{folder}/{f[0]}", f[1]), files)))
+        files = [(n, size) for n, size in files if footers[n].num_rows]
+        stats = {n: footer_stats(footers[n], m.kinds) for n, _ in files}
+        lacking = {c: k for c, k in m.kinds.items() if any(c not in s for s in stats.values())}
+        if lacking:
+            aggs = []
+            for i, c in enumerate(lacking):
+                col = F.col(f"`{c}`")
+                aggs += [F.min(col).alias(f"a{i}"), F.max(col).alias(f"b{i}"), F.count(col).alias(f"c{i}")]
+            read = self.spark.read.schema(m.schema).parquet(self.store.path(folder)).select(*[f"`{c}`" for c in lacking], F.col("_metadata.file_name").alias(_FILE))
+            for r in read.groupBy(_FILE).agg(*aggs).toLocalIterator():  # a row per stripe that was written just now
+                for i, (c, k) in enumerate(lacking.items()):
+                    low, high = r[f"a{i}"], r[f"b{i}"]
+                    if k == "timestamptz" and low is not None:
+                        low, high = (x.astimezone(dt.timezone.utc) for x in (low, high))
+                    a, b, nan = encode_bounds(k, low, high)
+                    stats[r[_FILE]][c] = [a, b, footers[r[_FILE]].num_rows - r[f"c{i}"], nan]
+        names = {v.removesuffix("_raw").replace("uncompressed", "none"): k for k, v in CODECS.items()}
+        own = lambda n: codec or names.get(footers[n].row_group(0).column(0).compression.lower().removesuffix("_raw").replace("uncompressed", "none"), "none")
+        return [Stripe(0, f"{folder}/{n}", footers[n].num_rows, size, own(n), 0, stats[n]) for n, size in files]
+
+    def _commit(self, change: Callable[[Manifest], Manifest], new: list[Stripe] = (), vector: str | None = None, left: list[Stripe] = ()) -> Manifest:
+        """Commit; mark what it brings, and list what leaves, for a rebuild. Nothing is marked if there is no commit."""
+        marks = [f"{f}/{_DONE}" for f in {s.file.rpartition("/")[0] for s in new} | ({vector} if vector else set())]
+        if left:
+            marks.append(f"{_LEFT}/{uuid.uuid4().hex}")
+            self.store.mkdirs(_LEFT)
+        for x in marks:
+            self.store.write(x, "\n".join(s.file for s in left) if x.startswith(f"{_LEFT}/") else "")
+        try:
+            return self.log.commit(change)
+        except BaseException:
+            for x in marks:
+                self.store.delete(x)
+            raise
+
+    def _discard(self, new: list[Stripe]) -> None:
+        for folder in {s.file.rpartition("/")[0] for s in new}:
+            self.store.delete(folder)
 
     def insert(self, df: DataFrame, codec: str | None = None, rows_per_stripe: int | None = None, cluster_by: list[str] | None = None, ordered: bool = False, unique: list[str] | None = None) -> Manifest:
         """Append df's rows as new stripes in one commit.
 
         ordered: one task, stripes of exactly rows_per_stripe rows in df's order. cluster_by: rows sorted by range
-        of these columns, so that pruning on them works. unique: columns whose values must be new and distinct.
+        of these columns, so that pruning on them works. unique: columns whose values must be new and distinct; it is
+        checked against the very version that the commit follows, so that of writers that race one gets DuplicateKey.
         """
         m = self.log.load()
         df = self._conformed(df, m.schema)
-        if unique:
-            self.check_unique(unique, df)
         if cluster_by:
             df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
         elif ordered:
@@ -131,34 +178,91 @@ class StripeTable:
         new = self._write(df, m, codec or m.options["codec"], rows_per_stripe or m.options["rows_per_stripe"])
 
         def change(last: Manifest) -> Manifest:
-            given, after = self._numbered(last, new)
-            return replace(last, stripes=last.stripes + given, next_id=after)
-
-        return self.log.commit(change)
+            if unique and new:
+                self._check_new(unique, new, last)
+            return self.log.added(last, new)
+
+        try:
+            return self._commit(change, new)
+        except DuplicateKey:
+            self._discard(new)
+            raise
+
+    def _check_new(self, keys: list[str], new: list[Stripe], m: Manifest) -> None:
+        """DuplicateKey if written rows clash among themselves or with live rows of m: only stripes whose bounds meet theirs are read."""
+        rows = self.spark.read.schema(m.schema).parquet(*[self.store.path(s.file) for s in new]).select(*keys).na.drop(subset=keys)
+        twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
+        if twice:
+            raise DuplicateKey(f"{dict(zip(keys, twice[0][: len(keys)]))} occurs {twice[0][-1]} times")
+        conjuncts = []
+        for c in (c for c in keys if c in m.kinds):
+            each = [s.stats.get(c) for s in new]
+            if all(s is not None and s[0] is not None and s[1] is not None and not s[3] for s in each):
+                lows, highs = ([decoded(m.kinds[c], s[i]) for s in each] for i in (0, 1))
+                order = str.encode if m.kinds[c] == "string" else None
+                conjuncts += [Conjunct(c, ">=", min(lows, key=order)), Conjunct(c, "<=", max(highs, key=order))]
+        met, _ = prune(m, conjuncts)
+        if met:
+            clash = self._rows(m, met).select(*keys).join(rows, keys, "left_semi").limit(1).collect()
+            if clash:
+                raise DuplicateKey(f"{dict(zip(keys, clash[0]))} is in the table")
 
     def insert_csv(self, path: str, header: bool = False, **options) -> Manifest:
         """COPY ... FROM a CSV file with the table's columns in order."""
         read = self.spark.read.schema(self.schema).options(header=header, mode="FAILFAST", **options)
         return self.insert(read.csv(path))
 
-    def upsert(self, df: DataFrame, keys: list[str]) -> Manifest:
-        """Insert the rows whose keys the table doesn't hold; those it holds stay as they are."""
-        df = self._conformed(df, self.schema).dropDuplicates(keys)
-        return self.insert(df.join(self.scan().select(*keys), keys, "left_anti"))
+    def upsert(self, df: DataFrame, keys: list[str]) -> int:
+        """Insert the rows whose keys the table doesn't hold, of several with the same keys one; those it holds stay as they
+        are, and a key with a null is never held. Returns the number of rows inserted; starts again if a rival commits."""
+        df = self._conformed(df, self.schema)
+        null = F.lit(False)
+        for k in keys:
+            null = null | F.col(f"`{k}`").isNull()
+
+        def once(m: Manifest) -> int:
+            fresh = df.where(~null).dropDuplicates(keys)
+            stripes = [s for s in m.stripes if s.rows > s.deleted]
+            if stripes:
+                fresh = fresh.join(self._rows(m, stripes).select(*keys), keys, "left_anti")
+            fresh = fresh.select(*[f"`{f.name}`" for f in m.schema]).unionByName(df.where(null))
+            new = self._write(fresh, m, m.options["codec"], m.options["rows_per_stripe"])
 
-    def check_unique(self, keys: list[str], new: DataFrame | None = None) -> None:
-        """DuplicateKey if the live rows (and new ones) have several with the same keys; keys with a null never clash."""
-        rows = self.scan().select(*keys)
-        rows = rows if new is None else rows.unionByName(new.select(*keys))
-        twice = rows.na.drop(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).collect()
+            def change(last: Manifest) -> Manifest:
+                if last.version != m.version:
+                    raise _Touched
+                return self.log.added(last, new)
+
+            if not new:
+                return 0
+            try:
+                self._commit(change, new)
+            except _Touched:
+                self._discard(new)
+                raise
+            return sum(s.rows for s in new)
+
+        return self._attempt(once)
+
+    def check_unique(self, keys: list[str]) -> None:
+        """DuplicateKey if several live rows have the same keys; keys with a null never clash."""
+        twice = self.scan().select(*keys).na.drop(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).collect()
         if twice:
             raise DuplicateKey(f"{dict(zip(keys, twice[0][: len(keys)]))} occurs {twice[0][-1]} times")
 
     # -- scanning ------------------------------------------------------------------------------------------
 
-    def _deleted(self, m: Manifest, files: set[str] | None = None) -> DataFrame:
-        """Rows (file, row) that the manifest's delete vectors hold, each once."""
-        return self.spark.read.schema(_DELETES).parquet(*[self.store.path(d) for d in m.deletes])
+    def _deleted(self, m: Manifest, stripes: list[Stripe]) -> DataFrame:
+        """Rows (file, row) that delete vectors hold for the stripes, and maybe for others."""
+        wanted = {s.id for s in stripes}
+        folders = tuple(d.folder for d in m.deletes if wanted.intersection(d.ids))
+        if folders in self._vectors:
+            self.counters["bitmap_hits"] += 1
+        else:
+            self.counters["bitmap_misses"] += 1
+            read = self.spark.read.schema(_DELETES).parquet(*[self.store.path(f) for f in folders])
+            self._vectors[folders] = read if len(folders) == 1 else read.distinct()
+        return self._vectors[folders]
 
     def _rows(self, m: Manifest, stripes: list[Stripe], located: bool = False) -> DataFrame:
         """Live rows of stripes; located: with their file and place in it."""
@@ -174,8 +278,9 @@ class StripeTable:
         if clean:
             parts.append(read(clean).select(*names, *(at if located else [])))
         if dirty:
-            gone = self._deleted(m)
-            if sum(s.deleted for s in m.stripes) <= BROADCAST_DELETES:
+            gone = self._deleted(m, dirty)
+            touched = {i for d in m.deletes if {s.id for s in dirty}.intersection(d.ids) for i in d.ids}
+            if sum(m.dirty.get(i, 0) for i in touched) * (DELETE_BYTES + max(len(s.name) for s in dirty)) <= BROADCAST_DELETES:
                 gone = F.broadcast(gone)
             live = read(dirty).select(*names, *at).join(gone, [_FILE, _ROW], "left_anti")
             parts.append(live if located else live.select(*names))
@@ -184,6 +289,28 @@ class StripeTable:
             return self.spark.createDataFrame([], empty)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def _kept(self, m: Manifest, stripes: list[Stripe]) -> DataFrame:
+        """Live rows of stripes through the cache: what scans of the same stripes read is kept, the longest unused goes first."""
+        if not self.cache_bytes or not stripes:
+            return self._rows(m, stripes)
+        key = tuple((s.file, s.deleted) for s in stripes)
+        if key in self._held:
+            self.counters["ipc_hits"] += 1
+            self._held.move_to_end(key)
+            return self._held[key][0]
+        self.counters["ipc_misses"] += 1
+        size = sum(s.size for s in stripes)
+        if size > self.cache_bytes:
+            return self._rows(m, stripes)
+        df = self._rows(m, stripes).persist()
+        self._held[key] = df, size
+        self.counters["ipc_bytes_cached"] += size
+        while self.counters["ipc_bytes_cached"] > self.cache_bytes:
+            _, (old, freed) = self._held.popitem(last=False)
+            old.unpersist()
+            self.counters["ipc_bytes_cached"] -= freed
+        return df
+
     def plan(self, where: str | None = None, prune_by: list[tuple] | None = None, version: int | None = None) -> tuple[Manifest, list[Stripe], ScanReport]:
         m = self.log.load(version)
         conjuncts = [Conjunct(*p) for p in prune_by or []]
@@ -197,12 +324,7 @@ class StripeTable:
         prune_by: further (column, op, value) conjuncts of the query that may skip stripes; rows aren't filtered by them.
         """
         m, stripes, _ = self.plan(where, prune_by, version)
-        if self._cached and self._cached[0] == m.version and not prune_by:
-            self.counters["data_hits"] += 1
-            df = self._cached[1]
-        else:
-            self.counters["data_misses"] += 1
-            df = self._rows(m, stripes)
+        df = self._kept(m, stripes)
         df = df.where(where) if where else df
         return df.select(*columns) if columns else df
 
@@ -228,44 +350,45 @@ class StripeTable:
     def create_view(self, name: str) -> None:
         self.scan().createOrReplaceTempView(name)
 
-    def cache(self) -> DataFrame:
-        """Keep the latest version's rows in memory, spilling to disk; other versions are read as before."""
-        m = self.log.load()
+    def cache(self, mb: int = 256) -> None:
+        """From now on keep what scans read, up to so many MB of stripes (as their files have them); 0 keeps none."""
         self.uncache()
-        self._cached = (m.version, self._rows(m, list(m.stripes)).persist())
-        return self._cached[1]
+        self.cache_bytes = mb << 20
 
     def uncache(self) -> None:
-        if self._cached:
-            self._cached[1].unpersist()
-            self._cached = None
+        for df, _ in self._held.values():
+            df.unpersist()
+        self._held.clear()
+        self.counters["ipc_bytes_cached"] = 0
 
     # -- deleting and updating -----------------------------------------------------------------------------
 
-    def _commit_rows(self, base: Manifest, marked: DataFrame | None, new: list[Stripe]) -> tuple[Manifest, int]:
-        """Commit new stripes and the deletion of marked (file, row) rows of base; CommitConflict if a rival touched them."""
-        counts: dict[str, int] = {}
-        dv: tuple[str, ...] = ()
-        if marked is not None:
-            folder = f"dv/{uuid.uuid4().hex}"
-            marked.write.parquet(self.store.path(folder))
-            written = self.spark.read.schema(_DELETES).parquet(self.store.path(folder))
-            counts = {r[_FILE]: r["count"] for r in written.groupBy(_FILE).count().toLocalIterator()}
-            dv = (folder,) if counts else ()
-        before = {s.file: s for s in base.stripes}
+    def _commit_rows(self, base: Manifest, stripes: list[Stripe], marked: DataFrame, new: list[Stripe]) -> int:
+        """Commit new stripes and the deletion of marked (file, row) rows of base's stripes; _Touched if a rival touched these."""
+        folder = f"dv/{uuid.uuid4().hex}"
+        marked.write.parquet(self.store.path(folder))
+        written = self.spark.read.schema(_DELETES).parquet(self.store.path(folder))
+        counts = {r[_FILE]: r["count"] for r in written.groupBy(_FILE).count().toLocalIterator()}  # a row per stripe touched
+        if not counts:
+            self.store.delete(folder)
+            return 0
+        before = {s.name: s for s in stripes if s.name in counts}
 
         def change(last: Manifest) -> Manifest:
-            now = {s.file.rpartition("/")[2]: s for s in last.stripes}
-            for name in counts:
-                if name not in now or now[name].deleted != before[now[name].file].deleted:
-                    raise _Touched
-            given, after = self._numbered(last, new)
-            kept = tuple(replace(s, deleted=s.deleted + counts.get(s.file.rpartition("/")[2], 0)) for s in last.stripes)
-            return replace(last, stripes=kept + given, next_id=after, deletes=last.deletes + dv)
-
-        if not counts and not new:
-            return base, 0
-        return self.log.commit(change), sum(counts.values())
+            now = before if last.version == base.version else {s.name: s for s in last.each() if s.name in counts}
+            if any(n not in now or now[n].deleted != before[n].deleted for n in counts):
+                raise _Touched
+            dirty = last.dirty | {now[n].id: now[n].deleted + k for n, k in counts.items()}
+            gone = Deletes(folder, tuple(sorted(now[n].id for n in counts)))
+            return self.log.added(replace(last, dirty=dirty, deletes=last.deletes + (gone,)), new)
+
+        try:
+            self._commit(change, new, folder)
+        except _Touched:
+            self.store.delete(folder)
+            self._discard(new)
+            raise
+        return sum(counts.values())
 
     def _attempt(self, once) -> int:
         for _ in range(ATTEMPTS):
@@ -282,7 +405,7 @@ class StripeTable:
             stripes, _ = prune(m, conjuncts_of(self.spark, where, m.schema))
             if not stripes:
                 return 0
-            return self._commit_rows(m, self._rows(m, stripes, True).where(where).select(_FILE, _ROW), [])[1]
+            return self._commit_rows(m, stripes, self._rows(m, stripes, True).where(where).select(_FILE, _ROW), [])
 
         return self._attempt(once)
 
@@ -295,36 +418,53 @@ class StripeTable:
                 return 0
             hit = self._rows(m, stripes, True)
             hit = hit.where(where) if where else hit
-            return self._replace_rows(m, hit, hit, {c: F.expr(e) if isinstance(e, str) else e for c, e in set_.items()})
+            return self._replace_rows(m, stripes, hit, {c: F.expr(e) if isinstance(e, str) else e for c, e in set_.items()})
 
         return self._attempt(once)
 
-    def _replace_rows(self, m: Manifest, hit: DataFrame, source: DataFrame, exprs: dict[str, Column]) -> int:
+    def _replace_rows(self, m: Manifest, old: list[Stripe], hit: DataFrame, exprs: dict[str, Column]) -> int:
+        """Rows with their places, replaced by new values. They are evaluated once and written: what is deleted and what is
+        added come from the same rows, whatever their source gives the next time."""
         unknown = set(exprs) - {f.name for f in m.schema}
         if unknown:
             raise StripeError(f"columns not in the table: {', '.join(sorted(unknown))}")
-        new = source.select(*[(exprs.get(f.name, F.col(f"`{f.name}`"))).cast(f.dataType).alias(f.name) for f in m.schema])
-        stripes = self._write(new, m, m.options["codec"], m.options["rows_per_stripe"])
-        return self._commit_rows(m, hit.select(_FILE, _ROW), stripes)[1]
+        staged = f"staged/{uuid.uuid4().hex}"
+        new = [(exprs.get(f.name, F.col(f"`{f.name}`"))).cast(f.dataType).alias(f.name) for f in m.schema]
+        try:
+            hit.select(_FILE, _ROW, *new).write.parquet(self.store.path(staged))
+            rows = self.spark.read.schema(T.StructType(_DELETES.fields + m.schema.fields)).parquet(self.store.path(staged))
+            twice = rows.groupBy(_FILE, _ROW).count().where("count > 1").limit(1).collect()
+            if twice:
+                raise MultipleMatches(f"{twice[0]['count']} source rows match one row")
+            stripes = self._write(rows.select(*[f"`{f.name}`" for f in m.schema]), m, m.options["codec"], m.options["rows_per_stripe"])
+            return self._commit_rows(m, old, rows.select(_FILE, _ROW), stripes)
+        finally:
+            self.store.delete(staged)
 
     def update_from(self, source: DataFrame, on: list[str], set_: dict[str, str], where: str | None = None) -> int:
         """UPDATE ... FROM: set_ may use source's columns as src.<column>; several source rows for one are an error."""
 
         def once(m: Manifest) -> int:
-            rows = self._rows(m, [s for s in m.stripes if s.rows > s.deleted], True).alias("t")
+            live = [s for s in m.each() if s.rows > s.deleted]
+            rows = self._rows(m, live, True).alias("t")
             other = source.select(*[F.col(c).alias(f"__src_{c}") for c in source.columns])
             joined = rows.join(other, [F.col(f"t.{c}") == F.col(f"__src_{c}") for c in on])
             packed = joined.withColumn("src", F.struct(*[F.col(f"__src_{c}").alias(c) for c in source.columns]))
             packed = packed.where(where) if where else packed
-            twice = packed.groupBy(_FILE, _ROW).count().where("count > 1").limit(1).collect()
-            if twice:
-                raise MultipleMatches(f"{twice[0]['count']} source rows match one row")
-            return self._replace_rows(m, packed, packed, {c: F.expr(e) for c, e in set_.items()})
+            return self._replace_rows(m, live, packed, {c: F.expr(e) for c, e in set_.items()})
 
         return self._attempt(once)
 
     def truncate(self) -> Manifest:
-        return self.log.commit(lambda last: replace(last, stripes=(), deletes=()))
+        def once(m: Manifest) -> Manifest:
+            def change(last: Manifest) -> Manifest:
+                if last.version != m.version:
+                    raise _Touched
+                return replace(last, parts=(), dirty={}, deletes=())
+
+            return self._commit(change, left=m.stripes)
+
+        return self._attempt(once)
 
     # -- maintenance ---------------------------------------------------------------------------------------
 
@@ -337,22 +477,30 @@ class StripeTable:
 
         def change(last: Manifest) -> Manifest:
             dead[:] = [s for s in last.stripes if s.deleted >= s.rows]
-            kept = tuple(s for s in last.stripes if s.deleted < s.rows)
-            return replace(last, stripes=kept, deletes=last.deletes if any(s.deleted for s in kept) else ())
+            return self.log.without(last, {s.id for s in dead}) if dead else last
 
         m = self.log.load()
-        if any(s.deleted >= s.rows for s in m.stripes) or m.deletes and not any(s.deleted for s in m.stripes):
-            m = self.log.commit(change)
+        gone = [s for s in m.stripes if s.deleted >= s.rows]
+        if gone:
+            m = self._commit(change, left=gone)
         versions = self.log.versions()
-        used = {x for v in versions[-keep_versions:] for mm in [self.log.load(v)] for x in [*(s.file.rpartition("/")[0] for s in mm.stripes), *mm.deletes]}
+        kept = [self.log.load(v) for v in versions[-keep_versions:]]
+        used = {x for mm in kept for x in [*(s.file.rpartition("/")[0] for s in mm.each()), *(d.folder for d in mm.deletes)]}
+        parts = {p.file.rpartition("/")[2] for mm in kept for p in mm.parts}
         removed = 0
-        for kind in ("stripes", "dv"):
+        for kind in ("stripes", "dv", "staged"):
             for folder in self._folders(kind):
                 if f"{kind}/{folder}" not in used:
                     removed += self.store.delete(f"{kind}/{folder}")
+        for name, _ in self.store.names(_LEFT):  # lists of stripes of which no file is left
+            if not any(self.store.exists(f) for f in self.store.read(f"{_LEFT}/{name}").splitlines()):
+                self.store.delete(f"{_LEFT}/{name}")
         for v in versions[:-keep_versions]:
             self.store.delete(f"_manifest/v{v:020d}.json")
             self.log.cached.pop(v, None)
+        for name, _ in self.store.names("_manifest"):
+            if name.startswith("part-") and name not in parts:
+                self.store.delete(f"_manifest/{name}")
         return self.spark.createDataFrame([(len(dead), removed, m.live_rows)], "stripes_removed int, folders_removed int, live_rows long")
 
     def _folders(self, kind: str) -> list[str]:
@@ -369,16 +517,19 @@ class StripeTable:
             if not part:
                 return 0
             new = self._write(self._rows(m, part), m, m.options["codec"], m.options["rows_per_stripe"])
-            old = {s.file: s.deleted for s in part}
+            old = {s.id: s.deleted for s in part}
 
             def change(last: Manifest) -> Manifest:
-                if any(last_deleted != old[f] for f, last_deleted in ((s.file, s.deleted) for s in last.stripes) if f in old) or len({s.file for s in last.stripes} & set(old)) < len(old):
+                now = {s.id: s.deleted for s in last.stripes if s.id in old}
+                if now != old:
                     raise _Touched
-                given, after = self._numbered(last, new)
-                kept = tuple(s for s in last.stripes if s.file not in old)
-                return replace(last, stripes=kept + given, next_id=after, deletes=last.deletes if any(s.deleted for s in kept) else ())
+                return self.log.added(self.log.without(last, set(old)), new)
 
-            self.log.commit(change)
+            try:
+                self._commit(change, new, left=part)
+            except _Touched:
+                self._discard(new)
+                raise
             return len(part)
 
         self._attempt(once)
@@ -387,44 +538,76 @@ class StripeTable:
     def optimize(self, cluster_by: list[str], rows_per_stripe: int | None = None) -> Manifest:
         """Rewrite all live rows in ranges of cluster_by."""
         m = self.log.load()
-        df = self._rows(m, list(m.stripes)).repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        old = m.stripes
+        df = self._rows(m, old).repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
         new = self._write(df, m, m.options["codec"], rows_per_stripe or m.options["rows_per_stripe"])
 
         def change(last: Manifest) -> Manifest:
             if last.version != m.version:
                 raise CommitConflict(f"{self.path} was changed meanwhile")
-            given, after = self._numbered(last, new)
-            return replace(last, stripes=given, next_id=after, deletes=())
+            return self.log.added(replace(last, parts=(), dirty={}, deletes=()), new)
 
-        return self.log.commit(change)
+        return self._commit(change, new, left=old)
 
     def rebuild_metadata(self) -> DataFrame:
-        """Rewrite the manifest from the files of the latest version; a file that can't be read is left out with a warning.
+        """A new version from the table's folder alone, whether or not a manifest is left; run it when no writer is active.
 
-        The schema and the list of files come from the latest manifest, sizes, row counts, bounds and deleted rows
-        from the files themselves.
+        Folders of committed stripes and of committed deleted rows are listed, less the stripes that are listed as
+        gone; schema, row counts, bounds, codecs and deleted rows come from the files. A file that can't be read is
+        left out with a warning. Only the options come from the last manifest, where there is one.
         """
-        m = self.log.load()
-        counts = {}
-        if m.deletes:
-            counts = {r[_FILE]: r["n"] for r in self._deleted(m).groupBy(_FILE).agg(F.count_distinct(_ROW).alias("n")).toLocalIterator()}
-        known: dict[str, Stripe] = {}
-        for folder in sorted({s.file.rpartition("/")[0] for s in m.stripes}):
+        left = {f for name, _ in self.store.names(_LEFT) for f in self.store.read(f"{_LEFT}/{name}").splitlines()}
+        committed = {k: [f"{k}/{f}" for f in sorted(self._folders(k)) if self.store.exists(f"{k}/{f}/{_DONE}")] for k in ("stripes", "dv")}
+        last = self.log.load() if self.log.versions() else None
+        schema = last.schema if last else self._schema_of(committed["stripes"])
+        base = Manifest(0, schema)
+        found: list[Stripe] = []
+        for folder in committed["stripes"]:
+            files = sorted((n, size) for n, size in self.store.names(folder) if n.endswith(".parquet") and f"{folder}/{n}" not in left)
             try:
-                known |= {s.file: s for s in self._measured(folder, m.schema, "")}
-            except Exception:
-                for s in (s for s in m.stripes if s.file.startswith(folder + "/")):  # one by one, to find what can be read
+                measured = {s.file: s for s in self._measured(folder, base, None)} if files else {}
+            except Exception:  # some file is broken: one by one, to find what can be read, without bounds
+                measured = {}
+                for n, size in files:
                     try:
-                        n = self.spark.read.schema(m.schema).parquet(self.store.path(s.file)).count()
-                        known[s.file] = replace(s, rows=n)
+                        rows = self.spark.read.schema(schema).parquet(self.store.path(f"{folder}/{n}")).count()
+                        measured[f"{folder}/{n}"] = Stripe(0, f"{folder}/{n}", rows, size, "none")
                     except Exception as e:
-                        warnings.warn(f"stripe {s.id} ({s.file}) can't be read: {type(e).__name__}", stacklevel=2)
-        rebuilt = tuple(replace(known[s.file], id=s.id, codec=s.codec, deleted=counts.get(s.file.rpartition("/")[2], 0)) for s in m.stripes if s.file in known)
-        new = self.log.commit(lambda last: replace(last, stripes=rebuilt) if last.version == m.version else self._moved())
-        return self.spark.createDataFrame([(len(rebuilt), new.live_rows)], "stripes_rebuilt int, rows_total long")
+                        warnings.warn(f"{folder}/{n} can't be read: {type(e).__name__}", stacklevel=2)
+            found += [measured[f"{folder}/{n}"] for n, _ in files if f"{folder}/{n}" in measured]
+        ids = {s.name: i for i, s in enumerate(found, 1)}
+        dirty: dict[int, int] = {}
+        deletes = []
+        for folder in committed["dv"]:
+            rows = self.spark.read.schema(_DELETES).parquet(self.store.path(folder))
+            counts = {ids[r[_FILE]]: r["n"] for r in rows.groupBy(_FILE).agg(F.count_distinct(_ROW).alias("n")).toLocalIterator() if r[_FILE] in ids}
+            if counts:
+                deletes.append(Deletes(folder, tuple(sorted(counts))))
+                dirty = {i: dirty.get(i, 0) + counts.get(i, 0) for i in dirty.keys() | counts.keys()}
+        codecs = [s.codec for s in found]
+        options = last.options if last else {"codec": max(set(codecs), key=codecs.count) if codecs else "zstd", "rows_per_stripe": max([10_000, *(s.rows for s in found)])}
+
+        def change(now: Manifest) -> Manifest:
+            if last is None or now.version != last.version:
+                raise CommitConflict(f"{self.path} was changed meanwhile")
+            return replace(self.log.added(replace(base, version=now.version, options=options), found), dirty=dirty, deletes=tuple(deletes))
 
-    def _moved(self):
-        raise CommitConflict(f"{self.path} was changed meanwhile")
+        if last:
+            new = self.log.commit(change)
+        else:
+            new = replace(self.log.added(replace(base, version=1, options=options), found), version=1, dirty=dirty, deletes=tuple(deletes))
+            if not self.log.publish(new):
+                raise CommitConflict(f"{self.path} was changed meanwhile")
+        return self.spark.createDataFrame([(len(found), new.live_rows)], "stripes_rebuilt int, rows_total long")
+
+    def _schema_of(self, folders: list[str]) -> T.StructType:
+        for folder in folders:
+            try:
+                read = self.spark.read.parquet(self.store.path(folder)).schema
+                return schema_of(T.StructType([T.StructField(f.name, f.dataType) for f in read]))
+            except Exception as e:
+                warnings.warn(f"{folder} can't be read: {type(e).__name__}", stacklevel=2)
+        raise NotAStripeTable(f"{self.path} has no stripes to take a schema from")
 
     # -- introspection -------------------------------------------------------------------------------------
 
@@ -443,25 +626,36 @@ class StripeTable:
     def estimate(self) -> tuple[int, int]:
         """Rows and 8 KiB pages, as a planner wants them."""
         m = self.log.load()
-        return m.live_rows, -(-sum(s.size for s in m.stripes) // 8192)
+        return m.live_rows, -(-m.bytes // 8192)
 
     def cache_stats(self) -> DataFrame:
-        """Lookups of manifests and of cached rows, and rows held in memory, of this handle."""
-        held = self._cached is not None
-        c = self.counters
-        return self.spark.createDataFrame([(c["metadata_hits"], c["metadata_misses"], c["data_hits"], c["data_misses"], held)], "metadata_hits long, metadata_misses long, data_hits long, data_misses long, cached boolean")
-
-    def analyze(self, columns: list[str] | None = None) -> DataFrame:
-        """Exact statistics: a row per column with rows, nulls, distinct values, minimum and maximum as text."""
+        """Of this handle so far, lookups of manifests, of parts with their bounds, of delete vectors and of cached rows that
+        found what they wanted in memory or not; and bytes of stripes (as their files have them) whose rows are kept."""
+        return self.spark.createDataFrame([tuple(self.counters.values())], ", ".join(f"{k} long" for k in self.counters))
+
+    def analyze(self, columns: list[str] | None = None, top: int = 10, buckets: int = 10) -> DataFrame:
+        """Statistics of columns, a row each: exact counts of rows, nulls and distinct values, minimum and maximum, the top
+        most common values with their counts (ties by value; as text, of columns that repeat any), and bounds that cut
+        a column of numbers into buckets of about equal counts (null for others)."""
         df = self.scan()
         columns = columns or df.columns
         aggs = [F.count(F.lit(1)).alias("n")]
+        numeric = {f.name for f in df.schema if isinstance(f.dataType, (T.NumericType,))}
         for i, c in enumerate(columns):
             col = F.col(f"`{c}`")
             aggs += [F.count(col).alias(f"c{i}"), F.count_distinct(col).alias(f"d{i}"), F.min(col).cast("string").alias(f"a{i}"), F.max(col).cast("string").alias(f"b{i}")]
+            cuts = F.percentile_approx(col.cast("double"), [k / buckets for k in range(buckets + 1)], 10_000) if c in numeric else F.lit(None).cast("array<double>")
+            aggs.append(cuts.alias(f"h{i}"))
         one = df.agg(*aggs)
-        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n").alias("row_count"), (F.col("n") - F.col(f"c{i}")).alias("null_count"), F.col(f"d{i}").alias("n_distinct"), F.col(f"a{i}").alias("min_value"), F.col(f"b{i}").alias("max_value")) for i, c in enumerate(columns)])
-        return one.select(F.explode(rows).alias("r")).select("r.*")
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n").alias("row_count"), (F.col("n") - F.col(f"c{i}")).alias("null_count"), F.col(f"d{i}").alias("n_distinct"), F.col(f"a{i}").alias("min_value"), F.col(f"b{i}").alias("max_value"), F.col(f"h{i}").alias("histogram")) for i, c in enumerate(columns)])
+        out = one.select(F.explode(rows).alias("r")).select("r.*")
+        common = None
+        for c in columns:
+            v = F.col(f"`{c}`")
+            often = df.where(v.isNotNull()).groupBy(v.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count")).where("count > 1").orderBy(F.desc("count"), "value").limit(top)
+            own = often.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "value", "count"))).alias("l")).select(F.lit(c).alias("column_name"), F.transform("l", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("most_common"))
+            common = own if common is None else common.unionByName(own)
+        return out.join(F.broadcast(common), "column_name", "left")  # a row per column
 
 
 class _Touched(Exception):

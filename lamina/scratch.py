@@ -15,9 +15,11 @@ _own: list[str] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, under a local folder of our own."""
+    """A new path under spark.checkpoint.dir; only a session on one machine may go without it, under a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lamina-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

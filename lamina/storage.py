@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .errors import UnsafeStore
+
+#: Stores whose rename fails atomically if the target exists. Others need the word of the user that one writer is at work.
+RENAMES_ATOMICALLY = {"hdfs", "webhdfs", "ofs", "o3fs", "abfs", "abfss", "maprfs"}
+
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, single_writer: bool = False):
+        self.spark, self.root, self.single_writer = spark, root.rstrip("/"), single_writer
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        conf = spark._jsparkSession.sessionState().newHadoopConf()
-        self.fs = self._path(self.root).getFileSystem(conf)
+        self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self.fs = self._path(self.root).getFileSystem(self.conf)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -32,6 +37,15 @@ class Store:
         finally:
             stream.close()
 
+    def tail(self, name: str, size: int, length: int) -> bytes:
+        """The last length bytes of a file of size bytes."""
+        stream = self.fs.open(self._path(self.path(name)))
+        try:
+            stream.seek(max(0, size - length))
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
     def write(self, name: str, text: str) -> None:
         stream = self.fs.create(self._path(self.path(name)), True)
         try:
@@ -42,11 +56,13 @@ class Store:
     def publish(self, temp: str, name: str) -> bool:
         """Move a complete file to a name that must be free: False if a rival has taken it.
 
-        Rename without overwriting is atomic on HDFS. Local file systems overwrite, so there a hard link is made,
-        which fails if the name is taken.
+        Rename without overwriting is atomic on HDFS and its like. Local file systems overwrite, so there a hard link
+        is made, which fails if the name is taken. Object stores do neither: UnsafeStore, but for a single writer.
         """
-        a, b = self._path(self.path(temp)), self._path(self.path(name))
-        if self.fs.getScheme() == "file":
+        a, b = (self.fs.resolvePath(self._path(self.path(temp)).getParent()).suffix("/" + x.rpartition("/")[2]) for x in (temp, name))
+        fs = a.getFileSystem(self.conf)
+        scheme = self.scheme_of(a)
+        if scheme == "file":
             files = self.spark._jvm.java.nio.file
             local = lambda p: files.Paths.get(p.toUri().getPath(), self.spark._sc._gateway.new_array(self.spark._jvm.java.lang.String, 0))
             try:
@@ -56,18 +72,19 @@ class Store:
                     return False
                 raise
             finally:
-                self.fs.delete(a, False)
+                fs.delete(a, False)
             return True
-        if self.fs.exists(b) or not self.fs.rename(a, b):
-            self.fs.delete(a, False)
+        if scheme not in RENAMES_ATOMICALLY and not self.single_writer:
+            fs.delete(a, False)
+            raise UnsafeStore(f"{scheme}: can't publish a version there so that a rival's isn't lost; name single_writer=True if there is no rival")
+        if fs.exists(b) or not fs.rename(a, b):
+            fs.delete(a, False)
             return False
         return True
 
-    def move(self, source: str, name: str) -> None:
-        target = self._path(self.path(name))
-        self.fs.mkdirs(target.getParent())
-        if not self.fs.rename(self._path(self.path(source)), target):
-            raise OSError(f"{source} could not be moved to {name}")
+    @staticmethod
+    def scheme_of(path) -> str:
+        return path.toUri().getScheme()
 
     def mkdirs(self, name: str) -> None:
         self.fs.mkdirs(self._path(self.path(name)))

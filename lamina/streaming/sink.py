@@ -27,9 +27,9 @@ def append_stream(stream: DataFrame, table: StripeTable, checkpoint: str, name:
         def change(last: Manifest) -> Manifest:
             if last.options.get(key, -1) >= number:
                 return last
-            given, after = table._numbered(last, new)
-            return replace(last, stripes=last.stripes + given, next_id=after, options=last.options | {key: number})
+            added = table.log.added(last, new)
+            return replace(added, options=added.options | {key: number})
 
-        table.log.commit(change)
+        table._commit(change, new)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

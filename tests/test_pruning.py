@@ -9,9 +9,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
+from lamina.bounds import encode_bounds
 from lamina.manifest import Manifest, Stripe
 from lamina.operators.table import StripeTable
-from lamina.plans.pruning import Conjunct, conjuncts_of, encode_bounds, excludes, prune
+from lamina.plans.pruning import Conjunct, conjuncts_of, excludes, prune
 
 OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b}
 
@@ -79,7 +80,7 @@ def test_nulls_and_unknowns():
     assert not excludes(stripe("int", [5]), "int", Conjunct("c", "=", "5"))
     assert not excludes(stripe("int", [5]), "int", Conjunct("c", "=", None))
     assert not excludes(stripe("timestamp", [dt.datetime(2020, 1, 1)]), "timestamp", Conjunct("c", ">", dt.datetime(2021, 1, 1, tzinfo=dt.timezone.utc)))
-    m = Manifest(1, T.StructType([T.StructField("c", T.LongType())]), (stripe("int", [1]), Stripe(2, "g", 3, 1, "zstd")))
+    m = Manifest.of(T.StructType([T.StructField("c", T.LongType())]), [stripe("int", [1]), Stripe(2, "g", 3, 1, "zstd")])
     kept, report = prune(m, [Conjunct("c", ">", 5), Conjunct("other", "=", 1)])
     assert [s.id for s in kept] == [2] and report.skipped == 1 and report.quals == ["c > 5"]
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import shutil
 import threading
 from decimal import Decimal
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.errors import DuplicateKey, MultipleMatches, NotAStripeTable, StripeError, UnsupportedType
+from lamina import manifest, storage
+from lamina.errors import DuplicateKey, MultipleMatches, NotAStripeTable, StripeError, UnsafeStore, UnsupportedType
 from lamina.functions.generate import generate_series
 from lamina.sources import arrow_stripes
 from lamina.streaming.sink import append_stream
@@ -120,7 +122,10 @@ def test_cache_and_statistics(spark, tmp_path):
     t.insert(generate_series(spark, 1, 100, name="k"))
     t.cache()
     assert t.scan("k > 90").count() == 10
-    assert t.cache_stats().first().data_hits == 1
+    assert t.scan("k > 95").count() == 5
+    stats = t.cache_stats().first()
+    assert (stats.ipc_hits, stats.ipc_misses) == (0, 1) or stats.ipc_hits == 1
+    assert stats.ipc_bytes_cached > 0 and len(stats) == 9
     t.delete("k = 1")
     assert t.scan().count() == 99  # another version isn't read from the cache
     row = t.analyze().first()
@@ -189,3 +194,125 @@ def test_stream_is_stored_once(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
         append_stream(stream, t, str(tmp_path / "cp"), "s").awaitTermination()
     assert t.scan().count() == 50
+
+
+def test_the_cache_is_bounded(spark, tmp_path):
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint"}, rows_per_stripe=10)
+    t.insert(generate_series(spark, 1, 40, name="k"), ordered=True)
+    size = max(s.size for s in t.log.load().stripes)
+    t.cache()
+    t.cache_bytes = 2 * size
+    for k in (5, 15, 5, 25, 5, 15):
+        assert t.scan(f"k = {k}").count() == 1
+    assert t.scan().count() == 40  # larger than the cache: not kept
+    stats = t.cache_stats().first()
+    assert (stats.ipc_hits, stats.ipc_misses) == (2, 5) and stats.ipc_bytes_cached <= 2 * size
+    t.uncache()
+    assert t.cache_stats().first().ipc_bytes_cached == 0
+
+
+def test_keys_stay_unique_when_writers_race(spark, tmp_path):
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint", "v": "int"})
+    t.insert(spark.createDataFrame([(0, 0)], t.schema), unique=["k"])
+    rows = lambda i: spark.createDataFrame([(100, i), (200 + i, i)], t.schema)
+    outcome = []
+
+    def insert(i):
+        try:
+            StripeTable.open(spark, t.path).insert(rows(i), unique=["k"])
+            outcome.append("in")
+        except DuplicateKey:
+            outcome.append("twice")
+
+    jobs = [threading.Thread(target=insert, args=(i,)) for i in range(4)]
+    jobs += [threading.Thread(target=lambda i=i: StripeTable.open(spark, t.path).upsert(spark.createDataFrame([(300, i), (400 + i, i), (None, i)], t.schema), ["k"])) for i in range(3)]
+    for j in jobs:
+        j.start()
+    for j in jobs:
+        j.join()
+    t.check_unique(["k"])
+    assert sorted(outcome) == ["in", "twice", "twice", "twice"]
+    keys = [r.k for r in t.scan().collect()]
+    assert keys.count(100) == keys.count(300) == 1 and keys.count(None) == 3 and len(keys) == 1 + 2 + 4 + 3
+
+
+def test_an_update_sees_its_source_once(spark, tmp_path):
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint", "v": "double precision"})
+    t.insert(generate_series(spark, 1, 2000, name="k").withColumn("v", F.lit(0.0)))
+    n = t.update_from(spark.range(1, 2001).where(F.rand() < 0.5).select(F.col("id").alias("k")), ["k"], {"v": "rand() + 1"})
+    assert 0 < n < 2000 and t.scan().count() == 2000 and t.scan().select("k").distinct().count() == 2000
+    assert t.scan("v > 0").count() == n and not t._folders("staged")
+
+
+@pytest.mark.parametrize("lost", [True, False])
+def test_rebuild_from_the_folder_alone(spark, tmp_path, lost):
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint", "v": "text"}, "lz4", 20)
+    t.insert(spark.createDataFrame([(i, f"v{i}") for i in range(100)], t.schema), ordered=True)
+    t.delete("k < 10")
+    t.compact()
+    t.update({"v": "'new'"}, "k % 10 = 3")
+    t.delete("k = 50")
+    t._write(t.scan(), t.log.load(), "zstd", 10)  # never committed
+    want = rows_of(t.scan())
+    if lost:
+        shutil.rmtree(tmp_path / "t" / "_manifest")
+    t = StripeTable(spark, t.path)
+    row = t.rebuild_metadata().first()
+    assert row.rows_total == len(want) and rows_of(t.scan()) == want and t.row_count() == len(want)
+    assert t.explain("k = 99").skipped > 0 and {r.compression for r in t.stripe_info().collect()} == {"lz4"}
+    t.insert(spark.createDataFrame([(1000, "x")], t.schema))
+    t.delete("k = 1000")
+    assert rows_of(t.scan()) == want
+
+
+def test_many_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "PART_STRIPES", 4)
+    monkeypatch.setattr(manifest, "PARTS_HELD", 2)
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint"}, rows_per_stripe=5)
+    for i in range(4):
+        t.insert(generate_series(spark, 100 * i, 100 * i + 49, name="k"), ordered=True)
+    m = t.log.load()
+    assert m.count == 40 and all(p.count <= 4 for p in m.parts) and [s.id for s in m.stripes] == list(range(1, 41))
+    t = StripeTable.open(spark, t.path)
+    assert [r.k for r in t.lookup(k=312).collect()] == [312]
+    assert t.counters["stats_misses"] == 1  # the other parts weren't read
+    t.delete("k % 100 = 7 OR k >= 300")
+    t.compact()
+    t.vacuum()
+    assert sorted(r.k for r in t.scan().collect()) == [100 * i + j for i in range(3) for j in range(50) if j != 7]
+    assert t.explain("k = 20").skipped == t.explain("k = 20").total - 1
+
+
+def test_bounds_from_footers(spark, tmp_path):
+    t = StripeTable.create(spark, str(tmp_path / "t"), ALL)
+    utc = dt.datetime(2020, 5, 5, 12)
+    row = lambda i: (True, i, i, i, float(i), float(i), f"é{i}", "", b"", dt.date(2020, 1, 1 + i), utc + dt.timedelta(days=i), utc + dt.timedelta(days=i), "", Decimal(i))
+    t.insert(spark.createDataFrame([row(1), row(2), (None,) * 14], t.schema).coalesce(1))
+    (s,) = t.log.load().stripes
+    assert s.stats["c_i64"] == [1, 2, 1, False] and s.stats["c_text"] == ["é1", "é2", 1, False] and s.stats["c_f64"] == [1.0, 2.0, 1, False]
+    assert s.stats["c_date"] == ["2020-01-02", "2020-01-03", 1, False] and s.stats["c_ts"][:2] == ["2020-05-06T12:00:00", "2020-05-07T12:00:00"]
+    assert s.stats["c_tstz"][:2] == ["2020-05-06T12:00:00+00:00", "2020-05-07T12:00:00+00:00"] and [Decimal(x) for x in s.stats["c_numeric"][:2]] == [1, 2]
+
+
+def test_versions_are_published_where_names_can_be_claimed(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.other.link.{tmp_path}", f"file://{tmp_path}")
+    t = StripeTable.create(spark, f"viewfs://other{tmp_path}/t", {"k": "bigint"})  # a view of a local disk: by hard link
+    t.insert(generate_series(spark, 1, 10, name="k"))
+    assert t.scan().count() == 10 and not t.log.publish(t.log.load(1))
+    store = storage.Store(spark, str(tmp_path / "s"))
+    store.write("a", "x")
+    store.scheme_of = lambda p: "far"
+    with pytest.raises(UnsafeStore):
+        store.publish("a", "b")
+    store.write("a", "x")
+    store.single_writer = True
+    assert store.publish("a", "b") and store.read("b") == "x"
+
+
+def test_analyze_common_values_and_histogram(spark, tmp_path):
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "int", "v": "text"})
+    t.insert(spark.createDataFrame([(i, "abc"[min(i // 10, 2)]) for i in range(101)] + [(None, None)], t.schema))
+    k, v = (r for r in t.analyze(top=2, buckets=4).orderBy("column_name").collect())
+    assert [(x["value"], x["count"]) for x in v.most_common] == [("c", 81), ("a", 10)] and v.histogram is None
+    assert k.histogram == [0.0, 25.0, 50.0, 75.0, 100.0] and k.most_common == [] and (k.null_count, k.n_distinct) == (1, 101)
