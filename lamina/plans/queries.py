@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import DuplicateKey
 from ..functions.generate import CATEGORIES, REGIONS, fact_orders, generate_series
 from ..functions.scalar import add_days, array_get, date_trunc_ntz, int_div, round_to_int
 from ..scratch import work_path
 from ..sources.tables import base_table, register, write_delimited
-from ..operators.table import StripeTable
+from ..operators.table import StripeTable, is_stripe_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,68 +42,82 @@ def total(c: Column) -> Column:
     return F.sum(c).cast("double")
 
 
-# -- the benchmark's ten queries, on lineitem ------------------------------------------------------------------
+# -- the benchmark's ten queries, on lineitem as a stripe table ---------------------------------------------------
+
+_lineitems: dict[tuple[str, str], StripeTable] = {}
+
+
+def lineitem(spark: SparkSession, d: str) -> StripeTable:
+    """lineitem as a stripe table, loaded once for all queries of a session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _lineitems:
+        df = base_table(spark, d, "lineitem")
+        t = StripeTable.create(spark, work_path(spark, "lineitem"), df.schema, "zstd", 100_000)
+        t.insert(df)
+        _lineitems[key] = t
+    return _lineitems[key]
+
 
 PRICE, NET = "CAST(l_extendedprice AS DECIMAL(18,2))", "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))"
 
 
 @query("SELECT count(*) AS n FROM lineitem")
 def q01_count(spark, d):
-    return base_table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+    return lineitem(spark, d).scan().agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT CAST(sum({PRICE}) AS DOUBLE) AS total FROM lineitem")
 def q02_sum(spark, d):
-    return base_table(spark, d, "lineitem").agg(total(money("l_extendedprice")).alias("total"))
+    return lineitem(spark, d).scan().agg(total(money("l_extendedprice")).alias("total"))
 
 
-@query(f"SELECT CAST(sum({PRICE}) AS DOUBLE) AS total_revenue, CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_discount, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total_units FROM lineitem")
+@query(f"SELECT CAST(sum({PRICE}) AS DOUBLE) AS revenue, CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_discount, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units FROM lineitem")
 def q03_multi_sum(spark, d):
-    return base_table(spark, d, "lineitem").agg(total(money("l_extendedprice")).alias("total_revenue"), (total(money("l_discount")) / F.count(F.lit(1))).alias("avg_discount"), total(money("l_quantity")).alias("total_units"))
+    return lineitem(spark, d).scan().agg(total(money("l_extendedprice")).alias("revenue"), (total(money("l_discount")) / F.count(F.lit(1))).alias("mean_discount"), total(money("l_quantity")).alias("units"))
 
 
 @query(f"SELECT CAST(sum({PRICE}) AS DOUBLE) AS total FROM lineitem WHERE l_returnflag = 'R'")
 def q04_filter_wide(spark, d):
-    return base_table(spark, d, "lineitem").where("l_returnflag = 'R'").agg(total(money("l_extendedprice")).alias("total"))
+    return lineitem(spark, d).scan("l_returnflag = 'R'").agg(total(money("l_extendedprice")).alias("total"))
 
 
 @query(f"SELECT count(*) AS n, CAST(sum({PRICE}) AS DOUBLE) / count(*) AS avg_amount, CAST(sum({PRICE}) AS DOUBLE) AS total FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity < 2")
 def q05_filter_narrow(spark, d):
-    rows = base_table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity < 2")
+    rows = lineitem(spark, d).scan("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity < 2")
     return rows.agg(F.count(F.lit(1)).alias("n"), (total(money("l_extendedprice")) / F.count(F.lit(1))).alias("avg_amount"), total(money("l_extendedprice")).alias("total"))
 
 
 @query(f"SELECT l_returnflag, count(*) AS n, CAST(sum({PRICE}) AS DOUBLE) AS revenue, CAST(sum({PRICE}) AS DOUBLE) / count(*) AS avg_amount FROM lineitem GROUP BY l_returnflag ORDER BY revenue DESC")
 def q06_group_order(spark, d):
-    g = base_table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), total(money("l_extendedprice")).alias("revenue"), (total(money("l_extendedprice")) / F.count(F.lit(1))).alias("avg_amount"))
+    g = lineitem(spark, d).scan().groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), total(money("l_extendedprice")).alias("revenue"), (total(money("l_extendedprice")) / F.count(F.lit(1))).alias("avg_amount"))
     return g.orderBy(F.desc("revenue"))
 
 
 @query(f"SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS month, CAST(sum({PRICE}) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31' GROUP BY 1 ORDER BY 1")
 def q07_date_range(spark, d):
-    rows = base_table(spark, d, "lineitem").where("l_shipdate BETWEEN timestamp_ntz'1995-01-01' AND timestamp_ntz'1995-12-31'")
+    rows = lineitem(spark, d).scan("l_shipdate BETWEEN '1995-01-01' AND '1995-12-31'")
     return rows.groupBy(date_trunc_ntz("month", F.col("l_shipdate")).alias("month")).agg(total(money("l_extendedprice")).alias("revenue"), F.count(F.lit(1)).alias("n")).orderBy("month")
 
 
 @query("SELECT min(l_orderkey) AS min_key, max(l_orderkey) AS max_key, min(l_extendedprice) AS min_amount, max(l_extendedprice) AS max_amount FROM lineitem")
 def q08_two_columns(spark, d):
-    return base_table(spark, d, "lineitem").agg(F.min("l_orderkey").alias("min_key"), F.max("l_orderkey").alias("max_key"), F.min("l_extendedprice").alias("min_amount"), F.max("l_extendedprice").alias("max_amount"))
+    return lineitem(spark, d).scan().agg(F.min("l_orderkey").alias("min_key"), F.max("l_orderkey").alias("max_key"), F.min("l_extendedprice").alias("min_amount"), F.max("l_extendedprice").alias("max_amount"))
 
 
 @query("SELECT count(*) AS n FROM lineitem WHERE (l_returnflag = 'R') = TRUE")
 def q09_boolean_count(spark, d):
-    return base_table(spark, d, "lineitem").where(F.col("l_returnflag") == "R").agg(F.count(F.lit(1)).alias("n"))
+    return lineitem(spark, d).scan("(l_returnflag = 'R') = TRUE").agg(F.count(F.lit(1)).alias("n"))
 
 
-Q10_SQL = f"SELECT l_linestatus AS region, l_returnflag AS category, count(*) AS total_orders, CAST(sum({PRICE}) AS DOUBLE) AS total_revenue, CAST(sum({PRICE}) AS DOUBLE) / count(*) AS avg_order_value, CAST(sum({NET}) AS DOUBLE) AS net_revenue, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returns FROM lineitem GROUP BY 1, 2 ORDER BY total_revenue DESC LIMIT 20"
+Q10_SQL = f"SELECT l_linestatus AS region, l_returnflag AS category, count(*) AS n, CAST(sum({PRICE}) AS DOUBLE) AS revenue, CAST(sum({PRICE}) AS DOUBLE) / count(*) AS mean_amount, CAST(sum({NET}) AS DOUBLE) AS net, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM lineitem GROUP BY 1, 2 ORDER BY revenue DESC LIMIT 20"
 
 
 @query(Q10_SQL)
 def q10_analytics(spark, d):
     amount = money("l_extendedprice")
-    g = base_table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("region"), F.col("l_returnflag").alias("category"))
-    g = g.agg(F.count(F.lit(1)).alias("total_orders"), total(amount).alias("total_revenue"), (total(amount) / F.count(F.lit(1))).alias("avg_order_value"), total(amount * (F.lit(1) - money("l_discount"))).alias("net_revenue"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returns"))
-    return g.orderBy(F.desc("total_revenue")).limit(20)
+    g = lineitem(spark, d).scan().groupBy(F.col("l_linestatus").alias("region"), F.col("l_returnflag").alias("category"))
+    g = g.agg(F.count(F.lit(1)).alias("n"), total(amount).alias("revenue"), (total(amount) / F.count(F.lit(1))).alias("mean_amount"), total(amount * (F.lit(1) - money("l_discount"))).alias("net"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"))
+    return g.orderBy(F.desc("revenue")).limit(20)
 
 
 # -- stripe tables: scans ------------------------------------------------------------------------------------
@@ -199,7 +215,7 @@ def scan_sample(spark, d):
     return orders_table(spark, d).sample(0.1, 7)
 
 
-@query()
+@query("SELECT * FROM orders")
 def scan_arrow_stripes(spark, d):
     """orders written as Arrow stripes in the shared folder and read again."""
     from ..sources import arrow_stripes
@@ -254,11 +270,13 @@ def ins_values(spark, d):
     return t.scan()
 
 
-@query("SELECT * FROM orders")
+@query("SELECT * FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'U', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0")
 def ins_upsert(spark, d):
+    """Keys that the table holds stay, the others come in."""
     df = base_table(spark, d, "orders")
-    t = orders_table(spark, d)
-    t.upsert(df.where("o_orderkey < 100"), ["o_orderkey"])
+    t = StripeTable.create(spark, work_path(spark, "orders"), df.schema, rows_per_stripe=2_000)
+    t.insert(df.where("o_orderkey % 3 <> 0"))
+    t.upsert(df.withColumn("o_orderstatus", F.lit("U")), ["o_orderkey"])
     return t.scan()
 
 
@@ -269,26 +287,37 @@ FACT_SQL = f"""SELECT g AS order_id, CAST(g % 50000 + 1 AS INTEGER) AS customer_
 CAST((g * 7919) % 99900 + 100 AS DOUBLE) / 100 AS amount, CAST(g % 20 + 1 AS INTEGER) AS quantity, CAST((g * 104729) % 3001 AS DOUBLE) / 10000 AS discount,
 g % 10 = 0 AS is_returned, DATE '2020-01-01' + CAST(g % 1461 AS INTEGER) AS order_date,
 CAST(DATE '2020-01-01' + CAST(g % 1461 AS INTEGER) AS TIMESTAMP) + to_seconds(CAST(g % 86400 AS INTEGER)) AS created_at
-FROM (SELECT range AS g FROM range(1, 50001))"""
+FROM (SELECT range AS g FROM range(1, 1000001))"""
 
 
 @query(FACT_SQL)
 def ins_fact_orders(spark, d):
-    df = fact_orders(spark, 50_000)
-    t = StripeTable.create(spark, work_path(spark, "fact"), df.schema)
+    df = fact_orders(spark, 1_000_000)
+    t = StripeTable.create(spark, work_path(spark, "fact"), df.schema, rows_per_stripe=100_000)
     t.insert(df)
     return t.scan()
 
 
-@query(f"SELECT region, category, count(*) AS total_orders, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, CAST(sum(CASE WHEN is_returned THEN 1 ELSE 0 END) AS BIGINT) AS returns FROM ({FACT_SQL}) GROUP BY 1, 2")
+@query(f"SELECT region, category, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue, CAST(sum(CASE WHEN is_returned THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM ({FACT_SQL}) GROUP BY 1, 2")
 def fact_analytics(spark, d):
-    return ins_fact_orders(spark, d).groupBy("region", "category").agg(F.count(F.lit(1)).alias("total_orders"), total(money("amount")).alias("total_revenue"), F.sum(F.when(F.col("is_returned"), 1).otherwise(0)).alias("returns"))
+    return ins_fact_orders(spark, d).groupBy("region", "category").agg(F.count(F.lit(1)).alias("n"), total(money("amount")).alias("revenue"), F.sum(F.when(F.col("is_returned"), 1).otherwise(0)).alias("returned"))
 
 
-@query("SELECT count(*) AS twice FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
+@query("SELECT count(*) AS rows, count(*) > count(DISTINCT o_custkey) AS customers_twice, count(*) > count(DISTINCT o_orderkey) AS orders_twice, TRUE AS refused FROM orders")
 def unique_check(spark, d):
-    rows = orders_table(spark, d).scan()
-    return rows.groupBy("o_custkey").count().where("count > 1").agg(F.count(F.lit(1)).alias("twice"))
+    """Which keys the operator finds twice, and that an insert of rows with keys that are there is refused and changes nothing."""
+    t = orders_table(spark, d)
+
+    def twice(f, *args, **how) -> bool:
+        try:
+            f(*args, **how)
+        except DuplicateKey:
+            return True
+        return False
+
+    refused = twice(t.insert, base_table(spark, d, "orders"), unique=["o_orderkey"])
+    row = t.row_count(), twice(t.check_unique, ["o_custkey"]), twice(t.check_unique, ["o_orderkey"]), refused
+    return spark.createDataFrame([row], "rows long, customers_twice boolean, orders_twice boolean, refused boolean")
 
 
 # -- stripe tables: rows out and changed ------------------------------------------------------------------------
@@ -339,11 +368,11 @@ def upd_from_subquery(spark, d):
     return t.scan()
 
 
-@query("SELECT * FROM orders WHERE o_orderkey < 100")
+@query("SELECT * FROM orders")
 def trunc_then_insert(spark, d):
     t = orders_table(spark, d)
     t.truncate()
-    t.insert(base_table(spark, d, "orders").where("o_orderkey < 100"))
+    t.insert(base_table(spark, d, "orders"))
     return t.scan()
 
 
@@ -366,13 +395,35 @@ def compact_rows(spark, d):
     return t.scan()
 
 
-@query("SELECT count(*) AS rows_total FROM orders WHERE o_orderkey % 4 <> 1")
+@query("SELECT * FROM orders WHERE o_orderkey % 4 <> 1")
 def rebuild_rows(spark, d):
+    """The table's manifests are deleted; what they held comes from its folder."""
+    t = orders_table(spark, d)
+    t.delete("o_orderkey % 4 = 1")
+    t.store.delete("_manifest")
+    t = StripeTable(spark, t.path)
+    t.rebuild_metadata()
+    return t.scan()
+
+
+@query("SELECT count(*) AS rows_total FROM orders WHERE o_orderkey % 4 <> 1")
+def rebuild_count(spark, d):
     t = orders_table(spark, d)
     t.delete("o_orderkey % 4 = 1")
     return t.rebuild_metadata().select("rows_total")
 
 
+@query("SELECT CAST(ceil(count(*) / 1000.0) AS INTEGER) AS stripes_compacted, CAST(count(*) FILTER (WHERE (rn - 1) % 1000 >= 10) AS BIGINT) AS rows_compacted FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)")
+def compact_counts(spark, d):
+    """Of stripes of 1,000 rows the first ten rows go, so that each of them is rewritten."""
+    df = base_table(spark, d, "orders").orderBy("o_orderkey")
+    t = StripeTable.create(spark, work_path(spark, "orders"), df.schema, rows_per_stripe=1_000)
+    t.insert(df, ordered=True)
+    heads = [r.o_orderkey for s in t.stripe_info().collect() for r in t.row_range(s.stripe_id, 0, 9).select("o_orderkey").collect()]
+    t.delete(f"o_orderkey IN ({', '.join(map(str, heads))})")
+    return t.compact()
+
+
 @query("SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) AS stripes, count(*) AS rows, CAST(0 AS BIGINT) AS deleted FROM orders")
 def stripe_info_summary(spark, d):
     info = orders_table(spark, d, rows=1_000, cluster_by=None, ordered=True).stripe_info()
@@ -381,7 +432,21 @@ def stripe_info_summary(spark, d):
 
 @query("SELECT 'o_orderkey' AS column_name, count(*) AS row_count, CAST(0 AS BIGINT) AS null_count, count(DISTINCT o_orderkey) AS n_distinct, CAST(min(o_orderkey) AS VARCHAR) AS min_value, CAST(max(o_orderkey) AS VARCHAR) AS max_value FROM orders UNION ALL SELECT 'o_orderstatus', count(*), 0, count(DISTINCT o_orderstatus), min(o_orderstatus), max(o_orderstatus) FROM orders")
 def analyze_stats(spark, d):
-    return orders_table(spark, d).analyze(["o_orderkey", "o_orderstatus"])
+    return orders_table(spark, d).analyze(["o_orderkey", "o_orderstatus"]).drop("histogram", "most_common")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 3")
+def analyze_common(spark, d):
+    """The three most common values, as ANALYZE keeps them."""
+    return orders_table(spark, d).analyze(["o_orderpriority"], top=3).select(F.explode("most_common").alias("v")).select("v.value", F.col("v.count").alias("n"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(greatest(1, 25 * i) AS DOUBLE) AS bound FROM range(0, 5) AS r(i)")
+def analyze_histogram(spark, d):
+    """Bounds of four buckets of 1 to 100."""
+    t = StripeTable.create(spark, work_path(spark, "hundred"), {"k": "bigint"})
+    t.insert(generate_series(spark, 1, 100, name="k"))
+    return t.analyze(["k"], buckets=4).select(F.posexplode("histogram").alias("i", "bound"))
 
 
 @query("SELECT * FROM orders")
@@ -396,19 +461,113 @@ def relation_size(spark, d):
     return spark.createDataFrame([(orders_table(spark, d).relation_size(),)], "bytes long")
 
 
-@query()
+@query("SELECT CAST(1 AS BIGINT) AS ipc_hits, CAST(2 AS BIGINT) AS ipc_misses, TRUE AS cached, CAST(2 * count(*) + count(*) FILTER (WHERE o_orderkey < 500) AS BIGINT) AS rows FROM orders")
 def cache_stats(spark, d):
-    t = orders_table(spark, d)
-    t.scan()
-    return t.cache_stats()
+    """Of three scans, two of the same stripes."""
+    t = orders_table(spark, d, ordered=True, cluster_by=None, rows=100)
+    t.cache()
+    rows = sum(t.scan(w).count() for w in (None, None, "o_orderkey < 500"))
+    row = t.cache_stats().first()
+    t.uncache()
+    return spark.createDataFrame([(row.ipc_hits, row.ipc_misses, row.ipc_bytes_cached > 0, rows)], "ipc_hits long, ipc_misses long, cached boolean, rows long")
 
 
-@query()
+@query("SELECT 'o_orderkey < 500' AS quals, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS stripes_total, CAST(ceil(count(*) / 1000.0) - ceil(count(*) FILTER (WHERE o_orderkey < 500) / 1000.0) AS BIGINT) AS stripes_skipped FROM orders")
 def explain_report(spark, d):
-    r = orders_table(spark, d).explain("o_orderkey < 500 AND o_orderstatus = 'O'")
+    df = base_table(spark, d, "orders").orderBy("o_orderkey")
+    t = StripeTable.create(spark, work_path(spark, "orders"), df.schema, rows_per_stripe=1_000)
+    t.insert(df, ordered=True)
+    r = t.explain("o_orderkey < 500 AND upper(o_orderstatus) = 'O'")
     return spark.createDataFrame([(" AND ".join(r.quals), r.total, r.skipped)], "quals string, stripes_total long, stripes_skipped long")
 
 
+@query("SELECT count(*) AS n, TRUE AS gone FROM orders")
+def drop_table(spark, d):
+    t = orders_table(spark, d)
+    n = t.row_count()
+    t.drop()
+    return spark.createDataFrame([(n, not is_stripe_table(spark, t.path))], "n long, gone boolean")
+
+
+@query("SELECT count(*) AS rows, TRUE AS has_pages FROM orders")
+def estimate(spark, d):
+    rows, pages = orders_table(spark, d).estimate()
+    return spark.createDataFrame([(rows, pages > 0)], "rows long, has_pages boolean")
+
+
+@query("SELECT CAST(2 * count(*) AS BIGINT) AS rows, count(*) AS read_before FROM orders")
+def metadata_versions(spark, d):
+    """A handle sees what another commits, and goes on reading the version before."""
+    a = orders_table(spark, d)
+    before = a.version
+    StripeTable.open(spark, a.path).insert(base_table(spark, d, "orders"))
+    return spark.createDataFrame([(a.row_count(), a.scan(version=before).count())], "rows long, read_before long")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name NOT LIKE 'between%' AND c_mktsegment = 'BUILDING'")
+def scan_prune_function(spark, d):
+    """Functions of three arguments, and strings that hold between, aren't taken for BETWEEN."""
+    df = base_table(spark, d, "customer")
+    t = StripeTable.create(spark, work_path(spark, "customer"), df.schema, rows_per_stripe=100)
+    t.insert(df, cluster_by=["c_name"])
+    return t.scan("like(c_name, 'C%', '/') AND NOT like(c_name, 'between%', '/') AND replace(c_mktsegment, 'between', '') = c_mktsegment AND c_mktsegment = 'BUILDING'", ["c_custkey", "c_name"])
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-03-01'")
+def scan_prune_date_text(spark, d):
+    return orders_table(spark, d, cluster_by=["o_orderdate"]).scan("o_orderdate >= '1998-01-01' AND o_orderdate < '1998-03-01'", ["o_orderkey", "o_orderdate"])
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IS NOT NULL AND o_orderpriority > '2'")
+def scan_prune_unusable(spark, d):
+    """Conditions that prune nothing, or hold for no stripe alone."""
+    return orders_table(spark, d).scan("o_orderstatus <> 'F' AND o_orderkey IS NOT NULL AND o_orderpriority > '2' AND (o_orderkey = NULL) IS NOT TRUE")
+
+
+@query("SELECT o_orderkey, nullif(o_orderkey % 2, 0) AS odd, o_orderkey % 3 = 0 AS third FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 = 0")
+def scan_prune_nulls(spark, d):
+    """A column that is null in whole stripes, and one of truth values."""
+    df = base_table(spark, d, "orders").select("o_orderkey", F.expr("nullif(o_orderkey % 2, 0)").alias("odd"), F.expr("o_orderkey % 3 = 0").alias("third"))
+    t = StripeTable.create(spark, work_path(spark, "odd"), df.schema, rows_per_stripe=1_000)
+    t.insert(df, cluster_by=["odd", "o_orderkey"])
+    return t.scan("odd = 1 AND third = TRUE")
+
+
+# -- functions written by the user --------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice * 1.5 + 1 AS raised FROM orders")
+def fn_udf(spark, d):
+    @F.pandas_udf("double")
+    def raised(x: pd.Series) -> pd.Series:
+        return x * 1.5 + 1
+
+    return orders_table(spark, d).scan().select("o_orderkey", raised("o_totalprice").alias("raised"))
+
+
+@query("SELECT o_orderstatus, CAST(max(o_orderkey) - min(o_orderkey) AS BIGINT) AS spread FROM orders GROUP BY o_orderstatus")
+def fn_udaf(spark, d):
+    """An aggregate in Python, over what each group and task have been summed up to before."""
+    @F.pandas_udf("long")
+    def spread(lo: pd.Series, hi: pd.Series) -> int:
+        return int(hi.max() - lo.min())
+
+    parts = orders_table(spark, d).scan().groupBy("o_orderstatus", F.spark_partition_id().alias("p")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    return parts.groupBy("o_orderstatus").agg(spread("lo", "hi").alias("spread"))
+
+
+@query("SELECT count(*) AS n, TRUE AS within, TRUE AS spread FROM orders")
+def fn_random(spark, d):
+    """random() is in 0 to 1 and differs from row to row."""
+    r = orders_table(spark, d).scan().select(F.rand(3).alias("r"))
+    return r.agg(F.count(F.lit(1)).alias("n"), ((F.min("r") >= 0) & (F.max("r") < 1)).alias("within"), (F.approx_count_distinct("r") > 0.8 * F.count("r")).alias("spread"))
+
+
+@query("SELECT count(*) AS n FROM events WHERE ts < CAST(now() AS TIMESTAMP) - INTERVAL '1' HOUR")
+def fn_now_interval(spark, d):
+    return base_table(spark, d, "events").where("ts < localtimestamp() - INTERVAL '1' HOUR").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- relational surface -----------------------------------------------------------------------------------------
 
 VIEWS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -425,21 +584,25 @@ def both(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
 both("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
 both("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
 both("join_right", "SELECT n_name, c_custkey FROM (SELECT * FROM customer WHERE c_acctbal > 9000) RIGHT JOIN nation ON c_nationkey = n_nationkey")
-both("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 40) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey BETWEEN 20 AND 60) ON c_custkey = s_suppkey")
+both("join_full", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20")
 both("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-both("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+both("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+for _hint in ("MERGE", "SHUFFLE_HASH", "BROADCAST"):
+    _plain = "o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0"
+    both(f"join_hint_{_hint.lower()}", f"SELECT /*+ {_hint}(customer) */ {_plain}", f"SELECT {_plain}")
 both("join_theta", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey < n_regionkey")
 both("join_lateral", "SELECT n_name, c_name FROM nation, LATERAL (SELECT c_name FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9500)")
 both("join_cross_const", "SELECT n_name, r_name FROM nation CROSS JOIN (SELECT r_name FROM region WHERE r_regionkey = 0)")
 both("win_rank", "SELECT o_custkey, o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS BIGINT) AS rn, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus)")
 both("win_lag", "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id) OVER w AS next, first_value(event_id) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+both("win_nth", "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER w AS second, last_value(o_orderkey) OVER w AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 both("win_frame_rows", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS top FROM orders")
 both("win_frame_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS n FROM orders")
 both("win_ntile", "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quarter FROM customer")
 both("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 both("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 both("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
-both("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30")
+both("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 both("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 both("grp_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("grp_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -450,6 +613,8 @@ both("grp_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice >
 both("grp_stats", "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS cr FROM lineitem GROUP BY l_returnflag")
 both("grp_percentile", "SELECT o_orderstatus, percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS median FROM orders GROUP BY o_orderstatus")
 both("grp_listagg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+both("grp_array", "SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey")
+both("grp_bool", "SELECT o_custkey, bool_or(o_totalprice > 300000) AS some, bool_and(o_totalprice > 1000) AS every FROM orders GROUP BY o_custkey")
 both("grp_empty", "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders WHERE o_orderkey < 0")
 both("sub_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 both("sub_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
@@ -465,6 +630,9 @@ both("fn_date", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST
 both("fn_math", "SELECT o_orderkey, abs(o_totalprice) AS a, sqrt(o_totalprice) AS s, round(o_totalprice, 1) AS r, CAST(floor(o_totalprice) AS BIGINT) AS f, CAST(ceil(o_totalprice) AS BIGINT) AS c, o_orderkey % 7 AS m, power(2, o_orderkey % 10) AS p FROM orders")
 both("fn_conditional", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS size, coalesce(nullif(o_orderstatus, 'F'), 'done') AS st, greatest(o_orderkey, o_custkey) AS g, least(o_orderkey, o_custkey) AS l FROM orders")
 both("fn_array", "SELECT n_nationkey, element_at(array('a', 'b', 'c'), CAST(n_nationkey % 3 + 1 AS INT)) AS e, CAST(size(array(1, 2, 3)) AS BIGINT) AS n FROM nation", "SELECT n_nationkey, (['a', 'b', 'c'])[n_nationkey % 3 + 1] AS e, len([1, 2, 3]) AS n FROM nation")
+both("fn_array_more", "SELECT n_nationkey, array_join(array_sort(split(n_name, '_')), ',') AS parts, CAST(array_position(split(n_name, '_'), 'NATION') AS BIGINT) AS at, array_contains(split(n_name, '_'), '1') AS one FROM nation", "SELECT n_nationkey, array_to_string(list_sort(string_split(n_name, '_')), ',') AS parts, CAST(coalesce(list_position(string_split(n_name, '_'), 'NATION'), 0) AS BIGINT) AS at, list_contains(string_split(n_name, '_'), '1') AS one FROM nation")
+both("fn_regex_more", "SELECT p_partkey, regexp_extract(p_type, '([A-Z]+)$', 1) AS last, CAST(regexp_count(p_name, '[aeiou]') AS BIGINT) AS vowels, p_type RLIKE '^S' AS s FROM part", "SELECT p_partkey, regexp_extract(p_type, '([A-Z]+)$', 1) AS last, CAST(len(regexp_extract_all(p_name, '[aeiou]')) AS BIGINT) AS vowels, regexp_matches(p_type, '^S') AS s FROM part")
+both("fn_string_more", "SELECT c_custkey, CAST(position('#' IN c_name) AS BIGINT) AS at, reverse(c_name) AS rev, left(c_name, 3) AS l, right(c_name, 3) AS r, repeat('ab', 2) AS rep, split_part(c_name, '#', 2) AS num, md5(c_name) AS h, CAST(ascii(c_name) AS BIGINT) AS a FROM customer", "SELECT c_custkey, CAST(position('#' IN c_name) AS BIGINT) AS at, reverse(c_name) AS rev, left(c_name, 3) AS l, right(c_name, 3) AS r, repeat('ab', 2) AS rep, split_part(c_name, '#', 2) AS num, md5(c_name) AS h, CAST(ascii(c_name) AS BIGINT) AS a FROM customer")
 both("fn_json", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 
 

@@ -1,6 +1,11 @@
 """Every query against its SQL in DuckDB."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -53,3 +58,16 @@ def test_arrow_stripes_lie_in_the_shared_folder(spark, small, tmp_path, scheme,
     rows = QUERIES["scan_arrow_stripes"](spark, small).count()
     assert rows == spark.read.parquet(f"{small}/orders.parquet").count()
     assert list(tmp_path.rglob("stripe_*.arrow"))
+
+
+def test_the_engine_stands_without_the_other_subpackage(tmp_path):
+    """Where lamina.llm and its pipeline are missing the entry has the engine's queries; another missing module is an error."""
+    root = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root / "lamina", copy / "lamina", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", copy)
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    out = run("import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()), set(e.oracle_sql()) <= set(e.queries()))")
+    assert out.stdout.split() == [str(len(QUERIES)), str(any(q.startswith("op") for q in QUERIES)), "True"], out.stderr
+    (copy / "corpus_pipeline.py").write_text("import not_there")
+    assert "not_there" in run("import __spark_entry__").stderr
