@@ -36,8 +36,8 @@ LENGTH, GRAM = 100, 32
 PART = 1 << 19
 #: Bytes of text whose runs a task settles together before it sends them.
 TASK_BYTES = 24 << 20
-#: Bytes of the input's files per bucket of runs.
-BUCKET_BYTES = 6 << 20
+#: Bytes of the input's files per bucket of runs, and bytes of runs whose suffixes are sorted together.
+BUCKET_BYTES, SORTED_BYTES = 4 << 20, 1 << 20
 #: Different runs of an anchor from which on its windows are dealt one by one.
 SPLIT = 64
 #: Bits that tell anchors apart; added to the place of the anchor in a run whose windows are dealt one by one.
@@ -342,42 +342,64 @@ def repeated_windows(q: dict[str, np.ndarray], data: bytes) -> tuple[np.ndarray,
     base = np.cumsum(length) - length
     rank = _rank(q["id"], q["file"], q["at"])
     # whole runs first: of equal ones, by their bytes, all but the earliest repeat
-    earliest: dict[tuple[int, int, bytes], int] = {}
-    again = []
     kind, mid, begin, end = q["kind"].tolist(), q["mid"].tolist(), base.tolist(), (base + length).tolist()
-    for i in np.lexsort((q["lo"], rank)).tolist():
-        if earliest.setdefault((kind[i], mid[i], data[begin[i] : end[i]]), i) != i:
+    last, seen = None, {}
+    again, alike, now = [], [], []
+    for i in np.lexsort((q["lo"], rank, q["kind"])).tolist():
+        if kind[i] != last:
+            if len(now) > 1:
+                alike += now
+            last, seen, now = kind[i], {}, []
+        if seen.setdefault((mid[i], data[begin[i] : end[i]]), i) == i:
+            now.append(i)
+        else:
             again.append(i)
+    if len(now) > 1:
+        alike += now  # different runs of an anchor
     whole = np.array(again, np.int64)
     owns, starts = [np.repeat(whole, sizes[whole])], [_ramp(sizes[whole]) + np.repeat(q["lo"][whole], sizes[whole])]
+    edges = [i for i, x in enumerate(alike) if i == 0 or kind[x] != kind[alike[i - 1]]] + [len(alike)]
+    part: list[int] = []
+    for lo, hi in zip(edges, edges[1:]):
+        part += alike[lo:hi]
+        if hi == len(alike) or length[part].sum() > SORTED_BYTES:
+            own = np.array(part, np.int64)
+            found, start = _sorted_repeats(_take(q, own), rank[own], b"".join(data[begin[i] : end[i]] for i in part))
+            owns.append(own[found])
+            starts.append(start)
+            part = []
+    return np.concatenate(owns), np.concatenate(starts)
+
 
-    left = np.setdiff1d(np.arange(len(sizes)), whole)
-    own = np.repeat(left, sizes[left])
-    j = _ramp(sizes[left])
+def _sorted_repeats(q: dict[str, np.ndarray], rank: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same of runs that differ, by sorting the suffixes that start their windows."""
+    sizes = (q["hi"] - q["lo"]).astype(np.int64) + 1
+    base = np.cumsum(sizes + LENGTH - 1) - (sizes + LENGTH - 1)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    j = _ramp(sizes)
     # equal windows have their anchor at the same place
     key = q["kind"][own] << 8 | (q["mid"].astype(np.int64)[own] - j)
     o = np.lexsort((j + q["lo"][own], rank[own], key))
     own, j, key = own[o], j[o], key[o]
-    alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True] if len(key) else np.zeros(0, bool)
+    alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
     own, j, key = own[~alone], j[~alone], key[~alone]
-    if len(key):
-        at = base[own] + j
-        s = Suffixes(data)
-        order = s.sort(at, key)
-        a, b = order[:-1], order[1:]
-        near = np.flatnonzero(key[a] == key[b])
-        equal, after = s.order(at[a[near]], at[b[near]])
-        real = np.zeros(len(a), bool)
-        real[near] = equal
-        if after.any():  # hashes agreed where bytes don't: sort by the bytes themselves
-            windows = [(k, data[x : x + LENGTH], i) for i, (k, x) in enumerate(zip(key.tolist(), at.tolist()))]
-            windows.sort()
-            order = np.array([i for _, _, i in windows])
-            real = np.array([x[:2] == y[:2] for x, y in zip(windows, windows[1:])], bool)
-        later = order[1:][real]  # the first of equal windows is the earliest
-        owns.append(own[later])
-        starts.append(j[later] + q["lo"][own[later]])
-    return np.concatenate(owns), np.concatenate(starts)
+    if not len(key):
+        return own, j
+    at = base[own] + j
+    s = Suffixes(data)
+    order = s.sort(at, key)
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero(key[a] == key[b])
+    equal, after = s.order(at[a[near]], at[b[near]])
+    real = np.zeros(len(a), bool)
+    real[near] = equal
+    if after.any():  # hashes agreed where bytes don't: sort by the bytes themselves
+        windows = [(k, data[x : x + LENGTH], i) for i, (k, x) in enumerate(zip(key.tolist(), at.tolist()))]
+        windows.sort()
+        order = np.array([i for _, _, i in windows])
+        real = np.array([x[:2] == y[:2] for x, y in zip(windows, windows[1:])], bool)
+    later = order[1:][real]  # the first of equal windows is the earliest
+    return own[later], j[later] + q["lo"][own[later]]
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
