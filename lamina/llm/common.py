@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import shutil
 import tempfile
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 #: Records in an Arrow batch sent to a Python worker; texts can be long, so batches stay small.
 ARROW_ROWS = 256
 #: Bytes of values (see row_bytes) that may be broadcast; beyond it a join shuffles.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Parts into which the rows of a key are dealt in a join by shuffle whose keys may be hot.
 SALTS = 32
 #: Rows of a key from which on it is hot, and hot keys at most.
@@ -223,6 +225,17 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     """
     global _held
     if _held is None or _held[0] != key:
-        _held = None
+        if _held is not None:
+            _held = None
+            give_back()
         _held = key, make()
     return _held[1]
+
+
+def give_back() -> None:
+    """In a Python worker: return freed memory to the system, as idle workers live on beside others."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, row_of, settled, table, tune, without
+from .common import Scratch, give_back, held, row_of, settled, table, tune, without
 from .quality import held_out, labelled
 
 #: Labelled rows to learn from, at most: of label 1, of label 0. Rows are taken in the order of a hash of their ids,
 #: whatever their texts; the sample of a label ends with the row that brings it to SAMPLE_BYTES of text.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 3000, 24 << 20
 #: Words of a window and from one window to the next; size of the state in each direction.
-WINDOW, STRIDE, STATE = 24, 1, 8
+WINDOW, STRIDE, STATE = 16, 1, 8
 #: Words from one window to the next among those that the network learns from.
-LEARNT_STRIDE = 16
+LEARNT_STRIDE = 8
 #: Features kept as evidence at most (a fixed size), slots of the sieve before them and of the embeddings; size of an embedding.
 EVIDENCE, SIEVE, SLOTS, EMBED = 100_000, 1 << 22, 1 << 13, 4
 #: Lengths of byte n-grams; documents of label 1 that a feature needs to count as evidence.
@@ -175,6 +175,15 @@ def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate([p[k] + before[i] if k == 2 else p[k] for i, p in enumerate(parts)]) for k in range(4))
 
 
+def parts_of(inputs: tuple) -> Iterator[tuple]:
+    """Inputs of at most WORDS_AT_ONCE words at a time."""
+    fixed, grams, starts, word = inputs
+    for i in range(0, len(fixed), WORDS_AT_ONCE):
+        k = slice(i, i + WORDS_AT_ONCE)
+        end = starts[i + WORDS_AT_ONCE] if i + WORDS_AT_ONCE < len(starts) else len(grams)
+        yield fixed[k], grams[starts[i] : end], starts[k] - starts[i], word[k]
+
+
 def _ramp(sizes: np.ndarray) -> np.ndarray:
     """0 .. size - 1 for each size, one after another."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -235,14 +244,17 @@ class Network:
         """Logits of all windows of WINDOW words in a row of words (as projected), as forward() has them but for rounding."""
         n, S = len(proj) - WINDOW + 1, STATE
         x = np.ascontiguousarray(proj.T)  # windows side by side: step t of all of them is a slice
+        for off in (0, 3 * S):  # the gates' inputs are negative, as their exponential is taken
+            np.negative(x[off : off + 2 * S], out=x[off : off + 2 * S])
         score, value = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
         for d, off in (("f", 0), ("b", 3 * S)):
             own = slice(off // 3, off // 3 + S)
-            both = np.ascontiguousarray(np.vstack([self.p[f"U{d}"].T, self.p["a"][own], self.p["o"][own]]))
+            U = self.p[f"U{d}"].T.copy()
+            U[: 2 * S] *= -1
+            both = np.ascontiguousarray(np.vstack([U, self.p["a"][own], self.p["o"][own]]))
             h, u, zr, c = np.zeros((S, n), np.float32), np.zeros((3 * S + 2, n), np.float32), np.empty((2 * S, n), np.float32), np.empty((S, n), np.float32)
             for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
                 np.add(x[off : off + 2 * S, t : t + n], u[: 2 * S], out=zr)
-                np.negative(zr, out=zr)
                 np.exp(zr, out=zr)
                 zr += 1
                 np.reciprocal(zr, out=zr)
@@ -257,7 +269,8 @@ class Network:
                 value[t] += u[3 * S + 1]
         score -= score.max(0)
         np.exp(score, out=score)
-        return (score * value).sum(0) / score.sum(0) + self.p["o0"]
+        value *= score
+        return value.sum(0) / score.sum(0) + self.p["o0"]
 
     def train(self, inputs: tuple, ids: np.ndarray, size: np.ndarray, y: np.ndarray) -> None:
         """One step of Adam on cross-entropy; inputs are those of the words that ids index."""
@@ -460,7 +473,7 @@ def _train(model: Model, apart: list[Evidence], docs: list[list[bytes]], y: np.n
             model.network.train(part, local.reshape(len(b), WINDOW), sizes[b], target)
         if epoch < TRUSTED:
             continue
-        proj = model.network.projected(model.network.embed(inputs))
+        proj = np.concatenate([model.network.projected(model.network.embed(p)) for p in parts_of(inputs)])
         logits = np.concatenate([model.network.forward(proj, ids[i : i + AT_ONCE], sizes[i : i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE)])
 
 
@@ -493,7 +506,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         model = fit(rows)
         if model is not None:
             model.network.step = {}
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], names=["model"])
+            blob = pickle.dumps(model, 5)
+            del model
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     found = ordered.select("text", "y").mapInArrow(train, "model binary").collect()  # one row, of fixed size at most
