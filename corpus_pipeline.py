@@ -9,27 +9,34 @@ from lamina.llm.common import Scratch, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go; null and empty texts and repeated rows are scored like others.
+
+    Without labels of both kinds all rows stay; an empty table stays empty; other columns, whatever their names, are kept.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts (without ASCII white space; null counts as empty) the one with the most code points stays, then the
+    smallest doc_id (null first), then one of rows that repeat. An empty table stays empty; other columns are kept."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints one document stays."""
+    """Of each group of linked fingerprints the row of the smallest doc_id stays (a null id only where there is no other),
+    of rows that repeat one. Texts without words, null too, are one group. An empty table stays empty; other columns are kept."""
     return simhash.drop_near_duplicates(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages over the allowed share go."""
+    """Documents that hold benchmark passages over the allowed share go. Null and empty texts hold none; rows that repeat
+    are judged alike; without items all rows stay; an empty table stays empty; other columns are kept."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, checked by decoding them: the rows' digests as in op1."""
+    """Token ids of what is left, checked by decoding them: the rows' digests as in op1. A null or empty text has no ids;
+    each row, repeated ones too, gives one; an empty table gives none."""
     return bpe.digests(bpe.encode(docs, *bpe.vocabulary(), decoded=True))
 
 
