@@ -9,13 +9,14 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, decontaminate, exact_dedup, licenses, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
+from lamina.llm import bpe, common, decontaminate, exact_dedup, licenses, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
 from lamina.llm.common import Scratch
 from lamina.llm.components import components
 from lamina.llm.registry import oracle_sql, queries
@@ -98,6 +99,32 @@ def test_bpe_cache_starts_anew(library, monkeypatch):
         assert c.encode([t])[0].tolist() == library.encode_ordinary(t)
 
 
+def test_bpe_pattern_on_every_character(codec, library):
+    """The pattern's classes as the library has them, code point by code point."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}b" for c in points)
+    pieces = codec.find(text)
+    assert "".join(pieces) == text
+    cut = lambda t: [len(x) for x in codec.find(t)]
+    odd = []
+    for at in range(0, len(points), 4096):
+        part = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}b" for c in points[at : at + 4096])
+        if codec.encode([part])[0].tolist() != library.encode_ordinary(part):
+            odd += [c for c in points[at : at + 4096] if codec.encode([f"a{chr(c)}1{chr(c)} {chr(c)}b"])[0].tolist() != library.encode_ordinary(f"a{chr(c)}1{chr(c)} {chr(c)}b")]
+    assert odd == [], [hex(c) for c in odd[:20]]
+    assert cut("") == []
+
+
+def test_bpe_query(spark, small, library):
+    rows = {r.doc_id: r for r in bpe.op1_byte_bpe(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        ids = library.encode_ordinary(d.text or "")
+        want = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest()
+        assert tuple(rows[d.doc_id])[1:] == want
+
+
 # -- 2: SimHash -------------------------------------------------------------------------------------------------
 
 
@@ -172,6 +199,14 @@ def test_simhash_rows(docs, empty):
     assert simhash.drop_near_duplicates(docs).count() == len(set(want.values()))
 
 
+def test_simhash_query(spark, small):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    ids = sorted(text)
+    prints = [slow_fingerprint(text[i]) for i in ids]
+    want = {i: (f"{p:016x}", ids[c]) for i, p, c in zip(ids, prints, brute_components(prints))}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2_simhash_dedup(spark, small).collect()} == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
@@ -232,6 +267,75 @@ def test_every_window_is_scored():
         assert abs(model.network.forward(scorer.proj, ids, size).max() - logit) < 1e-4
 
 
+def test_a_window_by_the_definition():
+    """Gates, candidate, attention and pooling of one window, number by number."""
+    evidence = toxicity.Evidence.of_documents([[b"bad", b"word"], [b"good", b"word"]] * 3, np.array([1.0, 0.0] * 3))[0]
+    net = toxicity.Network()
+    net.p["gram"] *= 3
+    words = [b"bad", b"x", b"good", "\u00e9t\u00e9".encode(), b"bad"]
+    x = net.embed(evidence.inputs(words)).astype(float)
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    states = []
+    for d in "fb":
+        h, own = np.zeros(toxicity.STATE), {}
+        for t in range(len(words)) if d == "f" else reversed(range(len(words))):
+            wz, wr, wc = np.split(x[t] @ p[f"W{d}"] + p[f"c{d}"], 3)
+            uz, ur, uc = np.split(h @ p[f"U{d}"], 3)
+            z, r = sigma(wz + uz), sigma(wr + ur)
+            h = z * h + (1 - z) * np.tanh(wc + r * uc)
+            own[t] = h
+        states.append([own[t] for t in range(len(words))])
+    states = np.hstack(states)
+    e = np.exp(states @ p["a"])
+    want = (e / e.sum()) @ states @ p["o"] + p["o0"][0]
+    model = toxicity.Model(evidence, net, 1.0, 0.0)
+    assert abs(toxicity.Scorer(model).logits([b" ".join(words).decode()])[0] - want) < 1e-4
+
+
+def auc(y, x):
+    order = np.argsort(np.argsort(x)) + 1
+    y = np.asarray(y) == 1
+    return (order[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
+def test_held_out_toxic_rows_are_told_apart():
+    """What learning from the labelled rows of a larger table gives for those held out."""
+    folder = "/root/testdata/sf0.1"
+    labels = dict(zip(*(c.to_pylist() for c in pq.read_table(f"{folder}/labels.parquet", columns=["doc_id", "toxic"]).columns)))
+    texts = {i: t for i, t in zip(*(c.to_pylist() for c in pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).columns)) if i in labels}
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    model = toxicity.fit((texts[i], float(labels[i])) for i in texts if zlib.crc32(str(i).encode()) % 5)
+    score = model.calibrated(toxicity.Scorer(model).logits([texts[i] for i in held]))
+    y = np.array([labels[i] for i in held])
+    assert auc(y, score) > 0.93 and np.mean((score >= 0.5) == y) > 0.95
+
+
+def test_held_out_rows_of_good_quality_are_told_apart(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = quality.op9_quality(spark, folder).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert auc([labels[r.doc_id] for r in held], [r.score for r in held]) > 0.95
+    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.95
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    texts = [(i, "x" * (5000 if i % 10 == 0 else 50)) for i in range(400)] + [(7, "again"), (None, "none")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1)], "doc_id long, toxic int")
+    rows = toxicity.sample_of(docs, labels, "toxic", Scratch(spark)).collect()
+    assert {r.doc_id for r in rows} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5} and len(rows) == len({r.doc_id for r in rows})
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 60)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    rows = toxicity.sample_of(docs, labels, "toxic", Scratch(spark)).collect()
+    for y, most in ((0, 60), (1, 1500)):
+        own = [len(r.text) for r in rows if r.y == y]
+        assert 0 < len(own) <= most and sum(own) - max(own) < 20_000
+    assert any(len(r.text) == 5000 for r in rows)  # long texts are taken like others
+
+
 def planted(spark, n=700):
     rng = random.Random(1)
     syllables = ["an", "er", "th", "on", "re", "ti", "st", "nd"]
@@ -283,6 +387,26 @@ def test_shards_are_even_and_keep_groups(spark, hot):
     assert all(r.size == len((texts[r.doc_id] or "").encode()) + 16 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
 
 
+def test_sharding_query(spark, small):
+    rows = sharding.op4_sharding(spark, small).collect()
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(text) and {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    assert all(r.size == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in rows)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(40)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    counts = [len(slots.get(k, [])) for k in range(40)]
+    assert max(counts) - min(counts) <= 1
+    cut, where = 0, {}
+    for r in rows:
+        where.setdefault(text[r.doc_id], []).append(r.shard)
+    for shards in where.values():
+        cut += len(shards) - max(shards.count(k) for k in shards)
+        assert max(shards.count(k) for k in shards) >= min(len(shards), max(counts) // 2)
+    assert cut <= sum(max(0, len(x) - max(counts)) for x in where.values()) + len(where) // 50
+
+
 def test_shards_of_odd_tables(docs, empty):
     assert sharding.assign(docs).count() == docs.count()
     assert sharding.assign(empty).count() == 0
@@ -526,6 +650,15 @@ def test_token_counts(docs, empty, pieces):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_query(spark, small, pieces):
+    rows = {r.doc_id: r for r in token_counts.op7_token_counts(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        n = len(pieces.encode(d.text or ""))
+        assert tuple(rows[d.doc_id])[1:] == (len((d.text or "").encode()), n, n > 4096)
+
+
 @pytest.fixture(scope="module")
 def lengths():
     path, words = public_tokenizers.path("piece_bpe_32k.model"), ["the", "unk", "a", "", "<s>"]
@@ -589,7 +722,7 @@ def test_exact_dedup_of_nothing(empty):
 def test_quality(spark, small, docs, empty):
     df, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     score = {r.doc_id: r.score for r in quality.classify(df, labels).collect()}
-    y = {r.doc_id: r.quality for r in labels.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}  # held out
     right = np.mean([(score[i] >= 0.3) == (y[i] == 1) for i in y])
     assert right > 0.85 and all(0 <= s <= 1 for s in score.values())
     assert quality.classify(docs, labels).count() == docs.count()
@@ -597,6 +730,32 @@ def test_quality(spark, small, docs, empty):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_by_a_direct_solution(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    y = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in docs}
+    x = {r.doc_id: quality.statistics(r.text) for r in docs}
+    learnt = [i for i in y if fold[i]]
+    apart = [i for i in learnt if fold[i] == quality.CALIBRATED]
+    rest = [i for i in learnt if fold[i] != quality.CALIBRATED]
+    if len({y[i] for i in apart}) < 2 or len({y[i] for i in rest}) < 2:
+        apart = rest = learnt
+    X = np.array([x[i] for i in rest])
+    kernel = quality.Kernel(X.mean(0), X.std(0))
+    Z = np.vstack([kernel(X), np.sqrt(quality.RIDGE) * np.eye(1 + X.shape[1] + quality.FEATURES)])
+    w = np.linalg.lstsq(Z, np.r_[[y[i] for i in rest], np.zeros(Z.shape[1])], rcond=None)[0]
+    ridge = {r.doc_id: float((kernel(x[r.doc_id][None]) @ w)[0]) for r in docs}
+    bin_of = lambda r: int(max(0, min(quality.BINS - 1, np.floor((r + 0.5) / 2 * quality.BINS))))
+    sums, counts = np.zeros(quality.BINS), np.zeros(quality.BINS)
+    for i in apart:
+        sums[bin_of(ridge[i])] += y[i]
+        counts[bin_of(ridge[i])] += 1
+    steps = quality.pool(sums, counts)
+    got = {r.doc_id: r.score for r in quality.op9_quality(spark, small).collect()}
+    near = [abs(got[i] - (0.999 * steps[bin_of(r)] + 0.001 * max(0, min(1, (r + 0.5) / 2)))) < 1e-4 for i, r in ridge.items()]
+    assert np.mean(near) > 0.98  # but where rounding puts a score into the next bin
+
+
 def test_pooling_is_isotonic():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 4, 60).astype(float)
@@ -756,6 +915,31 @@ def test_suffixes_are_sorted_and_verified(monkeypatch, lies):
     assert set(zip(own.tolist(), start.tolist())) == want
 
 
+# -- joins ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limit, hot", [(1 << 20, None), (0, None), (0, 3)])
+def test_joins_of_hot_keys(spark, limit, hot):
+    rows = [(i, "hot" if i % 3 else f"k{i}", "other" if i % 5 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "row long, k string, extra string")
+    scratch = Scratch(spark)
+    counted = scratch.keep(df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 'k3'").withColumn("v", F.concat(F.lit("v"), "k")))
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.meet_counted(df, counted, ["k"], 90, how=how, limit=limit, hot=hot).select("row", "k", "v").collect()))
+        assert got == sorted((i, k, f"v{k}" if k != "k3" else None) for i, k, _ in rows if how == "left" or k != "k3")
+    several = scratch.keep(counted.select("k", F.explode(F.array("v", "k")).alias("v")))
+    got = sorted(map(tuple, common.meet(df, several, "k", limit).select("row", "k", "v").collect()))
+    assert got == sorted((i, k, v) for i, k, _ in rows if k != "k3" for v in (k, f"v{k}"))
+
+
+def test_broadcasts_are_checked_by_bytes(spark):
+    scratch = Scratch(spark)
+    long = scratch.keep(spark.createDataFrame([("x" * 100_000, ["y" * 50_000] * 2)], "a string, b array<string>"))
+    assert not common.small(long, 150_000) and common.small(long, 250_000)
+    numbers = scratch.keep(spark.range(1000).select("id", F.struct("id", F.lit(1)).alias("s"), F.array("id", "id").alias("l")))
+    assert common.small(numbers, 200_000) and not common.small(numbers, 20_000)
+
+
 # -- queries ----------------------------------------------------------------------------------------------------
 
 
