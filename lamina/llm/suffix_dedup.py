@@ -124,21 +124,20 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
 
 
 def text_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """All runs of texts: text, lo, hi (first and last window), mid (anchor less lo), kind, u1, u2 (digest of the run's bytes)."""
+    """All runs of texts: text, lo, hi (first and last window), mid (anchor less lo), kind, u (digest of the run's bytes)."""
     out: dict[str, list] = {k: [] for k in ("text", "lo", "hi", "mid", "kind", "u")}
     for data, ends, number, offset in _parts(texts):
         lo, hi, anchor, kind = runs(np.frombuffer(data, np.uint8), ends)
         which = np.searchsorted(ends, lo, side="right")
         begin = np.r_[0, ends[:-1]][which]
-        out["u"].append(np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())]), np.uint64).reshape(-1, 2))
+        out["u"].append(np.fromiter((digest(data[a:b]) for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())), np.uint64, len(lo)))
         out["text"].append(number[which])
         out["lo"].append((lo - begin + offset[which]).astype(np.int32))
         out["hi"].append((hi - begin + offset[which]).astype(np.int32))
         out["mid"].append(anchor - lo)
         out["kind"].append(kind)
-    u = np.concatenate([*out.pop("u"), np.zeros((0, 2), np.uint64)])
-    types = {"text": np.int64, "lo": np.int32, "hi": np.int32, "mid": np.int16, "kind": np.int64}
-    return {k: np.concatenate([*v, np.zeros(0, types[k])]).astype(types[k]) for k, v in out.items()} | {"u1": u[:, 0].copy(), "u2": u[:, 1].copy()}
+    types = {"text": np.int64, "lo": np.int32, "hi": np.int32, "mid": np.int16, "kind": np.int64, "u": np.uint64}
+    return {k: np.concatenate([*v, np.zeros(0, types[k])]).astype(types[k]) for k, v in out.items()}
 
 
 def _take(d: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
@@ -159,19 +158,31 @@ def _rank(*keys: np.ndarray) -> np.ndarray:
 def settle(r: dict[str, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of runs and the rank of their texts, by digest: first of equal runs; the others; the first of each of those; for
     each first how many different runs its anchor has."""
-    o = np.lexsort((r["lo"], rank, r["u2"], r["u1"], r["kind"]))
+    o = np.lexsort((r["lo"], rank, r["u"], r["kind"]))
     if not len(o):
         return o, o, o, o
-    k, u1, u2 = r["kind"][o], r["u1"][o], r["u2"][o]
+    k, u = r["kind"][o], r["u"][o]
     new_kind = np.r_[True, k[1:] != k[:-1]]
-    new = new_kind | np.r_[True, (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1])]
+    new = new_kind | np.r_[True, u[1:] != u[:-1]]
     different = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_kind))[np.cumsum(new_kind) - 1]
     first = o[new]
     return first, o[~new], first[np.cumsum(new)[~new] - 1], different[new]
 
 
-def _blob(d: dict[str, np.ndarray]) -> bytes:
-    return pickle.dumps(d, protocol=5)
+def _blob(d: dict[str, np.ndarray | bytes]) -> bytes:
+    """Numbers by the planes of their bytes, most of which hold the same byte again and again: Spark packs these well."""
+    planes = lambda v: v if isinstance(v, bytes) else (v.dtype.str, np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes())
+    return pickle.dumps({k: planes(v) for k, v in d.items()}, protocol=5)
+
+
+def _unblob(x: bytes) -> dict[str, np.ndarray | bytes]:
+    def numbers(v):
+        if isinstance(v, bytes):
+            return v
+        kind = np.dtype(v[0])
+        return np.ascontiguousarray(np.frombuffer(v[1], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+    return {k: numbers(v) for k, v in pickle.loads(x).items()}
 
 
 def _dealt(d: dict[str, np.ndarray], bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -187,7 +198,7 @@ def _doc_bucket(d: dict[str, np.ndarray], n: int) -> np.ndarray:
 
 
 _ROWS = ("file", "at", "lo", "hi")
-digest = xxhash.xxh3_128_digest
+digest = xxhash.xxh3_64_intdigest
 
 
 def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -204,7 +215,7 @@ def _send_runs(texts: list[bytes], ids: np.ndarray, file: np.ndarray, at: np.nda
     if not same.all():  # a collision of digests: these go on as different ones, and meet their equals by their bytes
         first, again = np.r_[first, again[~same]], again[same]
         odd = first[-int((~same).sum()) :]
-        r["u1"][odd], r["u2"][odd] = odd.astype(np.uint64), ~np.uint64(0)
+        r["u"][odd] = odd.astype(np.uint64)
     own = _take(r, first) | {"id": ids[t[first]], "file": file[t[first]], "at": at[t[first]]}
     out = list(_dealt(own, own["kind"] % buckets))
     return out + _known(file[t[again]], at[t[again]], r["lo"][again], r["hi"][again], doc_buckets)
@@ -217,7 +228,7 @@ def _known(file: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc
 
 
 def _passed(t: pa.Table, bucket: int) -> pa.Table:
-    return pa.Table.from_batches([_batch([(-1 - bucket, _blob(_joined([pickle.loads(x.as_py()) for x in t.column("data")])))])])
+    return pa.Table.from_batches([_batch([(-1 - bucket, _blob(_joined([_unblob(x.as_py()) for x in t.column("data")])))])])
 
 
 def _compare_runs(t: pa.Table, doc_buckets: int) -> pa.Table:
@@ -225,7 +236,7 @@ def _compare_runs(t: pa.Table, doc_buckets: int) -> pa.Table:
     bucket = t.column("bucket")[0].as_py()
     if bucket < 0:
         return _passed(t, bucket)
-    r = _joined([pickle.loads(x.as_py()) for x in t.column("data")])
+    r = _joined([_unblob(x.as_py()) for x in t.column("data")])
     first, again, to, different = settle(r, _rank(r["id"], r["file"], r["at"]))
     place = np.zeros(len(r["lo"]), np.int64)
     place[first] = different
@@ -239,7 +250,7 @@ def _compare_runs(t: pa.Table, doc_buckets: int) -> pa.Table:
 
 def _by_document(t: pa.Table) -> pa.Table:
     """Of a bucket of documents: a row per document with its repeats and its questions."""
-    r = _joined([pickle.loads(x.as_py()) for x in t.column("data")])
+    r = _joined([_unblob(x.as_py()) for x in t.column("data")])
     o = np.lexsort((r["lo"], r["at"], r["file"]))
     r = _take(r, o)
     cut = np.flatnonzero(np.r_[True, (r["file"][1:] != r["file"][:-1]) | (r["at"][1:] != r["at"][:-1])])
@@ -468,7 +479,7 @@ def _answer(t: pa.Table, doc_buckets: int) -> pa.Table:
     bucket = t.column("bucket")[0].as_py()
     if bucket < 0:
         return _passed(t, bucket)
-    parts = [pickle.loads(x.as_py()) for x in t.column("data")]
+    parts = [_unblob(x.as_py()) for x in t.column("data")]
     data = b"".join(p.pop("bytes") for p in parts)
     q = _joined(parts)
     own, start = repeated_windows(q, data)
