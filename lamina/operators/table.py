@@ -162,11 +162,11 @@ class StripeTable:
         for folder in {s.file.rpartition("/")[0] for s in new}:
             self.store.delete(folder)
 
-    def insert(self, df: DataFrame, codec: str | None = None, rows_per_stripe: int | None = None, cluster_by: list[str] | None = None, ordered: bool = False, unique: list[str] | None = None) -> Manifest:
+    def insert(self, df: DataFrame, codec: str | None = None, rows_per_stripe: int | None = None, cluster_by: list[str | Column] | None = None, ordered: bool = False, unique: list[str] | None = None) -> Manifest:
         """Append df's rows as new stripes in one commit.
 
         ordered: one task, stripes of exactly rows_per_stripe rows in df's order. cluster_by: rows sorted by range
-        of these columns, so that pruning on them works. unique: columns whose values must be new and distinct; it is
+        of these columns or expressions, so that pruning on them works. unique: columns whose values must be new and distinct; it is
         checked against the very version that the commit follows, so that of writers that race one gets DuplicateKey.
         """
         m = self.log.load()

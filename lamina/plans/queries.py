@@ -215,6 +215,16 @@ def scan_sample(spark, d):
     return orders_table(spark, d).sample(0.1, 7)
 
 
+@query("SELECT TRUE AS inside, TRUE AS repeatable, TRUE AS near_a_tenth")
+def scan_sample_share(spark, d):
+    """A sample holds rows of the table, the same ones for the same seed, and about the share asked for."""
+    t = orders_table(spark, d)
+    keys = lambda: t.sample(0.1, 7).select("o_orderkey")
+    n, total = keys().count(), t.row_count()
+    inside = keys().join(base_table(spark, d, "orders"), "o_orderkey", "left_anti").isEmpty()
+    return spark.createDataFrame([(inside, keys().exceptAll(keys()).isEmpty(), 0.05 * total < n < 0.15 * total)], "inside boolean, repeatable boolean, near_a_tenth boolean")
+
+
 @query("SELECT * FROM orders")
 def scan_arrow_stripes(spark, d):
     """orders written as Arrow stripes in the shared folder and read again."""
@@ -449,6 +459,16 @@ def analyze_histogram(spark, d):
     return t.analyze(["k"], buckets=4).select(F.posexplode("histogram").alias("i", "bound"))
 
 
+@query("SELECT * FROM orders WHERE o_orderkey % 100 = 3")
+def ins_cluster_expression(spark, d):
+    """Stripes in the order of an expression, as an index on one would have it, and of a part of the rows."""
+    df = base_table(spark, d, "orders")
+    t = StripeTable.create(spark, work_path(spark, "orders"), df.schema, rows_per_stripe=1_000)
+    t.insert(df.where("o_orderkey % 100 = 3"), cluster_by=[F.expr("o_orderkey % 7"), "o_orderkey"])
+    t.insert(df.where("o_orderkey % 100 <> 3"))
+    return t.scan("o_orderkey % 100 = 3")
+
+
 @query("SELECT * FROM orders")
 def optimize_rows(spark, d):
     t = orders_table(spark, d)
@@ -456,9 +476,13 @@ def optimize_rows(spark, d):
     return t.scan()
 
 
-@query()
+@query("SELECT TRUE AS covers_stripes, TRUE AS covers_metadata, CAST(0 AS BIGINT) AS after_drop")
 def relation_size(spark, d):
-    return spark.createDataFrame([(orders_table(spark, d).relation_size(),)], "bytes long")
+    t = orders_table(spark, d)
+    stripes = t.stripe_info().agg(F.sum("file_size")).first()[0]
+    size = t.relation_size()
+    t.drop()
+    return spark.createDataFrame([(size >= stripes, size > stripes, t.relation_size())], "covers_stripes boolean, covers_metadata boolean, after_drop long")
 
 
 @query("SELECT CAST(1 AS BIGINT) AS ipc_hits, CAST(2 AS BIGINT) AS ipc_misses, TRUE AS cached, CAST(2 * count(*) + count(*) FILTER (WHERE o_orderkey < 500) AS BIGINT) AS rows FROM orders")
