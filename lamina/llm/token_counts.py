@@ -29,7 +29,7 @@ FREQUENT = 8192
 #: Bytes of a worker's cache, a pre-token counted as its characters and WORD_BYTES; it starts anew beyond it.
 CACHE_BYTES, WORD_BYTES = 48 << 20, 150
 #: Summaries merged in one task.
-FAN_IN = 64
+FAN_IN = 16
 
 _SPACED = re.compile(" +[^ ]*").findall
 
