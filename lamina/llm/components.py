@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is an aggregation that sums up on the map side and a join with its result; no step gathers a node's
-neighbours, so a node may have any number of them.
+Every step is an aggregation that sums up on the map side and a join with its result, in which nodes of very many
+neighbours are broadcast; no step gathers a node's neighbours, so a node may have any number of them.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded
+from .common import Scratch, meet_counted
 
 
-def _star(edges: DataFrame, both: bool, scratch: Scratch) -> DataFrame:
-    """edges (u, v), u > v. Links each node's (both: larger; else: smaller) neighbours and itself to the least of all."""
+def _star(edges: DataFrame, count: int, both: bool, scratch: Scratch) -> DataFrame:
+    """edges (u, v), u > v, of them count. Links each node's (both: larger; else: smaller) neighbours and itself to the least of all."""
     sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else edges
-    least = scratch.keep(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    joined = sides.join(bounded(least), "u")
+    least = scratch.keep(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+    joined = meet_counted(sides, least, ["u"], 2 * count if both else count)
     if both:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -36,8 +36,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = scratch.keep(e)
     state = _state(e)
     while state[0]:
-        large = _star(e, True, scratch)
-        small = _star(large, False, scratch)
+        large = _star(e, state[0], True, scratch)
+        small = _star(large, state[0], False, scratch)
         scratch.drop(e, large)
         e, was, state = small, state, _state(small)
         if state == was:
