@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import held, table, tune
 
 #: Bytes of a worker's cache of encoded pre-tokens, a pre-token counted as its characters and WORD_BYTES; it starts anew beyond it.
-CACHE_BYTES, WORD_BYTES = 64 << 20, 200
+CACHE_BYTES, WORD_BYTES = 48 << 20, 200
 #: Characters of text whose new pre-tokens are replayed together (a longer text goes alone).
-REPLAY_CHARS = 12_000_000
+REPLAY_CHARS = 6_000_000
 #: Rank of a pair that doesn't merge.
 NONE = 2**31 - 1
 

@@ -43,7 +43,7 @@ FOLDS = 5
 TRUSTED = 4
 #: Bytes of words with their inputs that a worker keeps (a word takes WORD_BYTES and its own); windows that the network
 #: reads, and words that are hashed, at once.
-CACHE_BYTES, WORD_BYTES, AT_ONCE, WORDS_AT_ONCE = 64 << 20, 400, 2048, 20_000
+CACHE_BYTES, WORD_BYTES, AT_ONCE, WORDS_AT_ONCE = 48 << 20, 400, 2048, 20_000
 THRESHOLD = 0.5
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
