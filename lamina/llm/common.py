@@ -75,11 +75,18 @@ class Scratch:
         except Exception:  # the driver's JVM may have ended before
             pass
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back."""
+    def keep(self, df: DataFrame, free: bool = False) -> DataFrame:
+        """Write df and read it back. free: what was shuffled for it goes at once, not when the driver next collects garbage."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = self.spark.conf.get(key, "false")
+        try:
+            if free:
+                self.spark.conf.set(key, "true")
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lamina_path = path
         return out

@@ -6,13 +6,16 @@ with the same anchor are a run, and equal stretches of text have equal runs, but
 
 1. A task settles the repeats among its own texts before anything moves: runs of one digest are compared byte by byte, so
    that a run crosses the network once per task, however often it occurs. What moves then are digests and places.
-2. Runs that share an anchor with a run of another task are asked for, with their bytes: they are gathered by anchor, and
-   equal ones are found byte by byte. Of what differs, the suffixes that start the windows are sorted: prefix polynomial
+2. Equal windows have their anchor at the same place, so they agree on 78 bytes around it, which ones the third of the
+   window says that the anchor begins in (CELLS). A run moves with hashes of these, and its windows of a third are asked for
+   with their bytes where another run has the same. They are gathered by anchor, and equal runs are found byte by
+   byte. Of what differs, the suffixes that start the windows are sorted: prefix polynomial
    hashes and binary search find how far two suffixes agree, which makes a comparison logarithmic, and a bottom-up
    mergesort orders them. The order of neighbours is then verified byte by byte (a false agreement of hashes sends the
    bucket to a sort of the bytes themselves), and all but the earliest of equal windows are repeats.
 3. Anchors of more than SPLIT different runs, such as those in a passage of under LENGTH bytes that very many texts hold,
-   are not gathered: their windows are dealt one by one, by their bytes, again once per task.
+   are not gathered: their thirds are dealt by the bytes around the anchor, and where more than SPLIT different runs share
+   even these, their windows one by one, by their bytes, again once per task.
 4. The windows found are joined into spans of each document and cut out.
 """
 
@@ -38,10 +41,14 @@ PART = 1 << 19
 TASK_BYTES = 24 << 20
 #: Bytes of the input's files per bucket of runs, and bytes of runs whose suffixes are sorted together.
 BUCKET_BYTES, SORTED_BYTES = 4 << 20, 1 << 20
-#: Different runs of an anchor from which on its windows are dealt one by one.
+#: Different runs of an anchor, or of the bytes around it, from which on they aren't gathered.
 SPLIT = 64
-#: Bits that tell anchors apart; added to the place of the anchor in a run whose windows are dealt one by one.
+#: Bits that tell anchors apart; the place of the anchor in a run is below DEALT, and how its cells are dealt above.
 KIND_BITS, DEALT = 48, 256
+#: Places of the anchor in a window, first and last of each class: windows of a class hold the LENGTH - (last - first) bytes from first before the anchor.
+CELLS = ((0, 22), (23, 45), (46, LENGTH - GRAM))
+#: How a cell of a run that isn't gathered by its anchor is dealt: not at all, by the bytes around the anchor, or by windows.
+AROUND, SINGLY = 1, 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -54,6 +61,7 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+_CELL = tuple(f"c{i}" for i in range(len(CELLS)))
 _POW, _INV = _powers(PART + 2 * LENGTH + 2, _BASE), _powers(PART + 2 * LENGTH + 2, pow(_BASE, -1, 1 << 64))
 
 
@@ -70,11 +78,18 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window, place and class of the anchor of each run. ends: where each text in data ends."""
+def _has(cell: int, mid: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether runs of so many windows, the first of which has its anchor at mid, have windows of a cell."""
+    return (mid >= CELLS[cell][0]) & (mid - windows < CELLS[cell][1])
+
+
+def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First and last window, place and class of the anchor of each run, and of each cell the hash of its bytes (0: it has no
+    windows of the cell). ends: where each text in data ends."""
     n = len(data)
+    none = (np.zeros(0, np.int64),) * 4 + ([np.zeros(0, np.uint32) for _ in CELLS],)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 4
+        return none
     h = prefix_hashes(data.astype(np.uint64))
     g = _mix((h[GRAM:] - h[:-GRAM]) * _INV[: n - GRAM + 1])
     v = (g & ~_PLACE) | np.arange(len(g), dtype=np.uint64)
@@ -90,13 +105,19 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     valid = np.cumsum(cut)[: n - LENGTH + 1] == 0
     at = np.flatnonzero(valid)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 4
+        return none
     a = m[at]
     new = np.r_[True, (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(at)] - 1
     anchor = (a[first] & _PLACE).astype(np.int64)
-    return at[first], at[last], anchor, (g[anchor] * _ODD >> np.uint64(64 - KIND_BITS)).astype(np.int64)
+    lo, hi = at[first], at[last]
+    cells = []
+    for c, (low, high) in enumerate(CELLS):
+        has = _has(c, anchor - lo, hi - lo + 1)
+        begin, end = np.where(has, anchor - low, 0), np.where(has, anchor + LENGTH - high, 0)
+        cells.append(np.where(has, _mix((h[end] - h[begin]) * _INV[begin]) >> np.uint64(32), 0).astype(np.uint32))
+    return lo, hi, anchor, (g[anchor] * _ODD >> np.uint64(64 - KIND_BITS)).astype(np.int64), cells
 
 
 def _parts(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,10 +145,11 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
 
 
 def text_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """All runs of texts: text, lo, hi (first and last window), mid (anchor less lo), kind, u (digest of the run's bytes)."""
-    out: dict[str, list] = {k: [] for k in ("text", "lo", "hi", "mid", "kind", "u")}
+    """All runs of texts: text, lo, hi (first and last window), mid (anchor less lo), kind, u (digest of the run's bytes), c0 to
+    c2 (hashes of its cells)."""
+    out: dict[str, list] = {k: [] for k in ("text", "lo", "hi", "mid", "kind", "u", *_CELL)}
     for data, ends, number, offset in _parts(texts):
-        lo, hi, anchor, kind = runs(np.frombuffer(data, np.uint8), ends)
+        lo, hi, anchor, kind, cells = runs(np.frombuffer(data, np.uint8), ends)
         which = np.searchsorted(ends, lo, side="right")
         begin = np.r_[0, ends[:-1]][which]
         out["u"].append(np.fromiter((digest(data[a:b]) for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())), np.uint64, len(lo)))
@@ -136,7 +158,9 @@ def text_runs(texts: list[bytes]) -> dict[str, np.ndarray]:
         out["hi"].append((hi - begin + offset[which]).astype(np.int32))
         out["mid"].append(anchor - lo)
         out["kind"].append(kind)
-    types = {"text": np.int64, "lo": np.int32, "hi": np.int32, "mid": np.int16, "kind": np.int64, "u": np.uint64}
+        for name, x in zip(_CELL, cells):
+            out[name].append(x)
+    types = {"text": np.int64, "lo": np.int32, "hi": np.int32, "mid": np.int16, "kind": np.int64, "u": np.uint64} | dict.fromkeys(_CELL, np.uint32)
     return {k: np.concatenate([*v, np.zeros(0, types[k])]).astype(types[k]) for k, v in out.items()}
 
 
@@ -155,18 +179,32 @@ def _rank(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(r: dict[str, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of runs and the rank of their texts, by digest: first of equal runs; the others; the first of each of those; for
-    each first how many different runs its anchor has."""
+def settle(r: dict[str, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs and the rank of their texts, by digest: first of equal runs; the others; the first of each of those."""
     o = np.lexsort((r["lo"], rank, r["u"], r["kind"]))
     if not len(o):
-        return o, o, o, o
+        return o, o, o
     k, u = r["kind"][o], r["u"][o]
-    new_kind = np.r_[True, k[1:] != k[:-1]]
-    new = new_kind | np.r_[True, u[1:] != u[:-1]]
-    different = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_kind))[np.cumsum(new_kind) - 1]
+    new = np.r_[True, (k[1:] != k[:-1]) | (u[1:] != u[:-1])]
     first = o[new]
-    return first, o[~new], first[np.cumsum(new)[~new] - 1], different[new]
+    return first, o[~new], first[np.cumsum(new)[~new] - 1]
+
+
+def _counts(u: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row how many rows, and how many different u, have its keys."""
+    o = np.lexsort((u, *keys))
+    new = np.zeros(len(o), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[o][1:] != k[o][:-1]
+    other = new.copy()
+    other[1:] |= u[o][1:] != u[o][:-1]
+    first, which = np.flatnonzero(new), np.cumsum(new) - 1
+    rows, different = np.empty(len(o), np.int64), np.empty(len(o), np.int64)
+    if len(o):
+        rows[o] = np.diff(np.r_[first, len(o)])[which]
+        different[o] = np.add.reduceat(other.astype(np.int64), first)[which]
+    return rows, different
 
 
 def _blob(d: dict[str, np.ndarray | bytes]) -> bytes:
@@ -208,7 +246,7 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def _send_runs(texts: list[bytes], ids: np.ndarray, file: np.ndarray, at: np.ndarray, buckets: int, doc_buckets: int) -> list[tuple[int, bytes]]:
     r = text_runs(texts)
     t = r.pop("text")
-    first, again, to, _ = settle(r, _rank(ids, file, at)[t])
+    first, again, to = settle(r, _rank(ids, file, at)[t])
     lo, end = r["lo"].tolist(), (r["hi"] + LENGTH).tolist()
     number = t.tolist()
     same = np.fromiter((texts[number[i]][lo[i] : end[i]] == texts[number[j]][lo[j] : end[j]] for i, j in zip(again.tolist(), to.tolist())), bool, len(again))
@@ -216,14 +254,17 @@ def _send_runs(texts: list[bytes], ids: np.ndarray, file: np.ndarray, at: np.nda
         first, again = np.r_[first, again[~same]], again[same]
         odd = first[-int((~same).sum()) :]
         r["u"][odd] = odd.astype(np.uint64)
-    own = _take(r, first) | {"id": ids[t[first]], "file": file[t[first]], "at": at[t[first]]}
+    # those with the same cells together, as what they lack then packs well
+    first = first[np.lexsort((first, *(r[c][first] == 0 for c in _CELL)))]
+    own = _take(r, first) | {"file": file[t[first]], "at": at[t[first]]}
+    own["u"] = own["u"].astype(np.uint16)  # it now but counts different runs
     out = list(_dealt(own, own["kind"] % buckets))
     return out + _known(file[t[again]], at[t[again]], r["lo"][again], r["hi"][again], doc_buckets)
 
 
 def _known(file: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc_buckets: int) -> list[tuple[int, bytes]]:
     """Repeats for buckets of documents, under negative numbers: they pass the buckets of runs."""
-    d = {"file": file, "at": at, "lo": lo, "hi": hi, "kind": np.zeros(len(lo), np.int64), "mid": np.full(len(lo), -1, np.int16), "id": at}
+    d = {"file": file, "at": at, "lo": lo, "hi": hi, "kind": np.zeros(len(lo), np.int64), "mid": np.full(len(lo), -1, np.int16)}
     return [(-1 - b, x) for b, x in _dealt(d, _doc_bucket(d, doc_buckets))]
 
 
@@ -232,19 +273,26 @@ def _passed(t: pa.Table, bucket: int) -> pa.Table:
 
 
 def _compare_runs(t: pa.Table, doc_buckets: int) -> pa.Table:
-    """Runs of a bucket, one of each digest per task, to questions for buckets of documents: all that share an anchor with others."""
+    """Runs of a bucket, one of each digest per task, to questions for buckets of documents: the windows of cells that they
+    share with others, as equal windows do."""
     bucket = t.column("bucket")[0].as_py()
     if bucket < 0:
         return _passed(t, bucket)
     r = _joined([_unblob(x.as_py()) for x in t.column("data")])
-    first, again, to, different = settle(r, _rank(r["id"], r["file"], r["at"]))
-    place = np.zeros(len(r["lo"]), np.int64)
-    place[first] = different
-    place[again] = place[to]
-    wanted = place > 1
-    wanted[again] = wanted[to] = True
-    asks = _take({k: r[k] for k in (*_ROWS, "kind", "mid", "id")}, np.flatnonzero(wanted))
-    asks["mid"] = (asks["mid"] + DEALT * (place[wanted] > SPLIT)).astype(np.int16)
+    n, mid = (r["hi"] - r["lo"]).astype(np.int64) + 1, r["mid"].astype(np.int64)
+    how = np.zeros((len(CELLS), len(n)), np.int64)
+    for c, name in enumerate(_CELL):
+        at = np.flatnonzero(_has(c, mid, n))
+        rows, different = _counts(r["u"][at], r[name][at], r["kind"][at])
+        how[c, at] = np.where(rows > 1, np.where(different > SPLIT, SINGLY, AROUND), 0)
+    wanted = np.flatnonzero(how.any(0))
+    r, n, mid, how = _take(r, wanted), n[wanted], mid[wanted], how[:, wanted]
+    low = np.min([np.where(x > 0, a, LENGTH) for x, (a, _) in zip(how, CELLS)], axis=0)
+    high = np.max([np.where(x > 0, b, 0) for x, (_, b) in zip(how, CELLS)], axis=0)
+    begin, end = np.maximum(0, mid - high), np.minimum(n - 1, mid - low)
+    hot = _counts(r["u"], r["kind"])[1] > SPLIT
+    dealt = np.where(hot, sum(x << 2 * c for c, x in enumerate(how)), 0)
+    asks = {"file": r["file"], "at": r["at"], "lo": (r["lo"] + begin).astype(np.int32), "hi": (r["lo"] + end).astype(np.int32), "kind": r["kind"], "mid": (mid - begin + DEALT * dealt).astype(np.int16)}
     return pa.Table.from_batches([_batch(list(_dealt(asks, _doc_bucket(asks, doc_buckets))))])
 
 
@@ -429,38 +477,46 @@ def _spans(file: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndar
 
 
 def _apart(q: dict[str, np.ndarray], pieces: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
-    """Windows of runs as questions of their own, each under a class of its bytes, and their bytes; of those that are equal
-    here only the earliest. The question and start of the others."""
+    """Cells of runs as questions of their own, or their windows, each under a class of its bytes, and their bytes; of those
+    that are equal here only the earliest. The question and start of the others' windows."""
     seen: set[tuple[int, int, bytes]] = set()
-    own, lo, kind, data, again, start = [], [], [], [], [], []
+    own, lo, hi, place, kind, data, again, start = [], [], [], [], [], [], [], []
     rank = _rank(q["id"], q["file"], q["at"])
     for i in np.lexsort((q["lo"], rank)).tolist():
-        k, mid, first = int(q["kind"][i]), int(q["mid"][i]), int(q["lo"][i])
-        for j in range(int(q["hi"][i]) - first + 1):
-            w = pieces[i][j : j + LENGTH]
-            if (k, mid - j, w) in seen:
-                again.append(i)
-                start.append(first + j)
-            else:
+        k, mid, first, last = int(q["kind"][i]), int(q["mid"][i]) % DEALT, int(q["lo"][i]), int(q["hi"][i])
+        for c, (low, high) in enumerate(CELLS):
+            how = int(q["mid"][i]) // DEALT >> 2 * c & 3
+            if not how:
+                continue
+            j, end = max(0, mid - high), min(last - first, mid - low)
+            step = 1 if how == SINGLY else end - j + 1
+            for j in range(j, end + 1, step):
+                w = pieces[i][j : j + step - 1 + LENGTH]
+                if (k, mid - j, w) in seen:
+                    again += [i] * step
+                    start += range(first + j, first + j + step)
+                    continue
                 seen.add((k, mid - j, w))
                 own.append(i)
                 lo.append(first + j)
-                kind.append(xxhash.xxh64_intdigest(w, (k * 128 + mid - j) % (1 << 64)) >> (64 - KIND_BITS))
+                hi.append(first + j + step - 1)
+                place.append(mid - j)
+                around = w if how == SINGLY else pieces[i][mid - low : mid + LENGTH - high]
+                kind.append(xxhash.xxh64_intdigest(around, (k * 128 + (mid - j if how == SINGLY else LENGTH + c)) % (1 << 64)) >> (64 - KIND_BITS))
                 data.append(w)
     out = _take(q, np.array(own, np.int64))
-    out |= {"lo": np.array(lo, np.int32), "hi": np.array(lo, np.int32), "mid": np.zeros(len(lo), np.int16), "kind": np.array(kind, np.int64)}
+    out |= {"lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32), "mid": np.array(place, np.int16), "kind": np.array(kind, np.int64)}
     return out, data, np.array(again, np.int64), np.array(start, np.int64)
 
 
 def questions(fields: list[np.ndarray], pieces: list[bytes], buckets: int) -> list[tuple[int, bytes]]:
-    """Rows (lo, hi, mid, kind, id, file, at) and their bytes, for buckets of anchors; those to be dealt one by one, by windows."""
+    """Rows (lo, hi, mid, kind, id, file, at) and their bytes, for buckets of anchors; those not to be gathered, by cells or windows."""
     f = np.concatenate(fields)
     d = {"lo": f[:, 0].astype(np.int32), "hi": f[:, 1].astype(np.int32), "mid": f[:, 2].astype(np.int16), "kind": f[:, 3], "id": f[:, 4], "file": f[:, 5], "at": f[:, 6]}
     data, out = pieces, []
     dealt = np.flatnonzero(d["mid"] >= DEALT)
     if len(dealt):
         hot = _take(d, dealt)
-        hot["mid"] = (hot["mid"] - DEALT).astype(np.int16)
         new, more, again, start = _apart(hot, [pieces[i] for i in dealt.tolist()])
         out = _known(*_spans(hot["file"][again], hot["at"][again], start), buckets)
         rest = np.flatnonzero(d["mid"] < DEALT)
@@ -519,7 +575,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = columns.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     else:  # a number in the order of the ids: of the range that a task sorts, and the place in it
         ranks = columns.select("row", "doc_id").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-        ranks = scratch.keep(ranks.select("row", F.monotonically_increasing_id().alias("id")))
+        ranks = scratch.keep(ranks.select("row", F.monotonically_increasing_id().alias("id")), True)
         columns = columns.join(ranks, "row")
     texts = columns.select(F.col("row.file").alias("file"), F.col("row.at").alias("at"), "id", "doc_id", "text")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -545,7 +601,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = "bucket int, data binary"
     sent = texts.select("file", "at", "id", "text").mapInArrow(send, rows)
     compared = sent.groupBy("bucket").applyInArrow(lambda t: _compare_runs(t, buckets), rows)
-    state = scratch.keep(compared.groupBy("bucket").applyInArrow(_by_document, "file long, at long, spans binary, asks binary"))
+    state = scratch.keep(compared.groupBy("bucket").applyInArrow(_by_document, "file long, at long, spans binary, asks binary"), True)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields: list[np.ndarray] = []
@@ -577,7 +633,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = answered.groupBy("bucket").applyInArrow(_by_document, "file long, at long, spans binary, asks binary").select("file", "at", F.col("spans").alias("more"))
     none = F.lit(b"").cast("binary")
     spans = state.where("octet_length(spans) > 0").select("file", "at", "spans").join(more, ["file", "at"], "full")
-    spans = scratch.keep(spans.select("file", "at", F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans")))
+    spans = scratch.keep(spans.select("file", "at", F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans")), True)
     scratch.drop(state)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -868,6 +868,32 @@ class wrong:
         self.patch.undo()
 
 
+@pytest.mark.parametrize("size, none", [(60, True), (160, False)])
+def test_only_texts_that_share_windows_are_asked_for(size, none):
+    """Texts about a common string of under LENGTH bytes are not, though they share anchors."""
+    rng = random.Random(5)
+    noise = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    common, sent = noise(size), []
+    for k in range(2):
+        texts = [noise(150) + common + noise(150) for _ in range(100)]
+        sent += suffix_dedup._send_runs(texts, np.arange(100) * 2 + k, np.full(100, k), np.arange(100), 1, 1)
+    runs = [x for b, x in sent if b == 0]
+    t = suffix_dedup.pa.table({"bucket": suffix_dedup.pa.array([0] * len(runs), suffix_dedup.pa.int32()), "data": suffix_dedup.pa.array(runs, suffix_dedup.pa.binary())})
+    assert (suffix_dedup._compare_runs(t, 1).num_rows == 0) == none
+
+
+def test_what_was_shuffled_for_a_kept_table_goes(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {str(f.getName()) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    kept = Scratch(spark).keep(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), True)
+    assert not shuffled() - before
+    assert kept.count() == 7
+
+
 @pytest.mark.parametrize("seed", [1, 3])
 def test_repeats_are_removed_by_spark(spark, seed):
     texts = repeats(seed)
