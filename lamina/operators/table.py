@@ -280,8 +280,9 @@ class StripeTable:
         if dirty:
             gone = self._deleted(m, dirty)
             touched = {i for d in m.deletes if {s.id for s in dirty}.intersection(d.ids) for i in d.ids}
-            if sum(m.dirty.get(i, 0) for i in touched) * (DELETE_BYTES + max(len(s.name) for s in dirty)) <= BROADCAST_DELETES:
-                gone = F.broadcast(gone)
+            small = sum(m.dirty.get(i, 0) for i in touched) * (DELETE_BYTES + max(len(s.name) for s in dirty)) <= BROADCAST_DELETES
+            # without a hint Spark goes by the bytes of files, in which names that repeat take next to nothing
+            gone = F.broadcast(gone) if small else gone.hint("merge")
             live = read(dirty).select(*names, *at).join(gone, [_FILE, _ROW], "left_anti")
             parts.append(live if located else live.select(*names))
         if not parts:

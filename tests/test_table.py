@@ -13,6 +13,7 @@ from lamina.errors import DuplicateKey, MultipleMatches, NotAStripeTable, Stripe
 from lamina.functions.generate import generate_series
 from lamina.sources import arrow_stripes
 from lamina.streaming.sink import append_stream
+from lamina.operators import table
 from lamina.operators.table import StripeTable, is_stripe_table
 from lamina.types import sql_type
 
@@ -316,3 +317,16 @@ def test_analyze_common_values_and_histogram(spark, tmp_path):
     k, v = (r for r in t.analyze(top=2, buckets=4).orderBy("column_name").collect())
     assert [(x["value"], x["count"]) for x in v.most_common] == [("c", 81), ("a", 10)] and v.histogram is None
     assert k.histogram == [0.0, 25.0, 50.0, 75.0, 100.0] and k.most_common == [] and (k.null_count, k.n_distinct) == (1, 101)
+
+
+def test_many_deleted_rows_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Their files are small, as names repeat in them, but not their rows."""
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint"}, rows_per_stripe=20)
+    t.insert(generate_series(spark, 1, 100, name="k"))
+    monkeypatch.setattr(table, "BROADCAST_DELETES", 0)
+    t.delete("k % 3 = 0")
+    t.delete("k % 5 = 0")
+    live = t.scan()
+    assert sorted(r.k for r in live.collect()) == [k for k in range(1, 101) if k % 3 and k % 5]
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
