@@ -410,6 +410,17 @@ class StripeTable:
 
         return self._attempt(once)
 
+    def delete_range(self, first: int, last: int, stripe_id: int | None = None) -> int:
+        """Delete the live rows at places first to last, from 0, of a stripe or of each; returns their number."""
+
+        def once(m: Manifest) -> int:
+            stripes = [s for s in m.each() if stripe_id in (None, s.id) and first < s.rows and s.deleted < s.rows]
+            if not stripes:
+                return 0
+            return self._commit_rows(m, stripes, self._rows(m, stripes, True).where(F.col(_ROW).between(first, last)).select(_FILE, _ROW), [])
+
+        return self._attempt(once)
+
     def update(self, set_: dict[str, str | Column], where: str | None = None) -> int:
         """Set columns in the rows for which the condition is true; updated rows move to the end. Returns their number."""
 

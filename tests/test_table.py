@@ -14,6 +14,7 @@ from lamina.functions.generate import generate_series
 from lamina.sources import arrow_stripes
 from lamina.streaming.sink import append_stream
 from lamina.operators import table
+from lamina.plans import queries
 from lamina.operators.table import StripeTable, is_stripe_table
 from lamina.types import sql_type
 
@@ -330,3 +331,17 @@ def test_many_deleted_rows_are_never_broadcast(spark, tmp_path, monkeypatch):
     assert sorted(r.k for r in live.collect()) == [k for k in range(1, 101) if k % 3 and k % 5]
     plan = live._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_places_are_deleted_in_all_stripes_at_once(spark, tmp_path):
+    """Whatever the keys: these repeat and have nulls."""
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint", "v": "int"}, rows_per_stripe=10)
+    t.insert(spark.createDataFrame([(None if i % 2 else 1, i) for i in range(45)], t.schema).coalesce(1), ordered=True)
+    assert t.delete_range(0, 2) == 15 and t.delete_range(0, 3) == 5 and t.delete_range(8, 20, 1) == 2 and t.delete_range(60, 70) == 0
+    assert sorted(r.v for r in t.scan().collect()) == [i for i in range(45) if i % 10 > 3 and i not in (8, 9)]
+
+
+def test_compact_counts_reads_no_stripe_alone(spark, small, monkeypatch):
+    """It took a job for each stripe, and all keys in one condition."""
+    monkeypatch.setattr(StripeTable, "row_range", None)
+    assert queries.compact_counts(spark, small).first() == (2, 1500 - 20)
