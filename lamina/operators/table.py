@@ -54,7 +54,7 @@ class StripeTable:
         self.counters = {f"{c}_{n}": 0 for c in ("metadata", "stats", "bitmap", "ipc") for n in ("hits", "misses")} | {"ipc_bytes_cached": 0}
         self.log = Log(self.store, self.counters)
         self.cache_bytes = cache_mb << 20
-        self._held: OrderedDict[tuple, tuple[DataFrame, int]] = OrderedDict()
+        self._held: OrderedDict[tuple, tuple[DataFrame, DataFrame, int]] = OrderedDict()  # what a scan gives, of it what is kept, its bytes
         self._vectors: dict[tuple[str, ...], DataFrame] = {}
 
     # -- life cycle ----------------------------------------------------------------------------------------
@@ -291,7 +291,10 @@ class StripeTable:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _kept(self, m: Manifest, stripes: list[Stripe]) -> DataFrame:
-        """Live rows of stripes through the cache: what scans of the same stripes read is kept, the longest unused goes first."""
+        """Live rows of stripes through the cache: what scans of the same stripes read is kept, the longest unused goes first.
+
+        Of a scan of more than the cache holds, the first stripes that fit are kept; the others are read each time.
+        """
         if not self.cache_bytes or not stripes:
             return self._rows(m, stripes)
         key = tuple((s.file, s.deleted) for s in stripes)
@@ -300,14 +303,19 @@ class StripeTable:
             self._held.move_to_end(key)
             return self._held[key][0]
         self.counters["ipc_misses"] += 1
-        size = sum(s.size for s in stripes)
-        if size > self.cache_bytes:
+        size = fit = 0
+        while fit < len(stripes) and size + stripes[fit].size <= self.cache_bytes:
+            size += stripes[fit].size
+            fit += 1
+        if not fit:
             return self._rows(m, stripes)
-        df = self._rows(m, stripes).persist()
-        self._held[key] = df, size
+        kept = self._rows(m, stripes[:fit]).persist()
+        # the filter keeps Spark from merging a union with the next one, which it wouldn't find in the cache
+        df = kept if fit == len(stripes) else kept.where(F.lit(True)).unionByName(self._rows(m, stripes[fit:]))
+        self._held[key] = df, kept, size
         self.counters["ipc_bytes_cached"] += size
         while self.counters["ipc_bytes_cached"] > self.cache_bytes:
-            _, (old, freed) = self._held.popitem(last=False)
+            _, (_, old, freed) = self._held.popitem(last=False)
             old.unpersist()
             self.counters["ipc_bytes_cached"] -= freed
         return df
@@ -357,8 +365,8 @@ class StripeTable:
         self.cache_bytes = mb << 20
 
     def uncache(self) -> None:
-        for df, _ in self._held.values():
-            df.unpersist()
+        for _, kept, _ in self._held.values():
+            kept.unpersist()
         self._held.clear()
         self.counters["ipc_bytes_cached"] = 0
 
@@ -642,7 +650,7 @@ class StripeTable:
 
     def cache_stats(self) -> DataFrame:
         """Of this handle so far, lookups of manifests, of parts with their bounds, of delete vectors and of cached rows that
-        found what they wanted in memory or not; and bytes of stripes (as their files have them) whose rows are kept."""
+        found what they wanted in memory (cached rows: as much of it as the cache holds) or not; and bytes of stripes (as their files have them) whose rows are kept."""
         return self.spark.createDataFrame([tuple(self.counters.values())], ", ".join(f"{k} long" for k in self.counters))
 
     def analyze(self, columns: list[str] | None = None, top: int = 10, buckets: int = 10) -> DataFrame:

@@ -345,3 +345,24 @@ def test_compact_counts_reads_no_stripe_alone(spark, small, monkeypatch):
     """It took a job for each stripe, and all keys in one condition."""
     monkeypatch.setattr(StripeTable, "row_range", None)
     assert queries.compact_counts(spark, small).first() == (2, 1500 - 20)
+
+
+def test_the_cache_keeps_what_fits_of_a_larger_scan(spark, tmp_path):
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint"}, rows_per_stripe=10)
+    t.insert(generate_series(spark, 1, 40, name="k"), ordered=True)
+    size = max(s.size for s in t.log.load().stripes)
+    t.cache()
+    t.cache_bytes = 2 * size
+    t.delete("k IN (5, 35)")
+    rows = [sorted(r.k for r in t.scan().collect()) for _ in range(2)]
+    assert rows[0] == rows[1] == [k for k in range(1, 41) if k not in (5, 35)]
+    stats = t.cache_stats().first()
+    assert (stats.ipc_hits, stats.ipc_misses) == (1, 1) and 0 < stats.ipc_bytes_cached <= 2 * size
+    assert "InMemoryTableScan" in t.scan()._jdf.queryExecution().executedPlan().toString()
+    t.delete("k = 6")
+    assert t.scan().count() == 37
+
+
+def test_cache_stats_of_a_table_larger_than_the_cache(spark, small, monkeypatch):
+    monkeypatch.setattr(StripeTable, "cache", lambda t, mb=256: setattr(t, "cache_bytes", sum(s.size for s in t.log.load().stripes) // 2))
+    assert tuple(queries.cache_stats(spark, small).first())[:3] == (1, 2, True)
