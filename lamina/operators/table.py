@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import re
 import uuid
 import warnings
 from collections import OrderedDict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from functools import reduce
 
 import pyarrow.parquet as pq
 
@@ -31,11 +33,15 @@ CODECS = {"none": "uncompressed", "lz4": "lz4_raw", "zstd": "zstd"}
 BROADCAST_DELETES, DELETE_BYTES = 32 << 20, 48
 #: Bytes of a Parquet file's end that are read first for its footer.
 FOOTER_BYTES = 1 << 16
+#: An ordered insert of more stripes than ALONE has them share files, as row groups: FILE_STRIPES of them, FILE_ROWS rows at most.
+ALONE, FILE_STRIPES, FILE_ROWS = 1000, 1000, 1_000_000
 #: Attempts of DELETE, UPDATE and compact when a rival changes the stripes that they touch.
 ATTEMPTS = 5
 
-_FILE, _ROW = "__file", "__row"
+_FILE, _ROW, _START = "__file", "__row", "__start"
 _DELETES = T.StructType([T.StructField(_FILE, T.StringType()), T.StructField(_ROW, T.LongType())])
+#: A row's place with the first row of its stripe in the file; null in vectors from before stripes shared files.
+_PLACE = T.StructType(_DELETES.fields + [T.StructField(_START, T.LongType())])
 
 
 #: Marks a folder of stripes or deleted rows whose commit was made, and lists stripes that left the table: what a rebuild goes by.
@@ -100,48 +106,117 @@ class StripeTable:
         have = {c.lower() for c in df.columns}
         return df.select(*[(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
-    def _write(self, df: DataFrame, m: Manifest, codec: str, rows: int) -> list[Stripe]:
-        """Stripes of df's rows, written but in no manifest yet; ids are given on commit. Folders sort as they were written."""
-        folder = f"stripes/{m.next_id:012d}-{uuid.uuid4().hex}"
+    def _put(self, df: DataFrame, folder: str, **options) -> None:
         key = "spark.sql.parquet.outputTimestampType"
         was = self.spark.conf.get(key)
         self.spark.conf.set(key, "TIMESTAMP_MICROS")  # the other form has no bounds
         try:
-            df.write.option("maxRecordsPerFile", rows).option("compression", CODECS[codec]).parquet(self.store.path(folder))
+            df.write.options(**options).parquet(self.store.path(folder))
         finally:
             self.spark.conf.set(key, was)
-        return self._measured(folder, m, codec)
+
+    def _write(self, df: DataFrame, m: Manifest, codec: str, rows: int, share: int = 0) -> list[Stripe]:
+        """Stripes of df's rows, written but in no manifest yet; ids are given on commit. Folders sort as they were written.
+
+        share: rows of a file in which stripes are row groups; the folder's name then ends with their rows.
+        """
+        folder = f"stripes/{m.next_id:012d}-{uuid.uuid4().hex}" + (f"-{rows}" if share else "")
+        groups = {"parquet.block.row.count.limit": rows} if share else {}
+        self._put(df, folder, maxRecordsPerFile=share or rows, compression=CODECS[codec], **groups)
+        try:
+            return self._measured(folder, m, codec)
+        except _Uneven:
+            self.store.delete(folder)
+            raise
+
+    def _write_ordered(self, df: DataFrame, m: Manifest, codec: str, rows: int) -> list[Stripe]:
+        """Stripes of exactly so many rows in df's order. df is evaluated once and staged; its rows are numbered by the
+        counts of the staged files and dealt to tasks by whole stripes."""
+        staged = f"staged/{uuid.uuid4().hex}"
+        try:
+            self._put(df, staged)
+            read = self.spark.read.schema(m.schema).parquet(self.store.path(staged))
+            names = [F.col(f"`{f.name}`") for f in m.schema]
+            counts = read.select(F.col("_metadata.file_name").alias(_FILE)).groupBy(_FILE).count()
+            starts, total = [], 0
+            for r in sorted(counts.toLocalIterator(), key=lambda r: _in_order(r[_FILE])):  # a row per task of df
+                starts.append((r[_FILE], total))
+                total += r["count"]
+            if not total:
+                return []
+            place = self.spark.createDataFrame(starts, T.StructType([_PLACE[_FILE], _PLACE[_START]]))
+            numbered = read.select(*names, F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+            numbered = numbered.join(F.broadcast(place), _FILE).withColumn(_ROW, F.col(_ROW) + F.col(_START))
+            stripes = -(-total // rows)
+
+            def dealt(n: int) -> DataFrame:
+                """n rows in order in each task."""
+                tasks = -(-total // n)
+                return numbered.repartitionById(tasks, F.expr(f"CAST({_ROW} DIV {n} AS INT)")).sortWithinPartitions(_ROW).select(*names)
+
+            share = rows * min(FILE_STRIPES, FILE_ROWS // rows)
+            if stripes > ALONE and share > rows:
+                try:
+                    return self._write(dealt(share), m, codec, rows, share)
+                except _Uneven:  # rows so wide that row groups ended before their count
+                    pass
+            return self._write(dealt(rows * -(-stripes // self.spark.sparkContext.defaultParallelism)), m, codec, rows)
+        finally:
+            self.store.delete(staged)
 
     def _footer(self, name: str, size: int):
         data = self.store.tail(name, size, FOOTER_BYTES)
         need = int.from_bytes(data[-8:-4], "little") + 8
         return pq.read_metadata(io.BytesIO(data if need <= len(data) else self.store.tail(name, size, need)))
 
+    def _files(self, folder: str) -> list[tuple[str, int]]:
+        return sorted(((n, size) for n, size in self.store.names(folder) if n.endswith(".parquet")), key=lambda f: _in_order(f[0]))
+
     def _measured(self, folder: str, m: Manifest, codec: str | None) -> list[Stripe]:
-        """Row counts and column bounds of all files in a folder: from their footers, and of columns whose bounds a footer
+        """Row counts and column bounds of all stripes in a folder: from its footers, and of columns whose bounds a footer
         lacks by reading these columns. Without a codec it is read too."""
-        files = sorted((n, size) for n, size in self.store.names(folder) if n.endswith(".parquet"))
+        files, each = self._files(folder), _rows_of(folder)
+        names = {v.removesuffix("_raw").replace("uncompressed", "none"): k for k, v in CODECS.items()}
+
+        def stripes_of(file: tuple[str, int]) -> list[Stripe]:
+            n, size = file
+            footer = self._footer(f"{folder}/{n}", size)
+            if not footer.num_rows:
+                return []
+            own = codec or names.get(footer.row_group(0).column(0).compression.lower().removesuffix("_raw").replace("uncompressed", "none"), "none")
+            if not each:
+                return [Stripe(0, f"{folder}/{n}", footer.num_rows, size, own, 0, footer_stats(footer, m.kinds))]
+            out = []
+            for i in range(footer.num_row_groups):
+                g = footer.row_group(i)
+                if g.num_rows != min(each, footer.num_rows - i * each):
+                    raise _Uneven
+                own_size = sum(g.column(c).total_compressed_size for c in range(g.num_columns))
+                out.append(Stripe(0, f"{folder}/{n}", g.num_rows, own_size, own, 0, footer_stats(footer, m.kinds, [g]), i * each, each, footer.num_rows))
+            return out
+
         with ThreadPoolExecutor(8) as pool:
-            footers = dict(zip((n for n, _ in files), pool.map(lambda f: self._footer(f"{folder}/{f[0]}", f[1]), files)))
-        files = [(n, size) for n, size in files if footers[n].num_rows]
-        stats = {n: footer_stats(footers[n], m.kinds) for n, _ in files}
+            found = [s for of_file in pool.map(stripes_of, files) for s in of_file]
+        stats = {s.key: s.stats for s in found}
+        counts = {s.key: s.rows for s in found}
         lacking = {c: k for c, k in m.kinds.items() if any(c not in s for s in stats.values())}
         if lacking:
             aggs = []
             for i, c in enumerate(lacking):
                 col = F.col(f"`{c}`")
                 aggs += [F.min(col).alias(f"a{i}"), F.max(col).alias(f"b{i}"), F.count(col).alias(f"c{i}")]
-            read = self.spark.read.schema(m.schema).parquet(self.store.path(folder)).select(*[f"`{c}`" for c in lacking], F.col("_metadata.file_name").alias(_FILE))
-            for r in read.groupBy(_FILE).agg(*aggs).toLocalIterator():  # a row per stripe that was written just now
+            row = F.col("_metadata.row_index")
+            start = (row - row % each if each else F.lit(0)).alias(_START)
+            read = self.spark.read.schema(m.schema).parquet(self.store.path(folder)).select(*[f"`{c}`" for c in lacking], F.col("_metadata.file_name").alias(_FILE), start)
+            for r in read.groupBy(_FILE, _START).agg(*aggs).toLocalIterator():  # a row per stripe that was written just now
+                key = r[_FILE], r[_START]
                 for i, (c, k) in enumerate(lacking.items()):
                     low, high = r[f"a{i}"], r[f"b{i}"]
                     if k == "timestamptz" and low is not None:
                         low, high = (x.astimezone(dt.timezone.utc) for x in (low, high))
                     a, b, nan = encode_bounds(k, low, high)
-                    stats[r[_FILE]][c] = [a, b, footers[r[_FILE]].num_rows - r[f"c{i}"], nan]
-        names = {v.removesuffix("_raw").replace("uncompressed", "none"): k for k, v in CODECS.items()}
-        own = lambda n: codec or names.get(footers[n].row_group(0).column(0).compression.lower().removesuffix("_raw").replace("uncompressed", "none"), "none")
-        return [Stripe(0, f"{folder}/{n}", footers[n].num_rows, size, own(n), 0, stats[n]) for n, size in files]
+                    stats[key][c] = [a, b, counts[key] - r[f"c{i}"], nan]
+        return found
 
     def _commit(self, change: Callable[[Manifest], Manifest], new: list[Stripe] = (), vector: str | None = None, left: list[Stripe] = ()) -> Manifest:
         """Commit; mark what it brings, and list what leaves, for a rebuild. Nothing is marked if there is no commit."""
@@ -150,7 +225,7 @@ class StripeTable:
             marks.append(f"{_LEFT}/{uuid.uuid4().hex}")
             self.store.mkdirs(_LEFT)
         for x in marks:
-            self.store.write(x, "\n".join(s.file for s in left) if x.startswith(f"{_LEFT}/") else "")
+            self.store.write(x, "\n".join(s.place for s in left) if x.startswith(f"{_LEFT}/") else "")
         try:
             return self.log.commit(change)
         except BaseException:
@@ -165,7 +240,7 @@ class StripeTable:
     def insert(self, df: DataFrame, codec: str | None = None, rows_per_stripe: int | None = None, cluster_by: list[str | Column] | None = None, ordered: bool = False, unique: list[str] | None = None) -> Manifest:
         """Append df's rows as new stripes in one commit.
 
-        ordered: one task, stripes of exactly rows_per_stripe rows in df's order. cluster_by: rows sorted by range
+        ordered: stripes of exactly rows_per_stripe rows in df's order, more than ALONE of them in shared files. cluster_by: rows sorted by range
         of these columns or expressions, so that pruning on them works. unique: columns whose values must be new and distinct; it is
         checked against the very version that the commit follows, so that of writers that race one gets DuplicateKey.
         """
@@ -173,9 +248,7 @@ class StripeTable:
         df = self._conformed(df, m.schema)
         if cluster_by:
             df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-        elif ordered:
-            df = df.coalesce(1)
-        new = self._write(df, m, codec or m.options["codec"], rows_per_stripe or m.options["rows_per_stripe"])
+        new = (self._write_ordered if ordered and not cluster_by else self._write)(df, m, codec or m.options["codec"], rows_per_stripe or m.options["rows_per_stripe"])
 
         def change(last: Manifest) -> Manifest:
             if unique and new:
@@ -190,7 +263,7 @@ class StripeTable:
 
     def _check_new(self, keys: list[str], new: list[Stripe], m: Manifest) -> None:
         """DuplicateKey if written rows clash among themselves or with live rows of m: only stripes whose bounds meet theirs are read."""
-        rows = self.spark.read.schema(m.schema).parquet(*[self.store.path(s.file) for s in new]).select(*keys).na.drop(subset=keys)
+        rows = self.spark.read.schema(m.schema).parquet(*dict.fromkeys(self.store.path(s.file) for s in new)).select(*keys).na.drop(subset=keys)
         twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
         if twice:
             raise DuplicateKey(f"{dict(zip(keys, twice[0][: len(keys)]))} occurs {twice[0][-1]} times")
@@ -265,30 +338,48 @@ class StripeTable:
         return self._vectors[folders]
 
     def _rows(self, m: Manifest, stripes: list[Stripe], located: bool = False) -> DataFrame:
-        """Live rows of stripes; located: with their file and place in it."""
+        """Live rows of stripes; located: with their file, place in it and the first place of their stripe."""
         schema = m.schema
-        at = [F.col("_metadata.file_name").alias(_FILE), F.col("_metadata.row_index").alias(_ROW)]
         names = [F.col(f"`{f.name}`") for f in schema]
-
-        def read(some: list[Stripe]) -> DataFrame:
-            return self.spark.read.schema(schema).parquet(*[self.store.path(s.file) for s in some])
-
-        clean, dirty = [s for s in stripes if not s.deleted], [s for s in stripes if s.deleted]
-        parts = []
-        if clean:
-            parts.append(read(clean).select(*names, *(at if located else [])))
+        row = F.col("_metadata.row_index")
+
+        def read(some: list[Stripe], at: bool) -> list[DataFrame]:
+            """Their rows; at: with their places. Of files of which some stripes aren't wanted, rows are picked by stripe."""
+            wanted: dict[str, int] = {}
+            for s in some:
+                wanted[s.file] = wanted.get(s.file, 0) + s.rows
+            out = []
+            for each in sorted({s.each for s in some}):
+                place = [F.col("_metadata.file_name").alias(_FILE), row.alias(_ROW), (row - row % each if each else F.lit(0).cast("long")).alias(_START)]
+                for partly in (False, True):
+                    own = [s for s in some if s.each == each and partly == (each > 0 and wanted[s.file] < s.held)]
+                    if not own:
+                        continue
+                    df = self.spark.read.schema(schema).parquet(*dict.fromkeys(self.store.path(s.file) for s in own))
+                    df = df.select(*names, *(place if at or partly else []))
+                    if partly:
+                        picked = self.spark.createDataFrame([s.key for s in own], T.StructType([_PLACE[_FILE], _PLACE[_START]]))
+                        few = len(own) * (DELETE_BYTES + len(own[0].name)) <= BROADCAST_DELETES
+                        df = df.join(F.broadcast(picked) if few else picked.hint("merge"), [_FILE, _START], "left_semi")
+                    out.append(df.select(*names, *([_FILE, _ROW, _START] if at else [])))
+            return out
+
+        dirty_files = {s.file for s in stripes if s.deleted}  # each file is read once
+        clean, dirty = [s for s in stripes if s.file not in dirty_files], [s for s in stripes if s.file in dirty_files]
+        parts = read(clean, located)
         if dirty:
             gone = self._deleted(m, dirty)
             touched = {i for d in m.deletes if {s.id for s in dirty}.intersection(d.ids) for i in d.ids}
             small = sum(m.dirty.get(i, 0) for i in touched) * (DELETE_BYTES + max(len(s.name) for s in dirty)) <= BROADCAST_DELETES
             # without a hint Spark goes by the bytes of files, in which names that repeat take next to nothing
             gone = F.broadcast(gone) if small else gone.hint("merge")
-            live = read(dirty).select(*names, *at).join(gone, [_FILE, _ROW], "left_anti")
-            parts.append(live if located else live.select(*names))
+            for df in read(dirty, True):
+                live = df.join(gone, [_FILE, _ROW], "left_anti")
+                parts.append(live.select(*names, *([_FILE, _ROW, _START] if located else [])))
         if not parts:
-            empty = T.StructType(schema.fields + (_DELETES.fields if located else []))
+            empty = T.StructType(schema.fields + (_PLACE.fields if located else []))
             return self.spark.createDataFrame([], empty)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return reduce(DataFrame.unionByName, parts)
 
     def _kept(self, m: Manifest, stripes: list[Stripe]) -> DataFrame:
         """Live rows of stripes through the cache: what scans of the same stripes read is kept, the longest unused goes first.
@@ -297,7 +388,7 @@ class StripeTable:
         """
         if not self.cache_bytes or not stripes:
             return self._rows(m, stripes)
-        key = tuple((s.file, s.deleted) for s in stripes)
+        key = tuple((s.file, s.first, s.deleted) for s in stripes)
         if key in self._held:
             self.counters["ipc_hits"] += 1
             self._held.move_to_end(key)
@@ -354,7 +445,7 @@ class StripeTable:
         """Live rows of a stripe at places first to last, from 0."""
         m = self.log.load()
         own = [s for s in m.stripes if s.id == stripe_id]
-        return self._rows(m, own, True).where(F.col(_ROW).between(first, last)).drop(_FILE, _ROW)
+        return self._rows(m, own, True).where((F.col(_ROW) - F.col(_START)).between(first, last)).drop(_FILE, _ROW, _START)
 
     def create_view(self, name: str) -> None:
         self.scan().createOrReplaceTempView(name)
@@ -373,18 +464,19 @@ class StripeTable:
     # -- deleting and updating -----------------------------------------------------------------------------
 
     def _commit_rows(self, base: Manifest, stripes: list[Stripe], marked: DataFrame, new: list[Stripe]) -> int:
-        """Commit new stripes and the deletion of marked (file, row) rows of base's stripes; _Touched if a rival touched these."""
+        """Commit new stripes and the deletion of marked rows of base's stripes, named by file, row and the stripe's first
+        row; _Touched if a rival touched these."""
         folder = f"dv/{uuid.uuid4().hex}"
         marked.write.parquet(self.store.path(folder))
-        written = self.spark.read.schema(_DELETES).parquet(self.store.path(folder))
-        counts = {r[_FILE]: r["count"] for r in written.groupBy(_FILE).count().toLocalIterator()}  # a row per stripe touched
+        written = self.spark.read.schema(_PLACE).parquet(self.store.path(folder))
+        counts = {(r[_FILE], r[_START]): r["count"] for r in written.groupBy(_FILE, _START).count().toLocalIterator()}  # a row per stripe touched
         if not counts:
             self.store.delete(folder)
             return 0
-        before = {s.name: s for s in stripes if s.name in counts}
+        before = {s.key: s for s in stripes if s.key in counts}
 
         def change(last: Manifest) -> Manifest:
-            now = before if last.version == base.version else {s.name: s for s in last.each() if s.name in counts}
+            now = before if last.version == base.version else {s.key: s for s in last.each() if s.key in counts}
             if any(n not in now or now[n].deleted != before[n].deleted for n in counts):
                 raise _Touched
             dirty = last.dirty | {now[n].id: now[n].deleted + k for n, k in counts.items()}
@@ -414,7 +506,7 @@ class StripeTable:
             stripes, _ = prune(m, conjuncts_of(self.spark, where, m.schema))
             if not stripes:
                 return 0
-            return self._commit_rows(m, stripes, self._rows(m, stripes, True).where(where).select(_FILE, _ROW), [])
+            return self._commit_rows(m, stripes, self._rows(m, stripes, True).where(where).select(_FILE, _ROW, _START), [])
 
         return self._attempt(once)
 
@@ -425,7 +517,7 @@ class StripeTable:
             stripes = [s for s in m.each() if stripe_id in (None, s.id) and first < s.rows and s.deleted < s.rows]
             if not stripes:
                 return 0
-            return self._commit_rows(m, stripes, self._rows(m, stripes, True).where(F.col(_ROW).between(first, last)).select(_FILE, _ROW), [])
+            return self._commit_rows(m, stripes, self._rows(m, stripes, True).where((F.col(_ROW) - F.col(_START)).between(first, last)).select(_FILE, _ROW, _START), [])
 
         return self._attempt(once)
 
@@ -451,13 +543,13 @@ class StripeTable:
         staged = f"staged/{uuid.uuid4().hex}"
         new = [(exprs.get(f.name, F.col(f"`{f.name}`"))).cast(f.dataType).alias(f.name) for f in m.schema]
         try:
-            hit.select(_FILE, _ROW, *new).write.parquet(self.store.path(staged))
-            rows = self.spark.read.schema(T.StructType(_DELETES.fields + m.schema.fields)).parquet(self.store.path(staged))
+            hit.select(_FILE, _ROW, _START, *new).write.parquet(self.store.path(staged))
+            rows = self.spark.read.schema(T.StructType(_PLACE.fields + m.schema.fields)).parquet(self.store.path(staged))
             twice = rows.groupBy(_FILE, _ROW).count().where("count > 1").limit(1).collect()
             if twice:
                 raise MultipleMatches(f"{twice[0]['count']} source rows match one row")
             stripes = self._write(rows.select(*[f"`{f.name}`" for f in m.schema]), m, m.options["codec"], m.options["rows_per_stripe"])
-            return self._commit_rows(m, old, rows.select(_FILE, _ROW), stripes)
+            return self._commit_rows(m, old, rows.select(_FILE, _ROW, _START), stripes)
         finally:
             self.store.delete(staged)
 
@@ -513,7 +605,7 @@ class StripeTable:
                 if f"{kind}/{folder}" not in used:
                     removed += self.store.delete(f"{kind}/{folder}")
         for name, _ in self.store.names(_LEFT):  # lists of stripes of which no file is left
-            if not any(self.store.exists(f) for f in self.store.read(f"{_LEFT}/{name}").splitlines()):
+            if not any(self.store.exists(f) for f in {x.partition("#")[0] for x in self.store.read(f"{_LEFT}/{name}").splitlines()}):
                 self.store.delete(f"{_LEFT}/{name}")
         for v in versions[:-keep_versions]:
             self.store.delete(f"_manifest/v{v:020d}.json")
@@ -583,24 +675,27 @@ class StripeTable:
         base = Manifest(0, schema)
         found: list[Stripe] = []
         for folder in committed["stripes"]:
-            files = sorted((n, size) for n, size in self.store.names(folder) if n.endswith(".parquet") and f"{folder}/{n}" not in left)
+            files, each = [(n, size) for n, size in self._files(folder) if f"{folder}/{n}" not in left], _rows_of(folder)
+            measured: dict[str, list[Stripe]] = {}
             try:
-                measured = {s.file: s for s in self._measured(folder, base, None)} if files else {}
+                for s in self._measured(folder, base, None) if files else []:
+                    measured.setdefault(s.file, []).append(s)
             except Exception:  # some file is broken: one by one, to find what can be read, without bounds
                 measured = {}
                 for n, size in files:
                     try:
                         rows = self.spark.read.schema(schema).parquet(self.store.path(f"{folder}/{n}")).count()
-                        measured[f"{folder}/{n}"] = Stripe(0, f"{folder}/{n}", rows, size, "none")
+                        firsts = range(0, rows, each) if each else [0]
+                        measured[f"{folder}/{n}"] = [Stripe(0, f"{folder}/{n}", min(each, rows - i) if each else rows, size // len(firsts), "none", first=i, each=each, held=rows if each else 0) for i in firsts]
                     except Exception as e:
                         warnings.warn(f"{folder}/{n} can't be read: {type(e).__name__}", stacklevel=2)
-            found += [measured[f"{folder}/{n}"] for n, _ in files if f"{folder}/{n}" in measured]
-        ids = {s.name: i for i, s in enumerate(found, 1)}
+            found += [s for n, _ in files for s in measured.get(f"{folder}/{n}", []) if s.place not in left]
+        ids = {s.key: i for i, s in enumerate(found, 1)}
         dirty: dict[int, int] = {}
         deletes = []
         for folder in committed["dv"]:
-            rows = self.spark.read.schema(_DELETES).parquet(self.store.path(folder))
-            counts = {ids[r[_FILE]]: r["n"] for r in rows.groupBy(_FILE).agg(F.count_distinct(_ROW).alias("n")).toLocalIterator() if r[_FILE] in ids}
+            rows = self.spark.read.schema(_PLACE).parquet(self.store.path(folder)).fillna(0, [_START])
+            counts = {ids[r[_FILE], r[_START]]: r["n"] for r in rows.groupBy(_FILE, _START).agg(F.count_distinct(_ROW).alias("n")).toLocalIterator() if (r[_FILE], r[_START]) in ids}
             if counts:
                 deletes.append(Deletes(folder, tuple(sorted(counts))))
                 dirty = {i: dirty.get(i, 0) + counts.get(i, 0) for i in dirty.keys() | counts.keys()}
@@ -682,6 +777,20 @@ class _Touched(Exception):
     """A rival changed a stripe that this commit touches: start again from the new version."""
 
 
+class _Uneven(Exception):
+    """Row groups of a shared file aren't of the rows that its stripes should have."""
+
+
+def _in_order(name: str) -> tuple[int, int, str]:
+    """Order in which Spark writes files: by task, then by number, of which both outgrow their zeros."""
+    found = re.match(r"part-(\d+)-.*-c(\d+)\.", name)
+    return (int(found[1]), int(found[2]), name) if found else (0, 0, name)
+
+
+def _rows_of(folder: str) -> int:
+    """Rows of each stripe in a folder whose stripes share files, from its name; 0 if each has its own."""
+    tail = folder.rpartition("/")[2].split("-")[2:]
+    return int(tail[0]) if tail else 0
 
 
 def is_stripe_table(spark: SparkSession, path: str) -> bool:

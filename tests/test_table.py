@@ -366,3 +366,84 @@ def test_the_cache_keeps_what_fits_of_a_larger_scan(spark, tmp_path):
 def test_cache_stats_of_a_table_larger_than_the_cache(spark, small, monkeypatch):
     monkeypatch.setattr(StripeTable, "cache", lambda t, mb=256: setattr(t, "cache_bytes", sum(s.size for s in t.log.load().stripes) // 2))
     assert tuple(queries.cache_stats(spark, small).first())[:3] == (1, 2, True)
+
+
+@pytest.fixture
+def shared(monkeypatch):
+    """Ordered inserts of more than two stripes have them share files, three at most."""
+    monkeypatch.setattr(table, "ALONE", 2)
+    monkeypatch.setattr(table, "FILE_STRIPES", 3)
+
+
+def test_cache_stats_writes_no_file_per_stripe(spark, small, shared, monkeypatch):
+    """A table of 100 rows a stripe took a file, a footer and a path for each of them, all written by one task."""
+    read = []
+    monkeypatch.setattr(StripeTable, "_footer", lambda t, n, size, was=StripeTable._footer: (read.append(n), was(t, n, size))[1])
+    assert tuple(queries.cache_stats(spark, small).first()) == (1, 2, True, 2 * 1500 + 500)
+    assert len(read) == 5
+
+
+@pytest.mark.parametrize("broadcast", [0, 32 << 20])
+def test_stripes_that_share_files(spark, tmp_path, shared, monkeypatch, broadcast):
+    monkeypatch.setattr(table, "BROADCAST_DELETES", broadcast)
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint", "v": "text", "d": "double precision"}, rows_per_stripe=10)
+    t.insert(spark.createDataFrame([(i, f"v{i}", float("nan") if i == 33 else i / 2) for i in range(95)], t.schema).repartition(7).orderBy("k"), ordered=True)
+    m = t.log.load()
+    assert [(s.id, s.rows, s.first, s.held, s.stats["k"][:2]) for s in m.stripes] == [(i + 1, 5 if i == 9 else 10, i % 3 * 10, 5 if i == 9 else 30, [10 * i, min(10 * i + 9, 94)]) for i in range(10)]
+    assert len({s.file for s in m.stripes}) == 4 and m.stripes[3].stats["d"][3] and not m.stripes[4].stats["d"][3] and m.stripes[4].stats["d"][:2] == [20.0, 24.5]
+    assert t.relation_size() > sum(s.size for s in m.stripes) and not t._folders("staged")
+    keys = lambda df: sorted(r.k for r in df.collect())
+    want = list(range(95))
+    assert keys(t.scan()) == want and keys(t.scan(prune_by=[("k", "<", 20)])) == want[:20] and keys(t.scan(prune_by=[("k", "=", 94)])) == want[90:]
+    assert t.explain("k = 20").skipped == 9 and keys(t.row_range(5, 2, 30)) == want[42:50] and keys(t.lookup(k=55)) == [55]
+    assert t.delete("k % 10 = 7 AND k < 60") == 6 and t.delete_range(0, 1) == 20 and t.delete_range(3, 40, 4) == 6 and t.delete("k BETWEEN 50 AND 59") == 7
+    gone = {k for k in want if k % 10 < 2 or k % 10 == 7 and k < 60 or 33 <= k < 40 or 50 <= k < 60}
+    want = [k for k in want if k not in gone]
+    assert keys(t.scan()) == want and t.row_count() == len(want) and keys(t.scan(prune_by=[("k", "<", 20)])) == [k for k in want if k < 20]
+    assert keys(t.row_range(4, 0, 9)) == [32] and {r.stripe_id: r.deleted_rows for r in t.stripe_info().collect()} == {i: {4: 9, 6: 10}.get(i, 3 if i < 7 else 2) for i in range(1, 11)}
+    assert t.update({"v": "'new'"}, "k IN (2, 72, 94)") == 3
+    with pytest.raises(DuplicateKey):
+        t.insert(spark.createDataFrame([(82, "x", 0.0)], t.schema), unique=["k"])
+    t.vacuum()  # stripe 6 alone, not its file
+    assert 6 not in {s.id for s in t.log.load().stripes} and keys(t.scan()) == want
+    fresh = StripeTable(spark, t.path)
+    shutil.rmtree(tmp_path / "t" / "_manifest")
+    assert fresh.rebuild_metadata().first().rows_total == len(want) and keys(fresh.scan()) == want
+    assert fresh.compact().first().rows_compacted == len([k for k in want if k not in (2, 72, 94)]) and keys(fresh.scan()) == want
+    fresh.vacuum()
+    again = StripeTable(spark, t.path)
+    shutil.rmtree(tmp_path / "t" / "_manifest")
+    assert again.rebuild_metadata().first().rows_total == len(want) and keys(again.scan()) == want
+    assert sorted(r.k for r in again.scan("v = 'new'").collect()) == [2, 72, 94]
+
+
+def test_the_cache_holds_a_part_of_a_shared_file(spark, tmp_path, shared):
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint"}, rows_per_stripe=10)
+    t.insert(generate_series(spark, 1, 60, name="k"), ordered=True)
+    t.cache()
+    t.cache_bytes = sum(s.size for s in t.log.load().stripes[:2])
+    for _ in range(2):
+        assert sorted(r.k for r in t.scan().collect()) == list(range(1, 61))
+    t.delete("k = 35")
+    assert t.scan().count() == 59 and t.scan("k < 5").count() == 4
+    stats = t.cache_stats().first()
+    assert (stats.ipc_hits, stats.ipc_misses) == (1, 3) and stats.ipc_bytes_cached <= t.cache_bytes
+
+
+def test_an_ordered_insert_reads_its_source_once(spark, tmp_path, shared):
+    """Rows keep the order of the source, whatever its partitions; ten stripes and more of a task are in order too."""
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint", "r": "double precision"}, rows_per_stripe=7)
+    t.insert(spark.range(1000, numPartitions=13).where("id % 5 < 3").select(F.col("id").alias("k"), F.rand().alias("r")), ordered=True)
+    bounds = [s.stats["k"][:2] for s in t.log.load().stripes]
+    keys = [k for k in range(1000) if k % 5 < 3]
+    assert bounds == [[keys[i], keys[min(i + 6, 599)]] for i in range(0, 600, 7)]
+    assert t.scan().select("r").distinct().count() == 600
+
+
+def test_wide_rows_share_no_file(spark, tmp_path, shared, monkeypatch):
+    """Their row groups end by bytes, before they have the rows of a stripe."""
+    monkeypatch.setattr(StripeTable, "_put", lambda t, df, folder, was=StripeTable._put, **o: was(t, df, folder, **(o | {"parquet.block.row.count.limit": 6} if "parquet.block.row.count.limit" in o else o)))
+    t = StripeTable.create(spark, str(tmp_path / "t"), {"k": "bigint"}, rows_per_stripe=10)
+    t.insert(generate_series(spark, 1, 45, name="k"), ordered=True)
+    assert [(s.rows, s.each, s.stats["k"][0]) for s in t.log.load().stripes] == [(10, 0, 1), (10, 0, 11), (10, 0, 21), (10, 0, 31), (5, 0, 41)]
+    assert t.scan().count() == 45 and len(t._folders("stripes")) == 1
