@@ -175,15 +175,6 @@ def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate([p[k] + before[i] if k == 2 else p[k] for i, p in enumerate(parts)]) for k in range(4))
 
 
-def parts_of(inputs: tuple) -> Iterator[tuple]:
-    """Inputs of at most WORDS_AT_ONCE words at a time."""
-    fixed, grams, starts, word = inputs
-    for i in range(0, len(fixed), WORDS_AT_ONCE):
-        k = slice(i, i + WORDS_AT_ONCE)
-        end = starts[i + WORDS_AT_ONCE] if i + WORDS_AT_ONCE < len(starts) else len(grams)
-        yield fixed[k], grams[starts[i] : end], starts[k] - starts[i], word[k]
-
-
 def _ramp(sizes: np.ndarray) -> np.ndarray:
     """0 .. size - 1 for each size, one after another."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -403,6 +394,7 @@ def fit(sample: Iterable[tuple[str | None, float]]) -> Model | None:
             seen.add(key)
             docs.append([known.setdefault(w, w) for w in words_of(text)])
             labels.append(label)
+    del seen, known
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return None
@@ -439,21 +431,34 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _train(model: Model, apart: list[Evidence], docs: list[list[bytes]], y: np.ndarray, fold: np.ndarray, rng: np.random.Generator) -> None:
     """Words of a document have the evidence of the other folds, as those of a new document have that of all."""
-    numbers: list[np.ndarray] = [np.zeros(0, np.int32)] * len(docs)
-    parts, before = [], 0
-    for k, evidence in enumerate(apart):
-        vocabulary: dict[bytes, int] = {b"": 0}
-        for i in np.flatnonzero(fold == k).tolist() if len(apart) > 1 else range(len(docs)):
-            numbers[i] = before + np.array([vocabulary.setdefault(w, len(vocabulary)) for w in docs[i]], np.int32)
-        parts.append(evidence.inputs(list(vocabulary)))
-        before += len(vocabulary)
-    inputs = _joined(parts)
-    fixed, grams, starts, slot = inputs
+    fold = fold if len(apart) > 1 else np.zeros(len(docs), int)
+    vocabulary: dict[bytes, int] = {b"": 0}
+    numbers = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in d), np.int32, len(d)) for d in docs]
+    words = list(vocabulary)
+    del vocabulary
+    _, grams, starts, slot = apart[0].inputs(words)  # a word's slots are the same in all folds, its evidence isn't
     ends = np.r_[starts[1:], len(grams)]
+    known, fixed, begins = [], [], [0]
+    for k, evidence in enumerate(apart):
+        mine = np.flatnonzero(fold == k).tolist()
+        known.append(np.unique(np.concatenate([np.zeros(1, np.int32), *(numbers[i] for i in mine)])))
+        for i in mine:
+            numbers[i] = (begins[-1] + np.searchsorted(known[-1], numbers[i])).astype(np.int32)
+        fixed += [evidence.inputs([words[w] for w in known[-1][i : i + WORDS_AT_ONCE].tolist()])[0] for i in range(0, len(known[-1]), WORDS_AT_ONCE)]
+        begins.append(begins[-1] + len(known[-1]))
+    word, fixed = np.concatenate(known), np.concatenate(fixed)
+    del words, known
+
+    def inputs(used: np.ndarray) -> tuple:
+        """Inputs of words by their numbers over all folds."""
+        w = word[used]
+        n = ends[w] - starts[w]
+        return fixed[used], grams[_ramp(n) + np.repeat(starts[w], n)], np.cumsum(n) - n, slot[w]
+
     ids, sizes, at = _layout(numbers)
     owner = np.repeat(np.arange(len(docs)), np.diff(at))
     # at first a document's window with the most evidence stands for it
-    logits = fixed[:, 0][ids].max(1) + fixed[:, 2][ids].max(1)
+    logits = np.concatenate([fixed[:, 0][ids[i : i + AT_ONCE]].max(1) + fixed[:, 2][ids[i : i + AT_ONCE]].max(1) for i in range(0, len(ids), AT_ONCE)])
     for epoch in range(EPOCHS):
         order = np.lexsort((-logits, owner))
         rank = np.empty(len(order), int)
@@ -466,15 +471,19 @@ def _train(model: Model, apart: list[Evidence], docs: list[list[bytes]], y: np.n
         for i in range(0, len(chosen), BATCH):
             b = chosen[i : i + BATCH]
             used, local = np.unique(ids[b], return_inverse=True)
-            n = ends[used] - starts[used]
-            own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[used], n)
-            part = (fixed[used], grams[own], np.cumsum(n) - n, slot[used])
             target = y[owner[b]]
-            model.network.train(part, local.reshape(len(b), WINDOW), sizes[b], target)
+            model.network.train(inputs(used), local.reshape(len(b), WINDOW), sizes[b], target)
         if epoch < TRUSTED:
             continue
-        proj = np.concatenate([model.network.projected(model.network.embed(p)) for p in parts_of(inputs)])
-        logits = np.concatenate([model.network.forward(proj, ids[i : i + AT_ONCE], sizes[i : i + AT_ONCE]) for i in range(0, len(ids), AT_ONCE)])
+        for k, (begin, end) in enumerate(zip(begins, begins[1:])):  # a fold's words at a time, as projected ones take the most
+            proj = np.empty((end - begin, 6 * STATE), np.float32)
+            for i in range(begin, end, WORDS_AT_ONCE):
+                used = np.arange(i, min(i + WORDS_AT_ONCE, end))
+                proj[used - begin] = model.network.projected(model.network.embed(inputs(used)))
+            own = np.flatnonzero(fold[owner] == k)
+            for i in range(0, len(own), AT_ONCE):
+                w = own[i : i + AT_ONCE]
+                logits[w] = model.network.forward(proj, np.maximum(ids[w] - begin, 0), sizes[w])  # word 0 fills short documents
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
